@@ -57,3 +57,61 @@ def activity(events: DataFrame, as_of_ms: int, day_ms: int) -> DataFrame:
         F.countDistinct(F.when(day, F.col("session_id"))).alias("sessions"), F.count_if(day).alias("events"), F.count("*").alias("all_events"),
         F.when(as_of_ms - F.max("ms") < day_ms / 720, "connected").when(as_of_ms - F.max("ms") < day_ms, "idle").otherwise("disconnected").alias("state"),
     )
+
+
+def totals(events: DataFrame, detections: DataFrame, elements: DataFrame, described: DataFrame, since_ms: int) -> DataFrame:
+    """events, struggles_today, struggles, elements, described: one row. An element is described once, however often."""
+    known = elements.select("element_id").distinct()
+    parts = [
+        events.agg(F.count("*").alias("events")),
+        detections.agg(F.count_if(F.col("ts_ms") >= since_ms).alias("struggles_today"), F.count("*").alias("struggles")),
+        known.agg(F.count("*").alias("elements")),
+        known.join(described.select("element_id"), "element_id", "left_semi").agg(F.count("*").alias("described")),
+    ]
+    rows = parts[0].withColumn("one", F.lit(1))
+    for p in parts[1:]:  # single rows each
+        rows = rows.join(p.withColumn("one", F.lit(1)), "one")
+    return rows.drop("one")
+
+
+def latest(rows: DataFrame, labels: DataFrame, by: str, limit: int = 10) -> DataFrame:
+    """The last rows by time with the label and route of their element (labels: element_id, label, route)."""
+    keys = [c for c in ("session_id", "element_id", "type") if c in rows.columns]
+    return rows.orderBy(F.desc(by), *[F.asc_nulls_last(k) for k in keys]).limit(limit).join(labels.select("element_id", "label", "route"), "element_id", "left")
+
+
+def top_element(detections: DataFrame, labels: DataFrame) -> DataFrame:
+    """element_id, n, label of the element with most detections; those without element count as none."""
+    g = detections.groupBy("element_id").agg(F.count("element_id").alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("element_id")).limit(1)
+    return g.join(labels.select("element_id", "label"), "element_id", "left")
+
+
+def session_detail(events: DataFrame, labels: DataFrame, session: str, limit: int = 500) -> DataFrame:
+    """The first events of one session in order, with labels."""
+    e = events.where(F.col("session_id") == session).orderBy("ms", "seq").limit(limit).select("ms", "seq", "event_type", "route", "element_id")
+    return e.join(labels.select("element_id", "label"), "element_id", "left")
+
+
+def element_detail(detections: DataFrame, element: str, last: int = 25, top: int = 5) -> DataFrame:
+    """type, n, sessions: the most frequent types among the last detections of an element, and the sessions of all of these."""
+    d = detections.where(F.col("element_id") == element).orderBy(F.desc("ts_ms"), "session_id", "type").limit(last)
+    d = d.withColumn("sessions", F.size(F.collect_set("session_id").over(Window.partitionBy())).cast("long"))  # over `last` rows
+    return d.groupBy("type", "sessions").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type").limit(top)
+
+
+def variant_performance(interventions: DataFrame, warm: int = 30) -> DataFrame:
+    """label, type, variants, shown, winner of groups with several variants: the best warm one, or the best of all if none is."""
+    rate = F.when(F.col("impressions") > 0, F.col("successes") / F.col("impressions")).otherwise(F.lit(0.0))
+    order = F.struct((F.col("impressions") >= warm).alias("warm"), rate.alias("rate"), "row_id")
+    g = interventions.groupBy("label", "type").agg(F.count("*").alias("variants"), F.sum("impressions").alias("shown"), F.max_by("row_id", order).alias("winner"))
+    return g.where("variants > 1")
+
+
+def recent_usage(usage: DataFrame, months: int = 6) -> DataFrame:
+    """The last months of metering, newest first."""
+    return usage.orderBy(F.desc("month")).limit(months)
+
+
+def ready_orgs(keys: DataFrame, described: DataFrame) -> DataFrame:
+    """org: those with a key and with at least one described element."""
+    return keys.select("org").distinct().join(described.select("org"), "org", "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,6 +11,32 @@ from friction.functions.ids import element_id
 TAG = r"(?i)<(button|input|textarea|select|form|a)\b([^>]*)>"
 SPACES = r"[\s   -     　﻿]+"
 
+#: Roles by the first words of a label, in the order they are tried.
+ROLE_WORDS = (
+    ("SUBMIT", r"submit|save|create|continue|next|sign\s?up|register|apply|send|publish|post"),
+    ("CANCEL", r"cancel|close|discard|nevermind|back|skip"),
+    ("DANGER", r"delete|remove|destroy|drop|wipe|clear|deactivate"),
+    ("DISMISS", r"dismiss|close|×|✕|hide"),
+    ("RETRY", r"retry|try again|reload|refresh"),
+    ("HELP", r"help|support|contact|faq|docs|documentation"),
+    ("SEARCH", r"search|find|lookup"),
+    ("LOGIN", r"log\s?in|sign\s?in"),
+    ("LOGOUT", r"log\s?out|sign\s?out"),
+    ("PAYMENT", r"pay|checkout|purchase|buy"),
+)
+DESTRUCTIVE = ("DANGER", "DELETE", "LOGOUT")
+
+
+def semantic_role(tag: Column, kind: Column, href: Column, label: Column, css: Column) -> Column:
+    """What an element is for: by its type, its target, its label, its class; null if nothing says."""
+    link = tag == "a"
+    role = F.when(tag.isin("input", "button") & (kind == "submit"), "SUBMIT")
+    role = role.when(link & href.isin("#help", "/help"), "HELP").when(link & href.isin("#search", "/search"), "SEARCH").when(link, "NAV")
+    for name, words in ROLE_WORDS:
+        role = role.when(F.trim(label).rlike(rf"(?i)^({words})(?![A-Za-z0-9_])" if name != "DISMISS" else rf"(?i)^(?:(?:dismiss|close|hide)(?![A-Za-z0-9_])|[×✕](?=[A-Za-z0-9_]))"), name)
+    css = F.lower(F.coalesce(css, F.lit("")))
+    return role.when(css.contains("danger") | css.contains("destructive"), "DANGER").when(css.contains("primary") | css.contains("cta"), "PRIMARY")
+
 
 def attribute(name: str):
     """Value of an attribute, by the quoting forms of HTML; null if absent."""
@@ -20,7 +46,7 @@ def attribute(name: str):
 
 
 def elements(pages: DataFrame, org: str = "org") -> DataFrame:
-    """page_id, tag, tag_index, href, type_attr, label, semantic_role, element_id of each interactive element, in order.
+    """page_id, tag, tag_index, href, type_attr, label, semantic_role, destructive, required, element_id of each interactive element, in order.
 
     pages: page_id, url, html. The label is aria-label, title, placeholder or the text up to the closing tag."""
     parts = F.split("html", r"(?i)(?=<(?:button|input|textarea|select|form|a)\b[^>]*>)")
@@ -29,10 +55,10 @@ def elements(pages: DataFrame, org: str = "org") -> DataFrame:
     inner = F.trim(F.regexp_replace(F.regexp_replace(F.substring_index("rest", "</", 1), r"<[^>]*>", " "), SPACES, " "))
     label = F.coalesce(attribute("aria-label"), attribute("title"), attribute("placeholder"), F.nullif(F.substring(inner, 1, 200), F.lit("")))
     index = F.row_number().over(Window.partitionBy("page_id", "tag").orderBy("pos")) - F.lit(1)
-    rows = rows.select("page_id", "url", "pos", "tag", index.alias("tag_index"), attribute("href").alias("href"), attribute("type").alias("type_attr"), label.alias("label"))
-    role = F.when(F.lower("type_attr") == "submit", "SUBMIT").when((F.col("tag") == "a") & F.col("href").isNotNull(), "NAVIGATION").when(F.col("tag").isin("input", "textarea", "select"), "INPUT").otherwise("ACTION")
+    rows = rows.select("page_id", "url", "pos", "tag", index.alias("tag_index"), attribute("href").alias("href"), attribute("type").alias("type_attr"), label.alias("label"), attribute("class").alias("css"), F.col("attrs").rlike(r"(?i)(^|\s)required(\s|=|/|$)").alias("required"))
+    role = semantic_role(F.col("tag"), F.col("type_attr"), F.col("href"), F.col("label"), F.col("css"))
     descriptor = F.concat(F.col("tag"), F.lit("["), F.col("tag_index"), F.lit("]"))
-    return rows.select("page_id", "tag", "tag_index", "href", "type_attr", "label", role.alias("semantic_role"), element_id(F.lit(org), F.col("url"), descriptor).alias("element_id"))
+    return rows.select("page_id", "tag", "tag_index", "href", "type_attr", "label", role.alias("semantic_role"), F.coalesce(role.isin(*DESTRUCTIVE), F.lit(False)).alias("destructive"), "required", element_id(F.lit(org), F.col("url"), descriptor).alias("element_id"))
 
 
 def metadata(pages: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from friction.schema import EVENT_TYPES, STORED_TYPES
 
@@ -61,3 +62,38 @@ def unseen_struggles(detections: DataFrame, stored: DataFrame, since_ms: int) ->
     """Detections without a stored one of their session, element and type since a time; a null element equals null."""
     s = stored.where(F.col("ts_ms") >= since_ms).select(F.col("session_id").alias("s"), F.col("element_id").alias("el"), F.col("type").alias("t")).distinct()
     return detections.join(s, (F.col("session_id") == F.col("s")) & F.col("element_id").eqNullSafe(F.col("el")) & (F.col("type") == F.col("t")), "left_anti")
+
+
+def authorised(batches: DataFrame, keys: DataFrame) -> DataFrame:
+    """Batches (token, ...) with the org of their token; batches whose key is unknown or revoked are left out.
+
+    keys: key_hash (SHA-256 of the token), org, revoked_at."""
+    live = keys.where("revoked_at is null").select(F.col("key_hash").alias("token_hash"), "org")
+    return batches.withColumn("token_hash", F.sha2("token", 256)).join(live, "token_hash").drop("token_hash", "token")
+
+
+def newest(events: DataFrame, keep: int = 200) -> DataFrame:
+    """What a client's buffer still holds: the last events of each session by arrival."""
+    w = Window.partitionBy("session_id").orderBy(F.desc("seq"))
+    return events.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= keep).drop("nth")
+
+
+def debounced(events: DataFrame, quiet_ms: int) -> DataFrame:
+    """Events that no other of the session, element and type follows within a time."""
+    w = Window.partitionBy("session_id", "element_id", "event_type").orderBy("ms", "seq")
+    gap = F.lead("ms").over(w) - F.col("ms")
+    return events.withColumn("gap", gap).where(F.col("gap").isNull() | (F.col("gap") >= quiet_ms)).drop("gap")
+
+
+def input_growth(events: DataFrame) -> DataFrame:
+    """Input events with `delta`: how much longer the field is than at its input before (at first: its length)."""
+    w = Window.partitionBy("session_id", "element_id").orderBy("ms", "seq")
+    rows = events.where("event_type = 'INPUT_CHANGE'")
+    return rows.withColumn("delta", F.coalesce("m_length", F.lit(0.0)) - F.coalesce(F.lag("m_length").over(w), F.lit(0.0)))
+
+
+def counted(batch: DataFrame, accepted: DataFrame) -> DataFrame:
+    """accepted, duplicates: events stored, and storable ones that were not."""
+    one = lambda df, name: df.agg(F.count("*").alias(name)).withColumn("one", F.lit(1))
+    rows = one(storable(batch), "storable").join(one(accepted, "accepted"), "one")
+    return rows.select("accepted", (F.col("storable") - F.col("accepted")).alias("duplicates"))

@@ -88,7 +88,7 @@ def test_html(spark):
     html = """<title> A  page </title><h2>x</h2><form action="/f"><input type="submit" value="Go" aria-label="Go on"><a href='/q'>See <b>more</b></a></form><div id="root"></div>"""
     pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
     got = [(r.tag, r.tag_index, r.href, r.label, r.semantic_role) for r in elements(pages).collect()]
-    assert ("input", 0, None, "Go on", "SUBMIT") in got and ("a", 0, "/q", "See more", "NAVIGATION") in [(g[0], g[1], g[2], "See more", g[4]) for g in got]
+    assert ("input", 0, None, "Go on", "SUBMIT") in got and ("a", 0, "/q", "See more", "NAV") in [(g[0], g[1], g[2], "See more", g[4]) for g in got]
     m = metadata(pages).first()
     assert (m.title, m.sections, m.spa_shell) == ("A page", 1, True)
 
