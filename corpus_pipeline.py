@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from friction.llm.common import read_table, shared_dir
 from friction.llm.exact_dedup import drop_copies
 from friction.llm.mixing import mixed_documents
+from friction.llm.near_copies import drop_similar
 from friction.llm.packing import pack
-from friction.llm.simhash import drop_near_copies
 from friction.llm.toxicity import drop_toxic
 
 
@@ -25,8 +25,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each component of near-equal fingerprints, the document with the smallest doc_id."""
-    return drop_near_copies(docs)
+    """Keeps, of each component of texts whose five-word shingles are similar, the document with the smallest doc_id."""
+    return drop_similar(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
