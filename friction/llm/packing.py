@@ -2,8 +2,8 @@
 its contents.
 
 Documents beyond the longest capacity are cut into pieces, none is dropped. A hash deals the pieces out to cells of
-bounded size that are packed independently; pieces of bins that stay too empty meet again in the larger cells of the
-next round, until one cell is left.
+bounded size that are packed independently; pieces of bins that stay too empty meet others in the cells of the next
+round, until one cell is left or a round closes too few: then every bin closes. A cell holds about CELL pieces in any round.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from friction.llm.common import words_in, written
 
 CAPACITIES = (256, 512, 1024, 2048)
-#: Cost of a bin besides its capacity; pieces in a cell; the part of a bin that must be used for it to close early.
-OVERHEAD, CELL, FULL = 16, 8192, 0.97
+#: Cost of a bin besides its capacity; pieces in a cell; the part of a bin that must be used for it to close early; the
+#: part of the open pieces that a round must close for another to follow.
+OVERHEAD, CELL, FULL, CLOSES = 16, 8192, 0.97, 0.1
 
 
 def best_fit(lengths: np.ndarray, capacities: tuple[int, ...], overhead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,15 +81,18 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: in
     start = F.col("piece") * F.lit(top)
     rows = written(pieces.select("doc_id", "piece", start.alias("start"), F.least(F.col("words") - start, F.lit(top)).cast("long").alias("length")), "pieces")
     kind = "doc_id long, piece long, start long, length long, cell long, bin_id string, capacity long, bin_used long, bin_offset long, closed boolean"
-    cells, level, done = max(1, -(-rows.count() // CELL)), 0, []
+    left, level, done, last = rows.count(), 0, [], False
     while True:
-        dealt = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(cells)).cast("long"))
-        packed = written(dealt.groupBy("cell").applyInPandas(packer(tuple(capacities), overhead, cells == 1, level), kind), "packed")
+        cells = max(1, -(-left // CELL))
+        last = last or cells == 1
+        dealt = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(cells)).cast("long"))
+        packed = written(dealt.groupBy("cell").applyInPandas(packer(tuple(capacities), overhead, last, level), kind), "packed")
         done.append(packed.where("closed"))
-        if cells == 1:
+        if last:
             break
         rows = packed.where("not closed").select("doc_id", "piece", "start", "length")
-        cells, level = min(cells - 1, max(1, -(-rows.count() // CELL))), level + 1
+        before, left, level = left, rows.count(), level + 1
+        last = left > (1 - CLOSES) * before
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

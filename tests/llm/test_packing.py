@@ -71,3 +71,26 @@ def partitions(x, capacities, overhead, open_=()):
         if u + x[0] <= max(capacities):
             yield from partitions(x[1:], capacities, overhead, (*open_[:i], u + x[0], *open_[i + 1 :]))
     yield from partitions(x[1:], capacities, overhead, (*open_, x[0]))
+
+
+def test_cells_stay_bounded_where_nothing_can_be_combined(spark, make_docs, monkeypatch, tmp_path):
+    """Two pieces of 1100 to 1900 words never share a bin, and none of them fills one."""
+    monkeypatch.setattr(packing, "CELL", 60)
+    seen = str(tmp_path / "cells")
+    one = packing.packer
+
+    def noted(*args):
+        pack_cell = one(*args)
+
+        def run(key, pdf):
+            with open(seen, "a") as f:
+                f.write(f"{len(pdf)}\n")
+            return pack_cell(key, pdf)
+
+        return run
+
+    monkeypatch.setattr(packing, "packer", noted)
+    rows = [(i, "w " * (1100 + i * 37 % 800), "en", "a") for i in range(900)]
+    check(rows, pack(make_docs(rows)).collect())
+    sizes = [int(n) for n in open(seen)]
+    assert max(sizes) < 2 * 60 and sum(sizes) <= 3 * 900
