@@ -3,7 +3,8 @@
 The words of a text form a chain whose labels are languages, so a text may switch between them. A word's score for a
 language sums learned weights of its affixes, of its character n-grams and of the lexicon it is in; learned transition
 weights join neighbours; forward-backward gives each word's marginal. The model is fitted on the driver on a bounded
-sample of labelled texts, spliced into chains that switch; it is then a table of fixed size that goes to every task.
+sample of labelled texts of every language, spliced into chains that switch; it is then a table that goes to every task,
+whose size does not depend on the rows but grows with the number of languages.
 Scores of a whole batch of texts are array operations: n-grams are hashed by position, and chains are cut into blocks
 whose transfer matrices are multiplied side by side before the exact recursions run within all blocks at once.
 """
@@ -18,8 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the sample: documents and words of each language, and languages (the most frequent).
+from friction.llm.common import SPACE
+
+#: Bounds of the sample: documents and words of each language; beyond LANGUAGES languages all share what these have.
 DOCS, WORDS, LANGUAGES = 300, 15_000, 32
+FEW = 20  # documents that a language has of the sample at least, if there are as many
 BITS = 18  # of the hashed feature table
 BLOCK = 32  # words that one step-by-step recursion covers
 CHARS = 400_000  # characters that are scored together
@@ -68,12 +72,12 @@ def words_of(texts: list[str]) -> Words:
     c = np.where(is_letter, c, np.uint64(1))  # all word ends look alike
     p, q = np.uint64(0x100000001B3), np.uint64(0x9E3779B1)
     two = c[:-1] * q + c[1:]
-    three = two[:-1] * q + c[2:]
     # grams at positions start-1 .. end-1: each begins at the letter or at the boundary before it
     size = end - start + 1
     at = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64) if len(size) else np.zeros(0, np.int64)
     place = np.repeat(start - 1 - at, size) + np.arange(int(size.sum()))
-    grams = np.stack([mix(two[place], 1), mix(three[np.minimum(place, len(three) - 1)], 2)], 1)
+    third = np.where(is_letter[place + 1], c[place + 2], np.uint64(1))  # no gram reads beyond the word's end
+    grams = np.stack([mix(two[place], 1), mix(two[place] * q + third, 2)], 1)
     length = end - start
     affixes, h = [], np.zeros(len(start), np.uint64)
     for k in range(3):
@@ -139,8 +143,26 @@ def marginals_of_chains(scores: np.ndarray, transitions: np.ndarray) -> tuple[np
     return m / m.sum(-1, keepdims=True), pair.sum((0, 1))
 
 
+def share_of_words(languages: int) -> int:
+    """Words of each language in the sample."""
+    return max(CHAIN, min(WORDS, WORDS * LANGUAGES // max(1, languages)))
+
+
+def spread(mine: np.ndarray, text: np.ndarray, words: int) -> np.ndarray:
+    """At most about `words` of a language's word numbers (ascending): of each text the same number from its begin on, or
+    all it has."""
+    if len(mine) <= words:
+        return mine
+    _, first, which, count = np.unique(text[mine], return_index=True, return_inverse=True, return_counts=True)
+    low, high = 1, int(count.max())
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if np.minimum(count, mid).sum() <= words else (low, mid - 1)
+    return mine[np.arange(len(mine)) - first[which] < low][: max(words, len(count))]
+
+
 def fit(texts: list[str], langs: list[str], rounds: int = 40, seed: int = 7) -> Model | None:
-    """A model of at most WORDS words of each language. Chains splice spans of several texts: that is where transitions
+    """A model of share_of_words() words of each language, spread over all its texts. Chains splice spans of several texts: that is where transitions
     between languages are learned."""
     labels = sorted(set(langs))
     if not labels:
@@ -148,7 +170,7 @@ def fit(texts: list[str], langs: list[str], rounds: int = 40, seed: int = 7) ->
     n, rng = len(labels), np.random.default_rng(seed)
     w = words_of(texts)
     label = np.array([labels.index(x) for x in langs], np.int64)[w.text] if len(w.text) else np.zeros(0, np.int64)
-    pools = [np.flatnonzero(label == k)[:WORDS] for k in range(n)]
+    pools = [spread(np.flatnonzero(label == k), w.text, share_of_words(n)) for k in range(n)]
     model = Model(labels, np.zeros((2**BITS, n), np.float32), np.eye(n) * 2.0, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((n + 1, n)))
     if not sum(map(len, pools)):
         return model
@@ -315,17 +337,33 @@ def held_out(c) -> F.Column:
     return F.pmod(F.crc32(F.encode(c.cast("string"), "UTF-8")), F.lit(3)) == 1
 
 
-def training_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """Whole texts and languages of about DOCS documents of each language that are not held out, chosen by a hash of the text's id."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return [], []
+def sampled(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Rows doc_id, text, lang, n of about DOCS documents of every language that are not held out, chosen by a hash of the
+    text's id, and the number of languages. n: how many of the language are expected."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True))).select("doc_id", "text", "lang")
+    counts = [(r["lang"], r["count"]) for r in rows.groupBy("lang").count().collect()]
+    most = max(FEW, min(DOCS, DOCS * LANGUAGES // max(1, len(counts))))
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, most / n), min(most, n)) for lang, n in counts], "of string, share double, n long")
     u = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(2**31)) / F.lit(2.0**31)
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, DOCS / r["count"]))).otherwise(share)
-    sample = sorted((r["doc_id"], r["text"], r["lang"]) for r in rows.where(u < share).select("doc_id", "text", "lang").collect())
+    return rows.join(F.broadcast(shares), (F.col("lang") == F.col("of")) & (u < F.col("share"))).drop("of", "share"), len(counts)
+
+
+def training_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
+    """Whole texts and languages of the sampled documents."""
+    sample = sorted((r["doc_id"], r["text"], r["lang"]) for r in sampled(docs)[0].collect())
+    return [r[1] for r in sample], [r[2] for r in sample]
+
+
+def training_spans(docs: DataFrame) -> tuple[list[str], list[str]]:
+    """A span of each sampled document and its language. Spans are cut in the tasks, at a place that a hash of the id
+    draws; they are long enough to fill the language's share of words even if half of the documents are short."""
+    rows, languages = sampled(docs)
+    rows = rows.withColumn("span", F.ceil(F.lit(2 * share_of_words(languages)) / F.col("n")).cast("int"))
+    words = F.split(F.trim("text"), SPACE)
+    start = F.pmod(F.xxhash64("doc_id", F.lit("span")), F.greatest(F.size("words") - F.col("span") + 1, F.lit(1))).cast("int") + 1
+    rows = rows.withColumn("words", words).select("doc_id", "lang", F.expr("span * 16").alias("chars"), F.array_join(F.slice("words", start, F.col("span")), " ").alias("text"))
+    rows = rows.select("doc_id", F.substring("text", F.lit(1), F.col("chars")).alias("text"), "lang")
+    sample = sorted((r["doc_id"], r["text"], r["lang"]) for r in rows.collect())
     return [r[1] for r in sample], [r[2] for r in sample]
 
 
@@ -336,8 +374,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     or without a letter, and all texts if nothing could be learned, are `und` with score 0. Rows with a null doc_id are
     predicted, not held out, and not learned from. Repeated rows get equal results. An empty table gives an empty result."""
     if model is None:
-        model = fit(*training_sample(docs))
-    packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # of fixed size: BITS, LANGUAGES, WORDS
+        model = fit(*training_spans(docs))
+    packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # of a size that BITS and the number of languages fix
 
     def run(batches):
         model = pickle.loads(packed.value)

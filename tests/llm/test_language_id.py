@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from friction.llm.common import read_table
+from friction.llm import language_id
 from friction.llm.language_id import fit, identify, marginals_of_chains, predict, sums_of_marginals, training_sample, words_of
 
 
@@ -103,3 +104,40 @@ def test_long_texts_are_scored_in_pieces_like_whole_ones(data, monkeypatch):
     monkeypatch.setattr("friction.llm.language_id.CHARS", 700)
     for a, b in zip(predict(data[1], texts), want):
         assert a[0] == b[0] and a[2] == b[2] and abs(a[1] - b[1]) < 1e-5
+
+
+def test_every_language_is_learned(make_docs):
+    """Forty languages, each of its own letters; the rarest are beyond the 32 most frequent."""
+    def text(k, i):
+        rnd = random.Random(k * 1000 + i)
+        return " ".join("".join(rnd.choice([chr(0x4E00 + 12 * k + c) for c in range(12)]) for _ in range(4)) for _ in range(12))
+
+    rows = [(k * 100 + i, text(k, i), f"l{k:02}", "a") for k in range(40) for i in range(60 - k)]
+    got = {r.doc_id: r.lang_pred for r in identify(make_docs(rows)).collect()}
+    right = [(lang, got[i] == lang) for i, _, lang, _ in rows if held_out(i)]
+    assert sum(ok for _, ok in right) > 0.95 * len(right)
+    assert {lang for lang, ok in right if ok} == {lang for lang, _ in right}
+
+
+def test_one_long_text_is_not_its_whole_language(make_docs):
+    ids = [i for i in range(200) if not held_out(i)][:60]
+    rows = [(i, " ".join(f"{'abcdefghij'[n % 10]}{'klmnopqrst'[i % 10]}{'uvwxyz'[i // 10 % 6]}" for n in range(200 if k else 40_000)), "en", "a") for k, i in enumerate(ids)]
+    texts, langs = language_id.training_spans(make_docs(rows))
+    assert len(texts) == len(langs) == 60 and max(len(t.split()) for t in texts) <= 2 * language_id.WORDS // 60
+    whole = [t for _, t, *_ in rows]
+    w = words_of(whole)
+    used = language_id.spread(np.arange(len(w.text)), w.text, language_id.WORDS)
+    assert len(np.unique(w.text[used])) == 60 and len(used) <= language_id.WORDS
+
+
+def test_spans_are_of_rows_that_are_not_held_out_and_learn_as_well(data):
+    docs, _, rows = data
+    texts, langs = language_id.training_spans(docs)
+    allowed = {}
+    for i, t, lang in rows:
+        if not held_out(i) and t:
+            allowed.setdefault(lang, []).append(" ".join(t.split()))
+    assert all(any(t.strip() in x for x in allowed[lang]) for t, lang in zip(texts, langs))
+    rest = [(t, lang) for i, t, lang in rows if held_out(i) and t]
+    got = predict(fit(texts, langs), [t for t, _ in rest])
+    assert sum(g[0] == lang for g, (_, lang) in zip(got, rest)) / len(rest) > 0.97
