@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +68,24 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int,
     cold = cold.withColumn("cold_spread", F.lit(0).cast("long"))
     found = found.join(cold, (F.col("cold_of") == F.col("cold_key")) & (F.col("spread") == F.col("cold_spread")), "left")
     return found.select(*rows.columns, *[F.coalesce(f"hot_{c}", f"cold_{c}").alias(c) for c in values])
+
+
+def row_of(docs: DataFrame, key: list[Column]) -> DataFrame:
+    """Each row of docs as one struct `row`, with its key in k0, k1, ...: no column of docs can clash with another's."""
+    whole = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    return docs.select(whole.alias("row"), *[c.alias(f"k{i}") for i, c in enumerate(key)])
+
+
+def without(docs: DataFrame, key: list[Column], gone: DataFrame) -> DataFrame:
+    """docs without the rows whose key is in gone (k0, k1, ..., one_stays; each key once, nulls equal). Where one_stays is
+    true, one of the rows of that key stays. Decisions reach exactly the rows of their key."""
+    names = [f"k{i}" for i in range(len(key))]
+    rows = row_of(docs, key)
+    gone = gone.select(*[F.col(k).alias(f"gone_{k}") for k in names], "one_stays")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"gone_{k}")) for k in names])
+    left = rows.join(gone, same, "left_anti").select("row.*")
+    repeated = gone.where("one_stays")
+    if repeated.isEmpty():
+        return left
+    one = rows.join(repeated, same, "left_semi").groupBy(*names).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return left.unionByName(one.select("row.*"))

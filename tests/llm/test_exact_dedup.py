@@ -39,3 +39,12 @@ def test_drop_copies_keeps_columns_and_one_of_each(spark, sf):
     kept = drop_copies(docs)
     assert kept.columns == docs.columns
     assert kept.count() == exact_dedup(docs).where("kept").count() < docs.count()
+
+
+def test_drop_copies_decides_by_row(make_docs, repeats, rows_of):
+    docs = make_docs(repeats)
+    kept = drop_copies(docs.repartition(5), fan=2)
+    assert kept.columns == docs.columns
+    want = [(1, "T " * 9), (2, "the one U text"), (3, "V and more"), (4, ""), (None, "of no id")]
+    assert rows_of(kept) == sorted(want, key=str)
+    assert drop_copies(make_docs([])).count() == 0
