@@ -1,15 +1,18 @@
 """SimHash near-dedup with BK-trees.
 
-Equal fingerprints meet first, by an aggregation. Two fingerprints within r bits agree in full on at least one of r + 1
-bands, so a shard is the set of fingerprints that share a band's value: its BK-tree gets there by one shuffle instead of
-a broadcast, for which the corpus sets no bound. Shards are packed into tasks by the hundred; a task builds their trees
-as one forest and follows only edges within the radius. A shard that holds a large part of all fingerprints is cut into
-chunks, and each pair of chunks is a task of its own. Tasks return a star for each local component, never pairs; the
-stars are joined to components by alternating large-star and small-star steps.
+Equal fingerprints meet first, by an aggregation. The bits are cut into m blocks; two fingerprints within r bits agree in
+full on at least m - r of them. A shard is the set of fingerprints that agree on one choice of m - r blocks: its BK-tree
+gets there by one shuffle instead of a broadcast, for which the corpus sets no bound. m is the least for which a shard of
+random fingerprints stays small. Shards are packed into tasks by the hundred; a task builds their trees as one forest and
+follows only edges within the radius. A shard beyond SHARD fingerprints is cut into chunks, and each pair of chunks is a
+task of its own. Tasks return a star for each local component, never pairs; the stars are joined to components by
+alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -17,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from friction.llm.common import dropped, lookup, written
+from friction.llm.common import dropped, lookup, without, written
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Fingerprints in a task, and pairs of query and node that it looks at together.
-TASK_ROWS, FRONTIER = 20_000, 500_000
+#: Fingerprints in a task, pairs of query and node that it looks at together, fingerprints that a shard has on average.
+TASK_ROWS, FRONTIER, SHARD = 20_000, 500_000, 4096
 
 
 def fingerprint(text: str | None) -> int:
@@ -47,17 +50,24 @@ def fingerprints(texts: pd.Series) -> pd.Series:
     return texts.map(fingerprint, na_action=None).astype("int64")
 
 
+def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints of one word, or of several in a row each."""
+    d = np.bitwise_count(a ^ b).astype(np.int64)
+    return d if d.ndim == 1 else d.sum(1)
+
+
 def bk_forest(shard: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """BK-trees of all shards at once: each item's root, and the edges as sorted keys node * 65 + distance with the child.
+    """BK-trees of all shards at once: each item's root, and the edges as sorted keys node * (bits + 1) + distance with the
+    child. points: one word an item, or a row of several.
 
     Items are sorted by shard, and differ within one. All items below a node reach it in the same round; of those at one
     distance the first becomes the child, the others go on to it."""
     first = np.concatenate(([True], shard[1:] != shard[:-1]))
     root = np.flatnonzero(first)[np.cumsum(first) - 1]
     going, node = np.flatnonzero(~first), root[~first]
-    keys, kids = [], []
+    keys, kids, span = [], [], 64 * (points.size // max(1, len(points))) + 1
     while len(going):
-        key = node * 65 + np.bitwise_count(points[going] ^ points[node])
+        key = node * span + bits_apart(points[going], points[node])
         edge, at, which = np.unique(key, return_index=True, return_inverse=True)
         keys.append(edge)
         kids.append(going[at])
@@ -71,18 +81,18 @@ def bk_forest(shard: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def near(root: np.ndarray, keys: np.ndarray, kids: np.ndarray, points: np.ndarray, radius: int):
     """Yield pairs (item, node) within the radius; an item's search follows the edges at its distance ± radius."""
-    stack = [(np.arange(len(points)), root)]
+    stack, bits = [(np.arange(len(points)), root)], 64 * (points.size // max(1, len(points)))
     while stack:
         item, node = stack.pop()
         if len(item) > FRONTIER:
             stack += [(item[a : a + FRONTIER], node[a : a + FRONTIER]) for a in range(0, len(item), FRONTIER)]
             continue
-        d = np.bitwise_count(points[item] ^ points[node]).astype(np.int64)
+        d = bits_apart(points[item], points[node])
         hit = (d <= radius) & (item > node)
         if hit.any():
             yield item[hit], node[hit]
-        lo = np.searchsorted(keys, node * 65 + np.maximum(d - radius, 0), "left")
-        n = np.searchsorted(keys, node * 65 + np.minimum(d + radius, 64), "right") - lo
+        lo = np.searchsorted(keys, node * (bits + 1) + np.maximum(d - radius, 0), "left")
+        n = np.searchsorted(keys, node * (bits + 1) + np.minimum(d + radius, bits), "right") - lo
         if total := int(n.sum()):
             place = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
             stack.append((np.repeat(item, n), kids[place]))
@@ -118,21 +128,26 @@ def link_task(radius: int):
     return link
 
 
+def masks(total: int, radius: int) -> list[int]:
+    """Bits that a shard's fingerprints agree on, for each choice of blocks."""
+    for m in range(radius + 1, 65):
+        edges = [64 * i // m for i in range(m + 1)]
+        if total >> (64 * (m - radius) // m) <= SHARD or m == 3 * (radius + 1):
+            return [sum((1 << edges[i + 1]) - (1 << edges[i]) for i in c) for c in combinations(range(m), m - radius)]
+    return [2**64 - 1]
+
+
 def links(points: DataFrame, total: int, radius: int = RADIUS) -> DataFrame:
     """u, v: stars whose components are those of all fingerprints within the radius. points: distinct fp; total: how many."""
-    width, rest = divmod(64, radius + 1)
-    sizes = [width + (i < rest) for i in range(radius + 1)]
-    bands, at = [], 0
-    for i, w in enumerate(sizes):
-        value = F.shiftrightunsigned("fp", at).bitwiseAND(F.lit(2**w - 1))
-        bands.append(F.struct(F.lit(i).alias("band"), value.alias("value")))
-        at += w
+    chosen = masks(total, radius)
+    signed = np.array(chosen, np.uint64).view(np.int64).tolist()
+    bands = [F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(w)).alias("value")) for i, w in enumerate(signed)]
     rows = points.select("fp", F.explode(F.array(*bands)).alias("b")).select("fp", "b.band", "b.value")
-    limit = max(TASK_ROWS, total // 1000)  # at most 1000 values of each band are above it: that bounds the broadcast
-    hot = rows.groupBy("band", "value").count().where(F.col("count") > limit)
+    # which shards are cut: few rows or many, so the join is left to the planner, which knows their size
+    hot = rows.groupBy("band", "value").count().where(F.col("count") > TASK_ROWS)
     hot = hot.select(F.col("band").alias("hot_band"), F.col("value").alias("hot_value"), F.ceil(F.col("count") / (TASK_ROWS // 2)).alias("chunks"))
-    rows = rows.join(F.broadcast(hot), (F.col("band") == F.col("hot_band")) & (F.col("value") == F.col("hot_value")), "left")
-    tasks = max(1, -(-total * (radius + 1) // TASK_ROWS))
+    rows = rows.join(written(hot, "hot"), (F.col("band") == F.col("hot_band")) & (F.col("value") == F.col("hot_value")), "left")
+    tasks = max(1, -(-total * len(chosen) // TASK_ROWS))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks"))
     rows = rows.withColumn("task", F.when(F.col("chunks").isNull(), F.pmod(F.xxhash64("band", "value"), F.lit(tasks))).otherwise(F.xxhash64("band", "value")))
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))))
@@ -141,7 +156,8 @@ def links(points: DataFrame, total: int, radius: int = RADIUS) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node it is linked to), for each node of the edges (u, v) but the roots themselves."""
+    """node, root (the smallest node it is linked to), for each node of the edges (u, v) but the roots themselves. A node
+    that holds many edges meets its smallest neighbour by a broadcast of such nodes alone, so no task holds its star."""
 
     def state(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
@@ -151,12 +167,12 @@ def components(edges: DataFrame) -> DataFrame:
     while (now := state(edges)) != before:
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(F.col("u").alias("at")).agg(F.least(F.min("v"), F.min("u")).alias("low"))
-        large = both.join(low, F.col("u") == F.col("at")).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("low"), F.count("*").alias("n"))
+        large = lookup(both, low, "u", "n", 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         large = written(large, "large")
-        low = large.groupBy(F.col("u").alias("at")).agg(F.min("v").alias("low"))
-        small = large.join(low, F.col("u") == F.col("at"))
-        small = small.select("v", "low").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(low.select(F.col("at").alias("u"), F.col("low").alias("v"))).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n"))
+        small = lookup(large, low, "u", "n", large.count())
+        small = small.select("v", "low").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(low.select("u", F.col("low").alias("v"))).distinct()
         small = written(small, "small")
         dropped(edges)
         dropped(large)
@@ -164,25 +180,37 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def with_components(docs: DataFrame, radius: int) -> DataFrame:
+    """doc_id, fp, component_id, first_fp of each row of docs; the last two are null and `found` too where it is alone."""
+    prints = written(docs.select("doc_id", fingerprints("text").alias("fp")), "prints")
+    points = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "points")
+    total, distinct = prints.count(), points.count()
+    roots = components(links(points.select("fp"), distinct, radius))
+    grouped = points.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    first = F.min(F.struct(F.col("rep").isNull(), "rep", "fp"))
+    best = grouped.groupBy(F.col("root").alias("of")).agg(first.alias("first"), F.sum("n").alias("members")).where("members > 1")
+    best = best.select("of", F.col("first.rep").alias("component_id"), F.col("first.fp").alias("first_fp"))
+    grouped = grouped.join(best, F.col("root") == F.col("of")).select("fp", "n", "component_id", "first_fp", F.lit(True).alias("found"))
+    return lookup(prints, grouped, "fp", "n", total)
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint, component_id: one row for each row of docs (doc_id, text; others ignored).
 
     Null, empty and blank texts have fingerprint 0 and link like any other. component_id is the smallest doc_id of the
     component; null ids are passed over unless a component has no other. Repeated rows share their component. An empty
     table gives an empty result. All shingles of a text count, however long it is."""
-    prints = written(docs.select("doc_id", fingerprints("text").alias("fp")), "prints")
-    points = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "points")
-    total, distinct = prints.count(), points.count()
-    roots = components(links(points.select("fp"), distinct, radius))
-    grouped = points.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    best = grouped.groupBy(F.col("root").alias("of")).agg(F.min("rep").alias("component_id"), F.sum("n").alias("members"))
-    grouped = grouped.join(best, F.col("root") == F.col("of")).where("members > 1").select("fp", "n", "component_id").withColumn("found", F.lit(True))
-    out = lookup(prints, grouped, "fp", "n", total)
     component = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
+    return with_components(docs, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
+
 
+def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """docs (doc_id, text; all columns kept) with exactly one row of each component of near_duplicates(): one with its
+    component_id, of several those with the smallest fingerprint.
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component of near_duplicates(): the smallest doc_id."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    The verdict is of the row, doc_id and fingerprint. Null ids stay only where a component has no other. Columns may have
+    any names. An empty table gives an empty result."""
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("first_fp"))
+    rows = with_components(docs, radius).where("found").groupBy("doc_id", "fp", stays.alias("one_stays")).count()
+    gone = rows.where("not one_stays or count > 1").select(F.col("doc_id").alias("k0"), F.col("fp").alias("k1"), "one_stays")
+    return without(docs, [F.col("doc_id"), fingerprints("text")], written(gone, "gone"))

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from friction.llm import near_copies
 from friction.llm.common import read_table
@@ -12,7 +14,7 @@ def shingles(text):
 
 def brute(rows):
     """Rows that stay by single links of similarity 0.8 between all pairs."""
-    rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0], r[1] or ""))
+    rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
     sets, label = [shingles(t) for _, t in rows], list(range(len(rows)))
 
     def find(i):
@@ -63,3 +65,22 @@ def test_groups_cut_into_chunks(spark, make_docs, monkeypatch):
     rnd = random.Random(3)
     rows = [(i, text(i % 2, changed=rnd.sample(range(200), rnd.randint(0, 4)))) for i in range(60)]
     assert stay(spark, make_docs([(i, t, "en", "a") for i, t in rows])) == brute(rows)
+
+
+def test_repeats_and_clashing_columns(spark, make_docs, repeats, rows_of):
+    docs = make_docs(repeats)
+    kept = near_copies.drop_similar(docs)
+    assert kept.columns == docs.columns
+    want = [(1, "T " * 9), (2, "the one U text"), (3, "V and more"), (4, ""), (None, "of no id")]
+    assert rows_of(kept) == sorted(want, key=str)
+    assert near_copies.drop_similar(make_docs([])).count() == 0
+
+
+def test_pairs_at_the_limit_are_within_the_radius():
+    """Sets of 4 to 400 shingles that share just 0.8: how far apart their fingerprints are."""
+    rng = np.random.default_rng(1)
+    for n in (4, 8, 40, 400):
+        for _ in range(200):
+            s = rng.integers(0, 2**64, n + n // 4, dtype=np.uint64)
+            a, b = (np.frombuffer(near_copies.wide_fingerprint(x), np.uint64) for x in (s[:n], s))
+            assert np.bitwise_count(a ^ b).sum() <= near_copies.RADIUS

@@ -93,3 +93,26 @@ def test_components_of_a_long_chain(spark):
 def test_long_texts_are_counted_whole():
     text = " ".join(f"w{i % 977}" for i in range(70_003))
     assert fingerprint(text) & (2**64 - 1) == slow_fingerprint(text)
+
+
+def test_drop_near_copies_decides_by_row(make_docs, repeats, rows_of):
+    docs = make_docs(repeats)
+    kept = drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    want = [(1, "T " * 9), (2, "the one U text"), (3, "V and more"), (4, ""), (None, "of no id")]
+    assert rows_of(kept) == sorted(want, key=str)
+    assert drop_near_copies(make_docs([])).count() == 0
+
+
+def test_more_blocks_for_more_fingerprints_find_the_same(make_docs, monkeypatch):
+    assert [len(simhash.masks(n, 4)) for n in (10**6, 10**9, 10**11)] == [5, 15, 35]
+    rows = near_rows()
+    wide = simhash.masks(10**9, 4)
+    monkeypatch.setattr(simhash, "masks", lambda total, radius: wide)
+    assert sorted(map(tuple, near_duplicates(make_docs(rows)).collect()), key=str) == brute(rows)
+
+
+def test_components_of_a_hub(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 3000)] + [(i, i + 10_000) for i in range(1, 3000)], "u long, v long")
+    got = components(edges.repartition(8))
+    assert got.count() == 5998 and {r.root for r in got.select("root").distinct().collect()} == {0}
