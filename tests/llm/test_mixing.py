@@ -82,3 +82,23 @@ def test_the_mix_repeats_rows(spark, sf):
     docs = read_table(spark, sf, "documents")
     out, want = mixed_documents(docs), mix(docs)
     assert out.columns == docs.columns and out.count() == want.agg({"copies": "sum"}).first()[0]
+
+
+def test_the_mix_decides_by_row(make_docs, repeats, rows_of):
+    """Each row as often as its own decision says: one id with two texts, rows without an id, equal rows."""
+    docs = make_docs(repeats)
+    out, want = mixed_documents(docs), mix(docs).collect()
+    assert out.columns == docs.columns
+    got, words = {}, {}
+    for i, t in rows_of(out):
+        got[i, len(t.split())] = got.get((i, len(t.split())), 0) + 1
+    for r in want:
+        if r.copies:
+            words[r.doc_id, r["size"]] = words.get((r.doc_id, r["size"]), 0) + r.copies
+    assert got == words and sum(got.values()) > 5
+    assert mixed_documents(make_docs([])).count() == 0
+
+
+def test_blocks_of_one_repeated_id_stay_bounded(make_docs):
+    rows = [(7 if i % 2 else None, "w " * (1 + i % 11), "en", "a" if i % 3 else "b") for i in range(3 * BLOCK)]
+    check(make_docs(rows), rows, 4)

@@ -5,7 +5,7 @@ from friction.llm.common import read_table
 from friction.llm.exact_dedup import exact_dedup
 from friction.llm.mixing import mix
 from friction.llm.packing import pack
-from friction.llm.simhash import near_duplicates
+from friction.llm.near_copies import drop_similar
 from friction.llm.toxicity import toxicity
 
 
@@ -15,7 +15,7 @@ def test_each_stage_does_what_its_operator_decides(spark, sf, tmp_path):
     decide = [
         lambda d: ids(toxicity(d, labels).where("not toxic")),
         lambda d: ids(exact_dedup(d).where("kept")),
-        lambda d: sorted({r.component_id for r in near_duplicates(d).collect()}),
+        lambda d: ids(drop_similar(d)),  # held against all pairs in test_near_copies.py
         lambda d: sorted(Counter({r.doc_id: r.copies for r in mix(d).collect()}).elements()),
         lambda d: sorted(r.doc_id for r in pack(d).collect()),
     ]
