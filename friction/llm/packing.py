@@ -1,9 +1,11 @@
 """Variable-capacity best-fit packing: several sequence lengths are permitted, and each bin ends as the shortest that holds
 its contents.
 
-Documents beyond the longest capacity are cut into pieces, none is dropped. A hash deals the pieces out to cells of
-bounded size that are packed independently; pieces of bins that stay too empty meet others in the cells of the next
-round, until one cell is left or a round closes too few: then every bin closes. A cell holds about CELL pieces in any round.
+Lengths are tokens: whole documents are encoded once, and those beyond the longest capacity are cut into pieces, none is
+dropped. A hash deals the pieces out to cells of bounded size that are packed independently; pieces of bins that stay too
+empty meet others in the cells of the next round, until one cell is left or a round closes too few: then every bin closes.
+A cell holds about CELL pieces in any round. Only numbers are packed; the tokens wait in the table of pieces and join
+their places at the end.
 """
 
 from __future__ import annotations
@@ -15,12 +17,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from friction.llm.common import words_in, written
+from friction.llm.common import written
+from friction.llm.token_counts import VOCABULARY, encoding
 
 CAPACITIES = (256, 512, 1024, 2048)
 #: Cost of a bin besides its capacity; pieces in a cell; the part of a bin that must be used for it to close early; the
 #: part of the open pieces that a round must close for another to follow.
 OVERHEAD, CELL, FULL, CLOSES = 16, 8192, 0.97, 0.1
+#: Tokens that a task hands over together.
+HANDED = 2_000_000
 
 
 def best_fit(lengths: np.ndarray, capacities: tuple[int, ...], overhead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,43 +62,66 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...], overhead: int) ->
 
 def packer(capacities: tuple[int, ...], overhead: int, last: bool, level: int):
     def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], ignore_index=True)
+        pdf = pdf.sort_values(["length", "pid"], ascending=[False, True], ignore_index=True)
         bins, caps, used = best_fit(pdf["length"].to_numpy(), capacities, overhead)
         pdf["bin_id"] = [f"{level}-{key[0]}-{b}" for b in bins]
         pdf["capacity"], pdf["bin_used"] = caps[bins], used[bins]
         pdf["bin_offset"] = pdf.groupby("bin_id", sort=False)["length"].cumsum() - pdf["length"]
         pdf["closed"] = True if last else (used >= FULL * caps)[bins]
-        return pdf
+        return pdf[["pid", "length", "bin_id", "capacity", "bin_used", "bin_offset", "closed"]]
 
     return pack
 
 
-def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> DataFrame:
-    """doc_id, piece, start, length, bin_id, capacity, bin_used, bin_offset: one row for each piece of each row of docs
-    (doc_id, text; others ignored). Lengths and places are in words.
-
-    A document is one piece unless it is longer than the largest capacity, of which all its pieces but the last then are.
-    Null and empty texts are a piece of length 0. Repeated rows are packed each. An empty table gives an empty result.
-    Reruns put the same lengths into the same bins."""
-    top = max(capacities)
-    words = docs.select("doc_id", words_in(F.col("text")).alias("words"))
-    pieces = words.select("doc_id", "words", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("words") / top).cast("long") - 1, F.lit(0).cast("long")))).alias("piece"))
-    start = F.col("piece") * F.lit(top)
-    rows = written(pieces.select("doc_id", "piece", start.alias("start"), F.least(F.col("words") - start, F.lit(top)).cast("long").alias("length")), "pieces")
-    kind = "doc_id long, piece long, start long, length long, cell long, bin_id string, capacity long, bin_used long, bin_offset long, closed boolean"
+def pieces(docs: DataFrame, top: int, path: str) -> DataFrame:
+    """pid, doc_id, piece, start, length, token_ids: the tokens of each row of docs, cut after every `top` of them. pid is
+    unique and stays what it is in the table that is written."""
+
+    def cut(batches):
+        encoder, _ = encoding(path)
+        for pdf in batches:
+            out, held = [], 0
+            for number, text in zip(pdf["number"].tolist(), pdf["text"].tolist()):
+                ids = encoder.encode_to_numpy(text.encode("utf-8", "replace").decode("utf-8"), disallowed_special=()) if text else np.zeros(0, np.uint32)
+                for k in range(max(1, -(-len(ids) // top))):
+                    out.append((number, k, k * top, len(ids[k * top : (k + 1) * top]), ids[k * top : (k + 1) * top].astype(np.int32)))
+                    held += out[-1][3]
+                    if held > HANDED:
+                        yield pd.DataFrame(out, columns=["number", "piece", "start", "length", "token_ids"])
+                        out, held = [], 0
+            yield pd.DataFrame(out, columns=["number", "piece", "start", "length", "token_ids"])
+
+    # the id passes outside of Python, where a null among ids would turn them all into floating point
+    rows = docs.select(F.struct(F.col("doc_id")).alias("of"), "text").select(F.to_json("of").alias("number"), "text")
+    out = rows.mapInPandas(cut, "number string, piece long, start long, length long, token_ids array<int>")
+    doc_id = F.from_json("number", docs.select("doc_id").schema)["doc_id"]
+    return written(out.select(F.monotonically_increasing_id().alias("pid"), doc_id.alias("doc_id"), "piece", "start", "length", "token_ids"), "pieces")
+
+
+def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, path: str = VOCABULARY) -> DataFrame:
+    """doc_id, piece, start, length, bin_id, capacity, bin_used, bin_offset, token_ids: one row for each piece of each row of
+    docs (doc_id, text; others ignored). Lengths and places are in tokens of the vocabulary at `path`.
+
+    A document is one piece unless it is longer than the largest capacity, of which all its pieces but the last then are;
+    the token_ids of its pieces in order decode to its text. Null and empty texts are a piece of length 0. Repeated rows and
+    rows without an id are packed each. An empty table gives an empty result."""
+    table = pieces(docs, max(capacities), path)
+    rows = table.select("pid", "length")
+    kind = "pid long, length long, bin_id string, capacity long, bin_used long, bin_offset long, closed boolean"
     left, level, done, last = rows.count(), 0, [], False
     while True:
         cells = max(1, -(-left // CELL))
         last = last or cells == 1
-        dealt = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(cells)).cast("long"))
+        dealt = rows.withColumn("cell", F.pmod(F.xxhash64("pid", F.lit(level)), F.lit(cells)).cast("long"))
         packed = written(dealt.groupBy("cell").applyInPandas(packer(tuple(capacities), overhead, last, level), kind), "packed")
         done.append(packed.where("closed"))
         if last:
             break
-        rows = packed.where("not closed").select("doc_id", "piece", "start", "length")
+        rows = packed.where("not closed").select("pid", "length")
         before, left, level = left, rows.count(), level + 1
         last = left > (1 - CLOSES) * before
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.drop("cell", "closed")
+    out = table.join(out.select(F.col("pid").alias("of"), "bin_id", "capacity", "bin_used", "bin_offset"), F.col("pid") == F.col("of"))
+    return out.select("doc_id", "piece", "start", "length", "bin_id", "capacity", "bin_used", "bin_offset", "token_ids")

@@ -1,4 +1,3 @@
-import re
 from collections import defaultdict
 
 import numpy as np
@@ -6,17 +5,19 @@ import numpy as np
 from friction.llm import packing
 from friction.llm.common import read_table
 from friction.llm.packing import CAPACITIES, best_fit, pack
+from friction.llm.token_counts import VOCABULARY, encoding
 
 
 def check(rows, got):
-    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    encoder, _ = encoding(VOCABULARY)
+    size = {t: len(encoder.encode_ordinary(t)) for t in {t for _, t, *_ in rows if t}}
     covered, bins = defaultdict(list), defaultdict(list)
     for r in got:
         covered[r.doc_id].append((r.start, r.length))
         bins[r.bin_id].append(r)
     want = defaultdict(int)
     for i, t, *_ in rows:
-        want[i] += words(t)
+        want[i] += size.get(t, 0)
     assert {k: sum(n for _, n in v) for k, v in covered.items()} == dict(want)
     for b in bins.values():
         b.sort(key=lambda r: r.bin_offset)
@@ -27,10 +28,28 @@ def check(rows, got):
     return sum(b[0].capacity for b in bins.values()), sum(want.values())
 
 
+def decoded(got):
+    """The text of each document by its pieces; ids occur once."""
+    encoder, _ = encoding(VOCABULARY)
+    by = defaultdict(list)
+    for r in got:
+        assert len(r.token_ids) == r.length
+        by[r.doc_id].append((r.start, r.token_ids))
+    return {i: encoder.decode([t for _, ids in sorted(p) for t in ids]) for i, p in by.items()}
+
+
 def test_documents(spark, sf):
     docs = read_table(spark, sf, "documents")
-    held, words = check([(r.doc_id, r.text) for r in docs.collect()], pack(docs).collect())
-    assert words / held > 0.97
+    rows, got = [(r.doc_id, r.text) for r in docs.collect()], pack(docs).collect()
+    held, tokens = check(rows, got)
+    assert tokens / held > 0.97
+    assert decoded(got) == {i: t or "" for i, t in rows}
+
+
+def test_no_id_is_changed(make_docs):
+    """Ids beyond 2**53 beside a null."""
+    rows = [(2**53 + 1, "one", "en", "a"), (2**62 + 3, "two", "en", "a"), (None, "three", "en", "a")]
+    assert {r.doc_id for r in pack(make_docs(rows)).collect()} == {r[0] for r in rows}
 
 
 def test_odd_rows(make_docs, odd_rows):
