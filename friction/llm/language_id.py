@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from friction.llm.common import SPACE
 
-#: Bounds of the sample: documents and words of each language; beyond LANGUAGES languages all share what these have.
+#: Bounds of the sample, and parameters of training_spans() and fit(): documents and words of each language. Every language
+#: is learned; beyond LANGUAGES of them all share what these have.
 DOCS, WORDS, LANGUAGES = 300, 15_000, 32
-FEW = 20  # documents that a language has of the sample at least, if there are as many
+FEW = 20  # texts that a language has of the sample at least, if there are as many
 BITS = 18  # of the hashed feature table
 BLOCK = 32  # words that one step-by-step recursion covers
 CHARS = 400_000  # characters that are scored together
@@ -143,9 +144,9 @@ def marginals_of_chains(scores: np.ndarray, transitions: np.ndarray) -> tuple[np
     return m / m.sum(-1, keepdims=True), pair.sum((0, 1))
 
 
-def share_of_words(languages: int) -> int:
+def share_of_words(languages: int, words: int = WORDS) -> int:
     """Words of each language in the sample."""
-    return max(CHAIN, min(WORDS, WORDS * LANGUAGES // max(1, languages)))
+    return max(CHAIN, min(words, words * LANGUAGES // max(1, languages)))
 
 
 def spread(mine: np.ndarray, text: np.ndarray, words: int) -> np.ndarray:
@@ -161,16 +162,16 @@ def spread(mine: np.ndarray, text: np.ndarray, words: int) -> np.ndarray:
     return mine[np.arange(len(mine)) - first[which] < low][: max(words, len(count))]
 
 
-def fit(texts: list[str], langs: list[str], rounds: int = 40, seed: int = 7) -> Model | None:
-    """A model of share_of_words() words of each language, spread over all its texts. Chains splice spans of several texts: that is where transitions
-    between languages are learned."""
+def fit(texts: list[str], langs: list[str], rounds: int = 40, seed: int = 7, words: int = WORDS) -> Model | None:
+    """A model of share_of_words() words of each language, spread over all its texts. Chains splice spans of several texts:
+    that is where transitions between languages are learned."""
     labels = sorted(set(langs))
     if not labels:
         return None
     n, rng = len(labels), np.random.default_rng(seed)
     w = words_of(texts)
     label = np.array([labels.index(x) for x in langs], np.int64)[w.text] if len(w.text) else np.zeros(0, np.int64)
-    pools = [spread(np.flatnonzero(label == k), w.text, share_of_words(n)) for k in range(n)]
+    pools = [spread(np.flatnonzero(label == k), w.text, share_of_words(n, words)) for k in range(n)]
     model = Model(labels, np.zeros((2**BITS, n), np.float32), np.eye(n) * 2.0, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((n + 1, n)))
     if not sum(map(len, pools)):
         return model
@@ -337,14 +338,16 @@ def held_out(c) -> F.Column:
     return F.pmod(F.crc32(F.encode(c.cast("string"), "UTF-8")), F.lit(3)) == 1
 
 
-def sampled(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Rows doc_id, text, lang, n of about DOCS documents of every language that are not held out, chosen by a hash of the
-    text's id, and the number of languages. n: how many of the language are expected."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True))).select("doc_id", "text", "lang")
-    counts = [(r["lang"], r["count"]) for r in rows.groupBy("lang").count().collect()]
-    most = max(FEW, min(DOCS, DOCS * LANGUAGES // max(1, len(counts))))
-    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, most / n), min(most, n)) for lang, n in counts], "of string, share double, n long")
-    u = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(2**31)) / F.lit(2.0**31)
+def sampled(docs: DataFrame, most: int = DOCS) -> tuple[DataFrame, int]:
+    """Rows doc_id, text, lang, n of about `most` texts of every language that are not held out, chosen by a hash of the id,
+    the text and the language, and the number of languages. n: how many of the language are expected. Equal rows are counted
+    once, and an id that many rows share has no share of its own."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
+    rows = rows.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text", "lang").alias("one"))
+    counts = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("one", 0.02).alias("n")).collect()]
+    most = max(FEW, min(most, most * LANGUAGES // max(1, len(counts))))
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, most / max(1, n)) if n > most else 1.1, min(most, max(1, n))) for lang, n in counts], "of string, share double, n long")
+    u = F.pmod(F.col("one"), F.lit(2**31)) / F.lit(2.0**31)
     return rows.join(F.broadcast(shares), (F.col("lang") == F.col("of")) & (u < F.col("share"))).drop("of", "share"), len(counts)
 
 
@@ -354,34 +357,44 @@ def training_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
     return [r[1] for r in sample], [r[2] for r in sample]
 
 
-def training_spans(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """A span of each sampled document and its language. Spans are cut in the tasks, at a place that a hash of the id
-    draws; they are long enough to fill the language's share of words even if half of the documents are short."""
-    rows, languages = sampled(docs)
-    rows = rows.withColumn("span", F.ceil(F.lit(2 * share_of_words(languages)) / F.col("n")).cast("int"))
+def training_spans(docs: DataFrame, most: int = DOCS, words_of_each: int = WORDS) -> tuple[list[str], list[str]]:
+    """A span of each sampled text and its language. Spans are cut in the tasks, at a place that a hash of the row draws, and
+    equal rows are combined there; they are long enough to fill the language's share of words even if half of the texts are
+    short. What comes to the driver is bounded: so many spans of each language, of so many characters."""
+    rows, languages = sampled(docs, most)
+    rows = rows.withColumn("span", F.ceil(F.lit(2 * share_of_words(languages, words_of_each)) / F.col("n")).cast("int"))
     words = F.split(F.trim("text"), SPACE)
-    start = F.pmod(F.xxhash64("doc_id", F.lit("span")), F.greatest(F.size("words") - F.col("span") + 1, F.lit(1))).cast("int") + 1
-    rows = rows.withColumn("words", words).select("doc_id", "lang", F.expr("span * 16").alias("chars"), F.array_join(F.slice("words", start, F.col("span")), " ").alias("text"))
-    rows = rows.select("doc_id", F.substring("text", F.lit(1), F.col("chars")).alias("text"), "lang")
-    sample = sorted((r["doc_id"], r["text"], r["lang"]) for r in rows.collect())
+    start = F.pmod(F.xxhash64("one", F.lit("span")), F.greatest(F.size("words") - F.col("span") + 1, F.lit(1))).cast("int") + 1
+    rows = rows.withColumn("words", words).select("lang", "one", F.expr("span * 16").alias("chars"), F.array_join(F.slice("words", start, F.col("span")), " ").alias("text"))
+    rows = rows.groupBy("lang", "one").agg(F.min(F.substring("text", F.lit(1), F.col("chars"))).alias("text"))
+    # the shares hold on average; this bound always
+    rows = rows.orderBy("one", "lang").limit(2 * most * max(1, languages))
+    sample = sorted((r["one"], r["text"], r["lang"]) for r in rows.collect())
     return [r[1] for r in sample], [r[2] for r in sample]
 
 
-def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None = None, most: int = DOCS, words_of_each: int = WORDS) -> DataFrame:
     """doc_id, held_out, lang_pred, score, words: one row for each row of docs (doc_id, text, lang; others ignored).
 
-    Without a model, one is fitted on rows that are not held out. lang is read for that alone. Texts that are null, empty
-    or without a letter, and all texts if nothing could be learned, are `und` with score 0. Rows with a null doc_id are
-    predicted, not held out, and not learned from. Repeated rows get equal results. An empty table gives an empty result."""
+    Without a model, one is fitted on rows that are not held out: spans of about `most` texts and `words_of_each` words of
+    each language. lang is read for that alone. Texts that are null, empty or without a letter, and all texts if nothing
+    could be learned, are `und` with score 0. Rows with a null doc_id are predicted, not held out, and not learned from.
+    Repeated rows get equal results. An empty table gives an empty result."""
     if model is None:
-        model = fit(*training_spans(docs))
+        model = fit(*training_spans(docs, most, words_of_each), words=words_of_each)
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # of a size that BITS and the number of languages fix
 
-    def run(batches):
-        model = pickle.loads(packed.value)
-        for pdf in batches:
-            got = predict(model, pdf["text"].tolist()) if model else [("und", 0.0, 0)] * len(pdf)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "words": [g[2] for g in got]})
+    @F.pandas_udf("lang_pred string, score double, words long")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        global _MODEL
+        if _MODEL[0] is not packed.value:
+            _MODEL = (packed.value, pickle.loads(packed.value))
+        model = _MODEL[1]
+        got = predict(model, texts.tolist()) if model else [("und", 0.0, 0)] * len(texts)
+        return pd.DataFrame(got, columns=["lang_pred", "score", "words"])
 
-    rows = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, words long")
+    rows = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), run("text").alias("found"))
+    return rows.select("doc_id", "held_out", "found.*")
+
+
+_MODEL: tuple = (None, None)

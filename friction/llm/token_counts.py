@@ -94,8 +94,11 @@ def token_counts(docs: DataFrame, fields: dict[str, Column], path: str = VOCABUL
                 out += [(doc_id, k, s, e, t, total, between, crossing) for k, s, e, t in zip(names, start.tolist(), end.tolist(), tokens.tolist())]
             yield pd.DataFrame(out, columns=["doc_id", "field", "start_char", "end_char", "tokens", "record_tokens", "separator_tokens", "crossing"])
 
-    rows = docs.select("doc_id", *[c.cast("string").alias(f"f{i}") for i, c in enumerate(fields.values())])
-    return rows.mapInPandas(run, "doc_id long, field string, start_char long, end_char long, tokens long, record_tokens long, separator_tokens long, crossing long")
+    # the id passes outside of Python, where a null among ids would turn them all into floating point
+    texts = [c.cast("string").alias(f"f{i}") for i, c in enumerate(fields.values())]
+    rows = docs.select(F.to_json(F.struct("doc_id")).alias("doc_id"), *texts)
+    out = rows.mapInPandas(run, "doc_id string, field string, start_char long, end_char long, tokens long, record_tokens long, separator_tokens long, crossing long")
+    return out.withColumn("doc_id", F.from_json("doc_id", docs.select("doc_id").schema)["doc_id"])
 
 
 def document_fields() -> dict[str, Column]:

@@ -18,10 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from friction.llm.common import written
+from friction.llm.common import row_of, written
 
-#: Bounds: labelled documents, features, folds. A feature's least chi-square and part of the labelled documents (three at
-#: least), and the probability that rejects.
+#: Bounds and defaults of fit(): labelled documents, features, folds; a feature's least chi-square and part of the labelled
+#: documents (three at least). REJECT: the probability that rejects.
 LABELLED, FEATURES, FOLDS, LEAST, PART, REJECT = 12_000, 2048, 4, 15.0, 0.001, 0.5
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -111,12 +111,16 @@ def fit_chain(chain: Chain, rows: list[list[int]], y: np.ndarray, fold: np.ndarr
     return chain
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Chain:
-    """A chain fitted on at most LABELLED labelled documents, chosen by a hash of doc_id."""
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, features: int = FEATURES, folds: int = FOLDS, least: float = LEAST, part: float = PART) -> Chain:
+    """A chain fitted on at most `labelled` labelled documents, chosen by a hash of doc_id, with at most `features` words and
+    word beginnings: those whose chi-square with a category is at least `least`, and which are in `part` of the documents.
+
+    An id that several rows have is one document, with the smallest of their texts, so `labelled` bounds the rows too."""
     named = categories()
     y = [F.max(F.coalesce(c, F.lit(False)).cast("int")).alias(k) for k, c in named.items()]
-    sample = labels.where("doc_id is not null").groupBy("doc_id").agg(*y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    joined = written(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "labelled")  # LABELLED rows bound it
+    sample = labels.where("doc_id is not null").groupBy("doc_id").agg(*y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", *named).agg(F.min("text").alias("text"))
+    joined = written(texts, "labelled")
     names = list(named)
     n_y = ", ".join(f"{k} long" for k in names)
 
@@ -136,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Chain:
             k = keys[a : a + 50_000]
             yield pd.DataFrame(np.array([counts[x] for x in k]), columns=["n", *names]).assign(feature=k)
 
-    features = joined.mapInPandas(count, f"n long, {n_y}, feature string").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ["n", *names]])
+    found = joined.mapInPandas(count, f"n long, {n_y}, feature string").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ["n", *names]])
     base = joined.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in names]).first()
     total, chi = base["n"], []
     for c in names:
@@ -146,9 +150,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Chain:
             off = F.greatest(off, F.lit(0.0))
             chi.append(off * off * total / (F.col("n") * (F.lit(total) - F.col("n") + F.lit(1)) * F.lit(float(pos) * (total - pos))))
     if not chi:
-        return fit_chain(Chain(names, {}), [[] for _ in range(total)], np.array([[(base[c] or 0) > 0 for c in names]] * total, float).reshape(total, len(names)), np.arange(total) % FOLDS) if total else Chain(names, {}, [np.array([0.0] * k + [-30.0]) for k in range(len(names))])
-    best = features.withColumn("chi", F.greatest(*chi) if len(chi) > 1 else chi[0]).where((F.col("chi") >= LEAST) & (F.col("n") >= max(3.0, PART * total)))
-    best = [r["feature"] for r in best.orderBy(F.desc("chi"), "feature").limit(FEATURES).select("feature").collect()]
+        return fit_chain(Chain(names, {}), [[] for _ in range(total)], np.array([[(base[c] or 0) > 0 for c in names]] * total, float).reshape(total, len(names)), np.arange(total) % folds) if total else Chain(names, {}, [np.array([0.0] * k + [-30.0]) for k in range(len(names))])
+    best = found.withColumn("chi", F.greatest(*chi) if len(chi) > 1 else chi[0]).where((F.col("chi") >= least) & (F.col("n") >= max(3.0, part * total)))
+    best = [r["feature"] for r in best.orderBy(F.desc("chi"), "feature").limit(features).select("feature").collect()]
     chain = Chain(names, {f: i for i, f in enumerate(sorted(best))})
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(chain))
 
@@ -159,11 +163,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Chain:
 
     got = sorted(tuple(r) for r in joined.mapInPandas(rows, f"doc_id long, {n_y}, held array<int>").collect())
     y = np.array([r[1 : 1 + len(names)] for r in got], float)
-    return fit_chain(chain, [list(r[-1]) for r in got], y, np.array([r[0] % FOLDS for r in got]))
+    return fit_chain(chain, [list(r[-1]) for r in got], y, np.array([r[0] % folds for r in got]))
 
 
-def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """docs with p_<category> for each category and `rejected`."""
+def scores(docs: DataFrame, chain: Chain):
+    """A struct of p_<category> for each category, of the column text."""
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(chain))
     names = chain.names
 
@@ -174,24 +178,26 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
             _CHAIN = (packed.value, pickle.loads(packed.value))
         return pd.DataFrame(_CHAIN[1].predict([_CHAIN[1].features(t) for t in batches]), columns=[f"p_{k}" for k in names])
 
-    return docs.withColumn("_chain_scores", run("text"))
+    return run("text")
 
 
 _CHAIN: tuple = (None, None)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, reject: float = REJECT, **bounds) -> DataFrame:
     """doc_id, p_low_quality, p_toxic, p_toxic_low_quality, toxic: one row for each row of docs (doc_id, text; others
-    ignored). labels: doc_id, quality, toxic; rows with a null in one of them count as not of the category.
+    ignored). labels: doc_id, quality, toxic; rows with a null in one of them count as not of the category. bounds: of fit().
 
-    toxic: p_toxic is REJECT or more. Null and empty texts hold no feature: all but the bias and the chain is 0. Whole
+    toxic: p_toxic is `reject` or more. Null and empty texts hold no feature: all but the bias and the chain is 0. Whole
     texts count, each feature once. Without labelled documents every probability is about 0. Repeated rows get equal
     results; a doc_id labelled twice is of a category if one label says so. An empty table gives an empty result."""
-    scored = score(docs.select("doc_id", "text"), fit(docs, labels))
-    p = [F.col(f"_chain_scores.p_{k}").alias(f"p_{k}") for k in categories()]
-    return scored.select("doc_id", *p).withColumn("toxic", F.col("p_toxic") >= REJECT)
+    p = scores(docs, fit(docs, labels, **bounds))
+    return docs.select("doc_id", p.alias("p")).select("doc_id", "p.*").withColumn("toxic", F.col("p_toxic") >= reject)
+
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, reject: float = REJECT, **bounds) -> DataFrame:
+    """docs (doc_id, text; all columns kept) without the rows that toxicity() finds toxic; none is moved.
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that toxicity() finds toxic. Rows keep their columns; none is moved."""
-    return score(docs, fit(docs, labels)).where(F.col("_chain_scores.p_toxic") < REJECT).select(*docs.columns)
+    Null and empty texts stay, equal rows share their fate, an empty table gives an empty result. Columns may have any names."""
+    p = scores(docs, fit(docs, labels, **bounds))
+    return row_of(docs, [p]).where(F.col("k0.p_toxic") < reject).select("row.*")

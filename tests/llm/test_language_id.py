@@ -141,3 +141,19 @@ def test_spans_are_of_rows_that_are_not_held_out_and_learn_as_well(data):
     rest = [(t, lang) for i, t, lang in rows if held_out(i) and t]
     got = predict(fit(texts, langs), [t for t, _ in rest])
     assert sum(g[0] == lang for g, (_, lang) in zip(got, rest)) / len(rest) > 0.97
+
+
+def test_the_sample_of_a_repeated_id_is_bounded(spark):
+    """100,000 equal rows are one; of 100,000 rows of one id as few are sampled as of any."""
+    free = next(i for i in range(100) if not held_out(i))
+    ids = [i for i in range(2000) if not held_out(i)][:400]
+    rows = spark.createDataFrame([(i, f"word{i} and others", "en") for i in ids], "doc_id long, text string, lang string")
+    same = spark.range(100_000).selectExpr(f"cast({free} as long) doc_id", "'the same text' text", "'en' lang")
+    own = spark.range(100_000).selectExpr(f"cast({free} as long) doc_id", "concat('id', id, ' of one id') text", "'de' lang")
+    texts, langs = language_id.training_spans(rows.unionByName(same).unionByName(own))
+    assert texts.count("the same text") <= 1 and langs.count("de") < 2 * language_id.DOCS and langs.count("en") > 200
+
+
+def test_ids_beyond_floating_point_stay(make_docs):
+    rows = [(2**53 + 1, "one text", "en", "a"), (None, "no id", "en", "a")]
+    assert {r.doc_id for r in identify(make_docs(rows)).collect()} == {2**53 + 1, None}
