@@ -344,7 +344,7 @@ def sampled(docs: DataFrame, most: int = DOCS) -> tuple[DataFrame, int]:
     once, and an id that many rows share has no share of its own."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
     rows = rows.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text", "lang").alias("one"))
-    counts = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("one", 0.02).alias("n")).collect()]
+    counts = [(r["lang"], r["n"]) for r in rows.groupBy("lang", "one").count().groupBy("lang").agg(F.count("*").alias("n")).collect()]
     most = max(FEW, min(most, most * LANGUAGES // max(1, len(counts))))
     shares = docs.sparkSession.createDataFrame([(lang, min(1.0, most / max(1, n)) if n > most else 1.1, min(most, max(1, n))) for lang, n in counts], "of string, share double, n long")
     u = F.pmod(F.col("one"), F.lit(2**31)) / F.lit(2.0**31)
