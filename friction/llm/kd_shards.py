@@ -2,8 +2,9 @@
 
 Only the tree is built by the driver: at most shards - 1 splits. For each level, one aggregation gives every open node
 the extent of its dimensions, and a few more find the weighted median along the widest by narrowing histograms, all nodes
-of a level at once. A histogram has at most BUCKETS rows a node, whatever the input. No row moves until the leaves are
-known; then each row gets its leaf by an expression, and its slot by one shuffle of the narrow columns.
+of a level at once. A histogram has at most BUCKETS rows a node, whatever the input. Rows of one text are a group: they
+share one source and language, and no cut parts them unless the group is larger than what a cut may miss by. Each row gets
+its leaf by an expression once the tree is known, and its slot by one shuffle of the narrow columns.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from friction.llm.common import written
+from friction.llm.common import lookup, written
 
 BUCKETS = 4096
-#: Bits of a position along a dimension; ties along it are ordered by the text's crc32, then by a hash of the doc_id.
+#: Bits of a position along a dimension; ties along it are ordered by the text's crc32, then by a hash of the text, or of
+#: the doc_id in a group that may be cut.
 POS, CRC = 31, 32
 
 
@@ -26,13 +28,25 @@ def category(c: Column) -> Column:
     return F.when(c.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(c), F.lit(2**POS))).cast("long")
 
 
-def points(docs: DataFrame) -> DataFrame:
-    """doc_id, size, crc, and keys k0..k2 (source, language, logarithm of the size), each with crc as its low bits."""
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + F.lit(16)
-    rows = docs.select("doc_id", size.alias("size"), F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("long").alias("crc"), "source", "lang")
-    at = [category(F.col("source")), category(F.col("lang")), (F.log2(F.col("size").cast("double")) * F.lit(2.0**25)).cast("long")]
+def points(docs: DataFrame, shards: int = 40, slack: float = 0.03) -> DataFrame:
+    """doc_id, size, crc, tie, and keys k0..k2 (source, language, logarithm of the size), each with crc as its low bits.
+
+    A group of equal texts has the smallest source and language of its rows, and one tie, unless its bytes exceed both
+    `slack` of a shard and the largest document, by which cuts may miss in any case; then its rows have ties of their own."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    size = F.octet_length(text).cast("long") + F.lit(16)
+    rows = docs.select("doc_id", size.alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("crc"), F.unhex(F.sha2(text, 256)).alias("sha"), "source", "lang")
+    rows = written(rows.groupBy(*rows.columns).agg(F.count("*").alias("equal")), "texts")
+    total, largest, count = rows.agg(F.coalesce(F.sum(F.col("size") * F.col("equal")), F.lit(0)), F.coalesce(F.max("size"), F.lit(0)), F.coalesce(F.sum("equal"), F.lit(0))).first()
+    room = max(slack * total / shards, largest)
+    groups = rows.groupBy("sha").agg(F.sum("equal").alias("n"), F.sum(F.col("size") * F.col("equal")).alias("bytes"), F.min("source").alias("its_source"), F.min("lang").alias("its_lang"), F.lit(True).alias("grouped"))
+    rows = lookup(rows, groups.where("n > 1"), "sha", "n", count)
+    own = lambda c: F.when(F.col("grouped"), F.col(f"its_{c}")).otherwise(F.col(c))
+    at = [category(own("source")), category(own("lang")), (F.log2(F.col("size").cast("double")) * F.lit(2.0**25)).cast("long")]
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "equal")))
+    tie = F.when(F.col("bytes") > room, F.xxhash64("doc_id", "nth")).otherwise(F.xxhash64("sha"))
     keys = [(p * F.lit(2**CRC) + F.col("crc")).alias(f"k{i}") for i, p in enumerate(at)]
-    return rows.select("doc_id", "size", "crc", F.pmod(F.xxhash64("doc_id"), F.lit(2**POS)).alias("tie"), *keys)
+    return rows.select("doc_id", "size", "crc", F.pmod(tie, F.lit(2**POS)).alias("tie"), *keys)
 
 
 @dataclass
@@ -123,15 +137,16 @@ def kd_tree(rows: DataFrame, shards: int, slack: float = 0.0005) -> Node:
     return root
 
 
-def kd_shards(docs: DataFrame, shards: int = 40, rows_in_run: int = 20_000) -> DataFrame:
+def kd_shards(docs: DataFrame, shards: int = 40, rows_in_run: int = 20_000, slack: float = 0.03) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null), for each row of docs (doc_id, text,
     source, lang; others ignored).
 
-    Shards have near equal sizes; a document is never split, so a shard misses the mean by about one document at most.
-    Copies of a text are neighbours in the order along a dimension, and a cut may pass between them. Slots follow a hash
-    of the doc_id. A null text has 16 bytes and crc32 0; null source or lang is a category of its own. Repeated rows are
-    separate documents. Fewer documents than shards leave shards empty; an empty table gives an empty result."""
-    rows = written(points(docs), "points")
+    Shards have near equal sizes; neither a document nor a group of equal texts of up to `slack` of a shard, or as large as
+    the largest document, is split, so a shard misses the mean by about one of these. Only larger groups are cut, by a hash
+    of the doc_id. A null text is an empty one, with 16 bytes and crc32 0; null source or lang is a category of its own.
+    Repeated rows are separate documents. Fewer documents than shards leave shards empty; an empty table gives an empty
+    result."""
+    rows = written(points(docs, shards, slack), "points")
     root = kd_tree(rows, shards)
     runs = max(1, -(-rows.count() // (shards * rows_in_run)))
     rows = rows.select("doc_id", "size", "crc", "tie", root.expr(lambda x: x.first).cast("int").alias("shard")).withColumn("run", F.floor(F.col("tie") * F.lit(runs) / F.lit(2**POS)).cast("int"))

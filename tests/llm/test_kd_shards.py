@@ -59,3 +59,38 @@ def test_each_split_is_a_weighted_median_along_the_widest_dimension(spark, sf):
 def test_reruns_agree(spark, sf):
     docs = read_table(spark, sf, "documents")
     assert kd_shards(docs, 7).exceptAll(kd_shards(docs.repartition(5), 7)).count() == 0
+
+
+def parted(rows, got):
+    """Groups of equal texts with several rows, and those of them that lie in several shards, with their bytes."""
+    shard, groups = {r.doc_id: r.shard for r in got}, defaultdict(list)
+    for i, t, *_ in rows:
+        groups[t or ""].append(i)
+    groups = {t: ids for t, ids in groups.items() if len(ids) > 1}
+    return len(groups), [len(ids) * (len(t.encode()) + 16) for t, ids in groups.items() if len({shard[i] for i in ids}) > 1]
+
+
+def test_equal_texts_stay_together(spark, sf):
+    rows = [(r.doc_id, r.text) for r in read_table(spark, sf, "documents").collect()]
+    got = kd_shards(read_table(spark, sf, "documents")).collect()
+    groups, cut = parted(rows, got)
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r.shard] += r["size"]
+    mean, largest = sum(sizes.values()) / 40, max(len((t or "").encode()) + 16 for _, t in rows)
+    assert groups == 62 and len(cut) <= 1 and all(n > max(0.03 * mean, largest) for n in cut)
+    assert all(abs(s - mean) <= largest for s in sizes.values())
+
+
+def test_only_large_groups_are_cut(make_docs):
+    """Copies across sources and languages; one text has a third of all rows, and one id is in all rows of another."""
+    rows = [(i, "the one text" if i % 3 == 0 else f"text {i // 6}", "en" if i % 2 else "de", "abc"[i % 3 - 1]) for i in range(6000)]
+    rows += [(None, "no id", "en", "a")] * 900
+    got = kd_shards(make_docs(rows), 20).collect()
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r.shard] += r["size"]
+    mean = sum(sizes.values()) / 20
+    assert len(sizes) == 20 and all(abs(s - mean) <= 0.03 * mean + 30 for s in sizes.values())
+    groups, cut = parted([r for r in rows if r[0] is not None], got)
+    assert groups > 900 and len(cut) == 1
