@@ -42,8 +42,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Delete a table of written() that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_at)
+    deleted(df.sparkSession, df.written_at)
+
+
+def deleted(spark: SparkSession, at: str) -> None:
+    """Delete a folder in the shared one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -14,6 +14,7 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ CAPACITIES = (256, 512, 1024, 2048)
 #: Cost of a bin besides its capacity; pieces in a cell; the part of a bin that must be used for it to close early; the
 #: part of the open pieces that a round must close for another to follow.
 OVERHEAD, CELL, FULL, CLOSES = 16, 8192, 0.97, 0.1
-#: Tokens that a task hands over together.
+#: Tokens that a task hands over together, about.
 HANDED = 2_000_000
 
 
@@ -73,40 +74,45 @@ def packer(capacities: tuple[int, ...], overhead: int, last: bool, level: int):
     return pack
 
 
-def pieces(docs: DataFrame, top: int, path: str) -> DataFrame:
-    """pid, doc_id, piece, start, length, token_ids: the tokens of each row of docs, cut after every `top` of them. pid is
-    unique and stays what it is in the table that is written."""
+def pieces(docs: DataFrame, top: int, path: str, with_tokens: bool) -> DataFrame:
+    """pid, doc_id, piece, start, length: the tokens of each row of docs, cut after every `top` of them; with_tokens: and
+    token_ids. pid is unique and stays what it is in the table that is written."""
+
+    def handed(doc_ids, took, piece, length, ids):
+        columns = [doc_ids.take(pa.array(took, pa.int64())), pa.array(piece, pa.int64()), pa.array(np.array(piece, np.int64) * top), pa.array(length, pa.int64())]
+        names = ["doc_id", "piece", "start", "length"]
+        if with_tokens:
+            ends = np.concatenate(([0], np.cumsum(length, dtype=np.int64))).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))))
+            names.append("token_ids")
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def cut(batches):
         encoder, _ = encoding(path)
-        for pdf in batches:
-            out, held = [], 0
-            for number, text in zip(pdf["number"].tolist(), pdf["text"].tolist()):
-                ids = encoder.encode_to_numpy(text.encode("utf-8", "replace").decode("utf-8"), disallowed_special=()) if text else np.zeros(0, np.uint32)
-                for k in range(max(1, -(-len(ids) // top))):
-                    out.append((number, k, k * top, len(ids[k * top : (k + 1) * top]), ids[k * top : (k + 1) * top].astype(np.int32)))
-                    held += out[-1][3]
-                    if held > HANDED:
-                        yield pd.DataFrame(out, columns=["number", "piece", "start", "length", "token_ids"])
-                        out, held = [], 0
-            yield pd.DataFrame(out, columns=["number", "piece", "start", "length", "token_ids"])
-
-    # the id passes outside of Python, where a null among ids would turn them all into floating point
-    rows = docs.select(F.struct(F.col("doc_id")).alias("of"), "text").select(F.to_json("of").alias("number"), "text")
-    out = rows.mapInPandas(cut, "number string, piece long, start long, length long, token_ids array<int>")
-    doc_id = F.from_json("number", docs.select("doc_id").schema)["doc_id"]
-    return written(out.select(F.monotonically_increasing_id().alias("pid"), doc_id.alias("doc_id"), "piece", "start", "length", "token_ids"), "pieces")
-
-
-def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, path: str = VOCABULARY) -> DataFrame:
-    """doc_id, piece, start, length, bin_id, capacity, bin_used, bin_offset, token_ids: one row for each piece of each row of
-    docs (doc_id, text; others ignored). Lengths and places are in tokens of the vocabulary at `path`.
-
-    A document is one piece unless it is longer than the largest capacity, of which all its pieces but the last then are;
-    the token_ids of its pieces in order decode to its text. Null and empty texts are a piece of length 0. Repeated rows and
-    rows without an id are packed each. An empty table gives an empty result."""
-    table = pieces(docs, max(capacities), path)
-    rows = table.select("pid", "length")
+        for batch in batches:
+            doc_ids, took, piece, length, ids = batch.column(0), [], [], [], []
+            for row, text in enumerate(batch.column(1)):
+                text = text.as_py()
+                got = encoder.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
+                for at in range(0, max(1, len(got)), top):
+                    took.append(row)
+                    piece.append(at // top)
+                    length.append(min(top, len(got) - at))
+                if with_tokens:
+                    ids.append(got)
+                    if sum(map(len, ids[-64:])) > HANDED // 4 or len(ids) % 4096 == 0:  # large ones leave early
+                        yield handed(doc_ids, took, piece, length, ids)
+                        took, piece, length, ids = [], [], [], []
+            if took:
+                yield handed(doc_ids, took, piece, length, ids)
+
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    rows = docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece long, start long, length long" + ", token_ids array<int>" * with_tokens)
+    return written(rows.select(F.monotonically_increasing_id().alias("pid"), "*"), "pieces")
+
+
+def placed(rows: DataFrame, capacities: tuple[int, ...], overhead: int) -> DataFrame:
+    """pid, bin_id, capacity, bin_used, bin_offset of each row (pid, length)."""
     kind = "pid long, length long, bin_id string, capacity long, bin_used long, bin_offset long, closed boolean"
     left, level, done, last = rows.count(), 0, [], False
     while True:
@@ -123,5 +129,23 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: in
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    out = table.join(out.select(F.col("pid").alias("of"), "bin_id", "capacity", "bin_used", "bin_offset"), F.col("pid") == F.col("of"))
-    return out.select("doc_id", "piece", "start", "length", "bin_id", "capacity", "bin_used", "bin_offset", "token_ids")
+    return out.select("pid", "bin_id", "capacity", "bin_used", "bin_offset")
+
+
+def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, path: str = VOCABULARY, with_tokens: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, bin_id, capacity, bin_used, bin_offset: one row for each piece of each row of docs
+    (doc_id, text; others ignored). Lengths and places are in tokens of the vocabulary at `path`. with_tokens: and token_ids,
+    the piece itself.
+
+    A document is one piece unless it is longer than the largest capacity, of which all its pieces but the last then are;
+    the token_ids of its pieces in order decode to its text. Null and empty texts are a piece of length 0. Repeated rows and
+    rows without an id are packed each. An empty table gives an empty result."""
+    table = pieces(docs, max(capacities), path, with_tokens)
+    places = placed(table.select("pid", "length"), capacities, overhead).withColumnRenamed("pid", "of")
+    out = table.join(places, F.col("pid") == F.col("of"))
+    return out.select("doc_id", "piece", "start", "length", "bin_id", "capacity", "bin_used", "bin_offset", *["token_ids"] * with_tokens)
+
+
+def sequences(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, path: str = VOCABULARY) -> DataFrame:
+    """pack() with the tokens of each piece: what a trainer reads."""
+    return pack(docs, capacities, overhead, path, with_tokens=True)

@@ -4,7 +4,7 @@ import numpy as np
 
 from friction.llm import packing
 from friction.llm.common import read_table
-from friction.llm.packing import CAPACITIES, best_fit, pack
+from friction.llm.packing import CAPACITIES, best_fit, pack, sequences
 from friction.llm.token_counts import VOCABULARY, encoding
 
 
@@ -40,12 +40,19 @@ def decoded(got):
 
 def test_documents(spark, sf):
     docs = read_table(spark, sf, "documents")
-    rows, got = [(r.doc_id, r.text) for r in docs.collect()], pack(docs).collect()
+    rows, got = [(r.doc_id, r.text) for r in docs.collect()], sequences(docs).collect()
     held, tokens = check(rows, got)
     assert tokens / held > 0.97
     assert decoded(got) == {i: t or "" for i, t in rows}
 
 
+def test_tokens_of_odd_rows(make_docs, odd_rows, monkeypatch):
+    monkeypatch.setattr(packing, "HANDED", 400)  # handed over often
+    rows = [r for r in odd_rows if r[0] not in (None, 6)]
+    got = sequences(make_docs(rows)).collect()
+    assert decoded(got) == {i: t or "" for i, t, *_ in rows}
+
+
 def test_no_id_is_changed(make_docs):
     """Ids beyond 2**53 beside a null."""
     rows = [(2**53 + 1, "one", "en", "a"), (2**62 + 3, "two", "en", "a"), (None, "three", "en", "a")]
