@@ -60,18 +60,16 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int,
     """rows left-joined to table, which has one row for each key and the number of rows with it in `weight`.
 
     Keys that hold 1/share of all rows or more number at most `share`: they alone are broadcast, and their rows stay
-    where they are. All other rows are joined by a shuffle in which no key is heavier than 1/share."""
+    where they are. All other rows are joined by a shuffle in which no key is heavier than 1/share. rows is read for each
+    of the two, so it should be a narrow table that is written."""
     values = [c for c in table.columns if c != key]
     is_hot = F.col(weight) * F.lit(share) >= F.lit(total)
-    hot = table.where(is_hot).select(F.col(key).alias("hot_key"), *[F.col(c).alias(f"hot_{c}") for c in values])
-    cold = table.where(~is_hot).select(F.col(key).alias("cold_key"), *[F.col(c).alias(f"cold_{c}") for c in values])
-    found = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
-    # a row that is served already joins on null, spread by a random-looking salt so that the nulls don't meet
-    spread = F.when(F.col("hot_key").isNull(), F.lit(0)).otherwise(F.xxhash64(*rows.columns))
-    found = found.withColumn("spread", spread).withColumn("cold_of", F.when(F.col("hot_key").isNull(), F.col(key)))
-    cold = cold.withColumn("cold_spread", F.lit(0).cast("long"))
-    found = found.join(cold, (F.col("cold_of") == F.col("cold_key")) & (F.col("spread") == F.col("cold_spread")), "left")
-    return found.select(*rows.columns, *[F.coalesce(f"hot_{c}", f"cold_{c}").alias(c) for c in values])
+    hot = F.broadcast(table.where(is_hot).select(F.col(key).alias("hot_key"), *[F.col(c).alias(f"its_{c}") for c in values]))
+    cold = table.where(~is_hot).select(F.col(key).alias("cold_key"), *[F.col(c).alias(f"its_{c}") for c in values])
+    out = [*rows.columns, *[F.col(f"its_{c}").alias(c) for c in values]]
+    served = rows.join(hot, F.col(key) == F.col("hot_key")).select(*out)
+    rest = rows.join(hot.select("hot_key"), F.col(key) == F.col("hot_key"), "left_anti")
+    return served.unionByName(rest.join(cold, F.col(key) == F.col("cold_key"), "left").select(*out))
 
 
 def row_of(docs: DataFrame, key: list[Column]) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+import re
+
 from friction.llm.quotes import link_conversations, passages
 
 M = "conv_id long, turn long, role string, text string, run string, unit string, level string, mid string"
@@ -58,3 +61,83 @@ def test_empty_and_long(spark):
     rows = [(1, 0, "u", "line\n" * 30_000), (1, 1, "u", "> line\n" * 30_000 + "so")]
     got = {r.turn: r for r in link_conversations(frame(spark, rows)).collect()}
     assert got[1].parent_turn == 0 and got[1].own_text == "so"
+
+
+def slow(rows):
+    """Message by message, line by line."""
+    def parsed(text):
+        lines = re.split(r"\r?\n", text)
+        level = [m.group(0).count(">") if (m := re.match(r"(?:[ \t]*>)+", x)) else 0 for x in lines]
+        runs = []
+        for i, (x, n) in enumerate(zip(lines, level)):
+            if i == 0 or level[i - 1] != n:
+                runs.append((n, []))
+            if not (n == 0 and re.search(r"(?i)\bwrote:\s*$", x) and i + 1 < len(lines) and level[i + 1] > 0):
+                runs[-1][1].append(re.sub(r"^(?:[ \t]*>)+ ?", "", x))
+        return [(n, "\n".join(x)) for n, x in runs]
+
+    def normal(t):
+        return re.sub(r"\s+", " ", t).strip(" ").lower()
+
+    def units(t):
+        return {normal(u) for u in [t, *re.split(r"\n[ \t]*\n", t), *t.split("\n")]} - {""}
+
+    quoting = {k: parsed(t) for *k, _, t in [(c, n, r, t) for c, n, r, t in rows] if t and re.search(r"(?m)^[ \t]*>", t) for k in [tuple(k)]}
+    own = {(c, n): t if (c, n) not in quoting else "\n".join(b for k, b in quoting[c, n] if k == 0).strip() for c, n, _, t in rows}
+    first = {}
+    for (c, n), t in sorted(own.items()):
+        for u in units(t or ""):
+            first.setdefault((c, u), n)
+    parent = {}
+    for (c, n), runs in quoting.items():
+        links = []
+        for level, body in runs:
+            found = [(len(u), -first[c, u]) for u in units(body) if level and first.get((c, u), n) < n]
+            if found:
+                links.append((-level, -max(found)[1]))
+        if links:
+            parent[c, n] = max(links)[1]
+    out = []
+    for c, n, role, _ in rows:
+        at, depth = n, 0
+        while (c, at) in parent:
+            at, depth = parent[c, at], depth + 1
+        order = sum(1 for d, m in parent if d == c and m <= n and root(parent, c, m) == at) if depth else 0
+        out.append((c, n, role, own[c, n], max((k for k, _ in quoting.get((c, n), [])), default=0), parent.get((c, n)), at, depth, order))
+    return sorted(out, key=str)
+
+
+def root(parent, c, n):
+    while (c, n) in parent:
+        n = parent[c, n]
+    return n
+
+
+def threads_of(rnd, conv, turns):
+    """Messages that quote earlier ones: whole with their own quotes one level deeper, a paragraph, a line, or nothing known."""
+    rows, texts = [], []
+    for n in range(turns):
+        own = [" ".join(rnd.choices("pack the bins best fit first long short tokens".split(), k=rnd.randint(1, 4))) for _ in range(rnd.randint(0, 3))]
+        lines = []
+        for _ in range(rnd.randint(0, 2) if texts else 0):
+            t = rnd.choice(texts)
+            t = rnd.choice([t, rnd.choice(t.split("\n")), t.upper(), "never said this"])
+            if rnd.random() < 0.5:
+                lines.append(rnd.choice(["On Monday x wrote:", "x WROTE: "]))
+            lines += [rnd.choice(["> ", ">", " > "]) + x for x in t.split("\n")]
+            lines += rnd.choice([[], [""], ["a word between"]])
+        lines = lines + own if rnd.random() < 0.8 else own + lines
+        texts.append(rnd.choice(["\n", "\n\n"]).join(lines) if rnd.random() < 0.3 else "\n".join(lines))
+        rows.append((conv, n, rnd.choice(["user", "assistant"]), texts[-1]))
+    return rows
+
+
+def test_generated_threads_against_a_slow_version(spark):
+    """One conversation holds a third of all messages."""
+    rnd = random.Random(8)
+    rows = [r for c in range(40) for r in threads_of(rnd, c, rnd.randint(1, 9))]
+    rows += threads_of(rnd, 99, len(rows) // 2)
+    got = sorted((tuple(r) for r in link_conversations(frame(spark, rows)).collect()), key=str)
+    want = slow(rows)
+    assert sum(r[5] is not None for r in want) > 60 and max(r[7] for r in want) > 3
+    assert got == want
