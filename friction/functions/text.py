@@ -59,3 +59,17 @@ def inferred_role(css: Column, label: Column, has_popup: Column) -> Column:
     retry = css.contains("retry") | label.contains("retry") | label.contains("try again")
     helps = label.startswith("help") | label.contains("support") | label.contains("contact") | css.contains("help")
     return F.when(dismiss, "dismiss").when(retry, "retry").when(helps, "help").when(css.contains("menu") | F.coalesce(has_popup, F.lit(False)), "menu")
+
+
+def number(n: Column) -> Column:
+    """A whole number with its thousands apart."""
+    return F.format_number(n, 0)
+
+
+def percent(share: Column, digits: int = 1) -> Column:
+    """A share as a percentage."""
+    return F.concat(F.format_string(f"%.{digits}f", share.cast("double") * 100), F.lit("%"))
+
+
+def is_element_id(text: Column) -> Column:
+    return text.rlike("^sh_[0-9a-f]{32}$")

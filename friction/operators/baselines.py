@@ -16,9 +16,12 @@ def upper_percentile(values: DataFrame, key: str, value: str, p: float, name: st
     return counts.where(F.col("upto") >= rank).groupBy(key).agg(F.min(value).cast("double").alias(name))
 
 
-def baselines(events: DataFrame, least_events: int = 30, least_sessions: int = 3, p: float = 0.95) -> DataFrame:
-    """element_id, p95_clicks_per_sec, p95_dwell_ms, p95_hovers_before_click, sample_size (sessions) of elements with enough events."""
+def baselines(events: DataFrame, least_events: int = 30, least_sessions: int = 3, p: float = 0.95, since_ms: int | None = None) -> DataFrame:
+    """element_id, p95_clicks_per_sec, p95_dwell_ms, p95_hovers_before_click, sample_size (sessions) of elements with enough events.
+
+    since_ms: only events from then on count (a look-back of fourteen days, say)."""
     e = events.where("element_id is not null")
+    e = e if since_ms is None else e.where(F.col("ms") >= since_ms)
     sizes = e.groupBy("element_id").agg(F.count("*").alias("n"), F.countDistinct("session_id").cast("int").alias("sample_size"))
     sizes = sizes.where((F.col("n") >= least_events) & (F.col("sample_size") >= least_sessions)).drop("n")
     own = Window.partitionBy("session_id", "element_id")
@@ -31,3 +34,8 @@ def baselines(events: DataFrame, least_events: int = 30, least_sessions: int = 3
     for values, name in ((clicks, "p95_clicks_per_sec"), (dwell, "p95_dwell_ms"), (hovers, "p95_hovers_before_click")):
         out = out.join(upper_percentile(values, "element_id", "x", p, name), "element_id", "left")
     return out.select("element_id", "p95_clicks_per_sec", "p95_dwell_ms", "p95_hovers_before_click", "sample_size")
+
+
+def stored_baselines(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored baselines after a run: new ones win, those of elements that had too few events this time stay."""
+    return stored.join(new.select("element_id"), "element_id", "left_anti").select(*new.columns).unionByName(new)

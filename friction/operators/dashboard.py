@@ -115,3 +115,91 @@ def recent_usage(usage: DataFrame, months: int = 6) -> DataFrame:
 def ready_orgs(keys: DataFrame, described: DataFrame) -> DataFrame:
     """org: those with a key and with at least one described element."""
     return keys.select("org").distinct().join(described.select("org"), "org", "left_semi")
+
+
+#: Copy of an intervention that has none of its own, by how it works.
+NO_COPY = {"DOM": "(DOM mutation)", "BEHAVIOR": "(behavior override)", "AUTO_FIX": "(auto-fix)"}
+
+
+def top_types(detections: DataFrame, since_ms: int, limit: int = 5) -> DataFrame:
+    """type, n: the most frequent types since a time."""
+    return detections.where(F.col("ts_ms") >= since_ms).groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type").limit(limit)
+
+
+def filtered_friction(detections: DataFrame, labels: DataFrame, kind: str | None, since_ms: int, limit: int = 100) -> DataFrame:
+    """friction_table() of one type (None: of all) since a time, with label and route of the element."""
+    d = detections if kind is None else detections.where(F.col("type") == kind)
+    return friction_table(d, since_ms, limit).join(labels.select("element_id", "label", "route"), "element_id", "left")
+
+
+def flow_nodes(events: DataFrame, oldest: int = 5000) -> DataFrame:
+    """route, node: routes of the oldest navigations, numbered as they first appear in a move to another route."""
+    nav = events.where("event_type = 'NAVIGATION'").orderBy("ms", "seq").limit(oldest)
+    w = Window.partitionBy("session_id").orderBy("ms", "seq")
+    moves = nav.select("session_id", "ms", "seq", "route", F.lead("route").over(w).alias("next")).where("route <> next")
+    ends = moves.select("session_id", "ms", "seq", F.posexplode(F.array("route", "next")).alias("end", "route"))
+    first = ends.groupBy("route").agg(F.min(F.struct("session_id", "ms", "seq", "end")).alias("first"))
+    return first.select("route", (F.row_number().over(Window.orderBy("first")) - F.lit(1)).alias("node"))  # as many rows as routes
+
+
+def interventions(rows: DataFrame, labels: DataFrame, limit: int | None = None) -> DataFrame:
+    """row_id, label, kind, copy, enabled, impressions, successes, dismissals, success_rate, created: interventions, newest
+    first, with a copy that stands for how they work where they have none."""
+    copy = F.coalesce("copy", F.create_map(*[F.lit(x) for kv in NO_COPY.items() for x in kv])[F.col("kind")], F.lit(""))
+    out = rows.join(labels.select("element_id", "label"), "element_id").select("row_id", "label", "kind", copy.alias("copy"), "enabled", "impressions", "successes", "dismissals", "success_rate", "created")
+    return out if limit is None else out.orderBy(F.desc("created"), "row_id").limit(limit)
+
+
+def toggled(rows: DataFrame, row_id: str, enabled: bool) -> DataFrame:
+    """Interventions with one of them turned on or off."""
+    return rows.withColumn("enabled", F.when(F.col("row_id") == row_id, F.lit(enabled)).otherwise(F.col("enabled")))
+
+
+def revoked(keys: DataFrame, org: str, key_hash: str, now) -> DataFrame:
+    """Keys with one of an org revoked; one that is revoked keeps its time."""
+    mine = (F.col("org") == org) & (F.col("key_hash") == key_hash) & F.col("revoked_at").isNull()
+    return keys.withColumn("revoked_at", F.when(mine, now).otherwise(F.col("revoked_at")))
+
+
+def keys_of(keys: DataFrame, org: str) -> DataFrame:
+    """The keys of an org as they are listed: prefix, created_at, revoked_at, newest first."""
+    return keys.where(F.col("org") == org).select("prefix", "created_at", "revoked_at").orderBy(F.desc("created_at"), "prefix")
+
+
+def checklist(orgs: DataFrame, counts: dict[str, DataFrame]) -> DataFrame:
+    """org (orgs: org, platform_name, safe_mode) and what is left to set up: named, safe_mode_off, and for each table of counts
+    (org, ...) whether the org has a row in it."""
+    out = orgs.select("org", (F.trim(F.coalesce("platform_name", F.lit(""))) != "").alias("named"), (~F.coalesce("safe_mode", F.lit(True))).alias("safe_mode_off"))
+    for name, table in counts.items():
+        out = out.join(table.select("org").distinct().withColumn(name, F.lit(True)), "org", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return out
+
+
+def newest_frameworks(found: DataFrame, limit: int = 20) -> DataFrame:
+    """The frameworks that were detected last (detected_at)."""
+    return found.orderBy(F.desc("detected_at"), "repo", "framework").limit(limit)
+
+
+def session_struggles(detections: DataFrame, session: str) -> DataFrame:
+    """All detections of one session in order."""
+    return detections.where(F.col("session_id") == session).orderBy("ts_ms", "type", F.asc_nulls_last("element_id"))
+
+
+def element_page(element: str, interventions: DataFrame, events: DataFrame, cache: DataFrame, last: int = 20) -> dict[str, DataFrame]:
+    """The other tables of an element's page: its interventions by success rate, its cached variants and its last events."""
+    mine = lambda t: t.where(F.col("element_id") == element)
+    return {
+        "interventions": mine(interventions).orderBy(F.desc("success_rate"), "row_id"),
+        "cache": mine(cache).orderBy("type", "variant_index"),
+        "events": mine(events).orderBy(F.desc("ms"), F.desc("seq")).limit(last),
+    }
+
+
+def active_interventions(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.count_if("enabled").alias("active"), F.count("*").alias("interventions"))
+
+
+def description_counts(elements: DataFrame, described: DataFrame) -> DataFrame:
+    """described, undescribed: elements (element_id) with and without a description."""
+    known = elements.select("element_id").distinct().join(described.select("element_id").distinct().withColumn("has", F.lit(True)), "element_id", "left")
+    return known.agg(F.count("has").alias("described"), F.count_if(F.col("has").isNull()).alias("undescribed"))

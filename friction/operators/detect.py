@@ -82,6 +82,68 @@ def adapted(base: float, p95: str, sample: Column, factor: float, per: float = 1
     return F.when(trusted, F.greatest(F.lit(float(base)), F.ceil(F.col(p95) * F.lit(per) * F.lit(factor)).cast("double"))).otherwise(F.lit(float(base)))
 
 
+#: What detections say whose text holds nothing of the events.
+SAID = {
+    "MIS_CLICK": "Two clicks on different elements within 300ms", "INVALID_CLICK": "Clicked a disabled element",
+    "DEAD_CLICK": "Clicked a non-interactive element", "ABANDONED_FIELD": "Started typing then walked away",
+    "REQUIRED_MISSED": "Required field was missed", "FORMAT_ERROR": "Input did not match expected format",
+    "SILENT_FAIL": "Submitted, nothing happened", "IDLE_AFTER_LOAD": "Loaded the page, did nothing",
+    "EMPTY_SEARCH": "Searched with empty query", "ZERO_RESULTS": "Search returned zero results",
+    "FAILED_FILTER": "Filter narrowed to zero", "JS_ERROR": "Uncaught JS error", "LOGIN_FAILURE": "Login attempt failed",
+    "KEYBOARD_LOST_FOCUS": "Focused, then lost focus before typing", "COPY_BOUNCE": "Copied, then left",
+    "HELP_HUNT": "Clicked help / support",
+}
+
+
+def text(template: str, *values: Column) -> Column:
+    return F.format_string(template, *values)
+
+
+def seconds(ms: Column) -> Column:
+    """Whole seconds, halves up."""
+    return F.floor(ms / 1000 + F.lit(0.5)).cast("string")
+
+
+def row_texts(r: dict) -> dict[str, Column]:
+    """What detections of single events say; null: see SAID."""
+    c, at = F.col, lambda name: F.col(name).cast("string")
+    raised = lambda name, usual, said: F.when(c(name) != usual, text(" (adapted threshold: %s)", said)).otherwise("")
+    flags = F.array_intersect(F.split(c("el_validity"), ","), F.array(*[F.lit(x) for x in FORMAT_FLAGS]))
+    return {
+        "RAGE_CLICK": F.concat(text(f"%s clicks within {r['rage_ms']}ms", at("of_element")), raised("rage_from", r["rage_n"], c("rage_from").cast("long").cast("string"))),
+        "THRASH": text(f"%s input changes within {r['thrash_ms']}ms", at("of_element")),
+        "FORMAT_ERROR": F.when(F.size(flags) > 0, text("Native validity: %s", F.array_join(flags, ","))),
+        "QUICK_BOUNCE": text("Left %s within %sms", c("route1"), (c("ms") - c("ms1")).cast("string")),
+        "HOVER_HUNT": F.concat(text("%s hovers without a click", at("of_type")), raised("hunt_from", r["hunt_n"], c("hunt_from").cast("long").cast("string"))),
+        "LONG_DWELL": F.concat(text("Stared at this for %ss", seconds(c("m_ms"))), F.when(c("dwell_from") != r["dwell_ms"], text(" (adapted threshold: %ss)", seconds(c("dwell_from")))).otherwise("")),
+        "RAPID_SCROLL": text(f"%s scroll events in {r['scroll_ms']}ms", at("of_type")),
+        "NOT_FOUND_BOUNCE": text("Hit %s and bounced", c("route")),
+        "JS_ERROR": c("m_message"),
+    }
+
+
+def group_texts() -> dict[str, Column]:
+    """What detections of whole groups say; n of the group that found() was called on."""
+    n = lambda name: F.col(f"{name}_n").cast("string")
+    return {
+        "BACKTRACK": text("%s write/erase cycles", F.col("flips").cast("string")), "PASTE_REPEAT": text("%s paste events", n("paste")),
+        "SLOW_FILL": text("Filled across %ss", seconds(F.col("input_change_last.ms") - F.col("input_change_first.ms"))),
+        "MENU_THRASH": text("Toggled menu %s times", n("menu")), "TOOLTIP_HOVER_REPEAT": text("Read the same tooltip %s times", n("tip")),
+        "ERROR_DISMISS": text("Dismissed the same error %s times", n("dismiss")), "RETRY_LOOP": text("Hit retry %s times", n("retry")),
+    }
+
+
+def session_texts() -> dict[str, Column]:
+    n = lambda name: F.col(f"{name}_n").cast("string")
+    return {
+        "VALIDATION_LOOP": text("%s submits, %s failed attempts", n("submit"), F.greatest("errors_n", "invalid_n").cast("string")),
+        "PASSWORD_RETRY": text("%s login failures", n("login")), "BACK_THRASH": text("%s back nav events", n("back")),
+        "CIRCULAR_NAV": text("Bouncing between %s routes", (F.col("cycles") + 1).cast("string")),
+        "SCROLL_OVERSHOOT": text("%s scroll-direction reversals", F.col("turns").cast("string")),
+        "TAB_HOPPING": text("Switched tabs %s times", n("tab")), "LOCKED_OUT": text("%s login failures - likely locked out", n("login")),
+    }
+
+
 def row_rules(r: dict) -> list[tuple[str, Column]]:
     t, c = F.col("event_type"), F.col
     click, submit, nav, error = t == "CLICK", t == "SUBMIT", t == "NAVIGATION", t == "VALIDATION_ERROR"
@@ -194,32 +256,37 @@ def session_rules(r: dict) -> tuple[list[Column], list[tuple[str, Column]]]:
     ]
 
 
-def emitted(rows: DataFrame, rules: list[tuple[str, Column]], only: set[str] | None = None) -> DataFrame | None:
-    """A row for each detection that is not null; None if no rule is asked for."""
-    rules = [x for kind, x in rules if only is None or kind in only]
+def emitted(rows: DataFrame, rules: list[tuple[str, Column]], only: set[str] | None = None, said: dict[str, Column] | None = None) -> DataFrame | None:
+    """A row for each detection that is not null; None if no rule is asked for. said: what types say, where asked for."""
+    rules = [(kind, x) for kind, x in rules if only is None or kind in only]
+    if said is not None:
+        rules = [(kind, x.withField("summary", F.coalesce(said.get(kind, F.lit(None).cast("string")), F.lit(SAID.get(kind))))) for kind, x in rules]
+    rules = [x for _, x in rules]
     if not rules:
         return None
     return rows.select("session_id", F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("d")).select("session_id", "d.*")
 
 
-def as_of_rules(e: DataFrame, as_of: Column, r: dict) -> DataFrame:
+def as_of_rules(e: DataFrame, as_of: Column, r: dict, only: set[str] | None = None, said: dict | None = None) -> DataFrame | None:
     """DEAD_END and IDLE_AFTER_LOAD with idleness measured to a clock that is given; by event times alone they cannot fire."""
     nav = F.col("event_type") == "NAVIGATION"
-    g = e.groupBy("session_id").agg(F.max(F.struct("ms", "seq", "event_type", "m_trigger")).alias("last"), F.count("*").alias("n"), F.min(F.when(nav, F.struct("ms", "seq"))).alias("first"))
+    g = e.groupBy("session_id").agg(F.max(F.struct("ms", "seq", "event_type", "m_trigger", "route")).alias("last"), F.count("*").alias("n"), F.min(F.when(nav, F.struct("ms", "seq"))).alias("first"))
     last, idle = F.col("last"), as_of - F.col("last.ms")
     on_nav = last["event_type"] == "NAVIGATION"
     order = (F.col("first.ms"), F.col("first.seq"))
+    said = None if said is None else {"DEAD_END": text("Idle on %s for %ss", last["route"], seconds(idle))}
     return emitted(g, [
         detection(on_nav & (idle >= r["dead_end_ms"]), "DEAD_END", None, 0.45, last["ms"], True, order),
         detection(on_nav & (last["m_trigger"] == "initial") & (idle >= r["idle_load_ms"]), "IDLE_AFTER_LOAD", None, 0.45, last["ms"], True, order),
-    ])
+    ], only, said)
 
 
-def detect(events: DataFrame, rules: dict | None = None, baselines: DataFrame | None = None, as_of: int | None = None, only: set[str] | None = None) -> DataFrame:
+def detect(events: DataFrame, rules: dict | None = None, baselines: DataFrame | None = None, as_of: int | None = None, only: set[str] | None = None, summaries: bool = False) -> DataFrame:
     """session_id, element_id, type, severity, ts_ms: the first detection of each (session, element, type).
 
     events: EVENT_COLUMNS. baselines: element_id, p95_clicks_per_sec, p95_dwell_ms, p95_hovers_before_click, sample_size,
-    one row an element; they raise the thresholds of RAGE_CLICK, LONG_DWELL and HOVER_HUNT. as_of: see as_of_rules(). only: types to look for."""
+    one row an element; they raise the thresholds of RAGE_CLICK, LONG_DWELL and HOVER_HUNT. as_of: see as_of_rules(). only: types to look for. summaries:
+    with `summary`, a sentence on each detection."""
     r = RULES | (rules or {})
     e = events.repartition("session_id")
     if baselines is not None:
@@ -232,31 +299,34 @@ def detect(events: DataFrame, rules: dict | None = None, baselines: DataFrame |
         e = e.withColumn("rage_from", F.lit(float(r["rage_n"]))).withColumn("dwell_from", F.lit(float(r["dwell_ms"]))).withColumn("hunt_from", F.lit(float(r["hunt_n"])))
     e = with_lags(with_neighbours(e), r)
     e = e.withColumn("session_end", F.max("ms").over(Window.partitionBy("session_id")))
+    if summaries:
+        e = e.withColumn("of_type", F.count("*").over(Window.partitionBy("session_id", "event_type")))
+    said = lambda texts: texts if summaries else None
     rage = (F.col("event_type") == "CLICK") & (F.col("ms") - nth_back("element_ms", r["rage_n"]) <= r["rage_ms"])
     severity = F.least(F.lit(1.0), F.col("of_element") / (F.lit(2.0) * F.col("rage_from")))
     if baselines is None:
-        parts = [emitted(e, [detection(rage, "RAGE_CLICK", "element_id", severity, "ms"), *row_rules(r)], only)]
+        parts = [emitted(e, [detection(rage, "RAGE_CLICK", "element_id", severity, "ms"), *row_rules(r)], only, said(row_texts(r)))]
     else:
         # the threshold differs by element, so the click N back is found by its number instead of a constant lag
         clicks = e.where("event_type = 'CLICK'")
         back = clicks.select(F.col("session_id").alias("s"), F.col("element_id").alias("el"), F.col("nth_of_element").alias("n"), F.col("ms").alias("back_ms"))
         same = (F.col("session_id") == F.col("s")) & F.col("element_id").eqNullSafe(F.col("el")) & (F.col("nth_of_element") - F.col("rage_from").cast("long") + 1 == F.col("n"))
         raging = clicks.join(back, same).where(F.col("ms") - F.col("back_ms") <= r["rage_ms"])
-        parts = [emitted(e, row_rules(r), only), emitted(raging, [detection(F.lit(True), "RAGE_CLICK", "element_id", severity, "ms")], only)]
+        parts = [emitted(e, row_rules(r), only, said(row_texts(r))), emitted(raging, [detection(F.lit(True), "RAGE_CLICK", "element_id", severity, "ms")], only, said(row_texts(r)))]
     columns, found = element_rules(r)
-    parts.append(emitted(e.groupBy("session_id", "element_id").agg(*columns), found, only))
+    parts.append(emitted(e.groupBy("session_id", "element_id").agg(*columns), found, only, said(group_texts())))
     columns, found = session_rules(r)
-    parts.append(emitted(e.groupBy("session_id").agg(*columns), found, only))
+    parts.append(emitted(e.groupBy("session_id").agg(*columns), found, only, said(session_texts())))
     # repeated routes and queries: once for a session or element, the group that was there first
     loop = Group("loop", F.lit(True))
     loops = e.where("event_type = 'NAVIGATION'").groupBy("session_id", "route").agg(*loop.columns)
-    parts.append(emitted(loops, [loop.found(loop.n >= r["loop_n"], "LOOP", None, capped(loop.n, 2 * r["loop_n"]), True)], only))
+    parts.append(emitted(loops, [loop.found(loop.n >= r["loop_n"], "LOOP", None, capped(loop.n, 2 * r["loop_n"]), True)], only, said({"LOOP": text("Visited %s %s times", F.col("route"), loop.n.cast("string"))})))
     searches = e.where("event_type = 'SUBMIT' and m_kind = 'search'").groupBy("session_id", F.coalesce("m_query", F.lit("")).alias("query")).agg(*loop.columns)
-    parts.append(emitted(searches, [loop.found(loop.n > r["search_n"], "REPEAT_SEARCH", "last", 0.5)], only))
+    parts.append(emitted(searches, [loop.found(loop.n > r["search_n"], "REPEAT_SEARCH", "last", 0.5)], only, said({"REPEAT_SEARCH": text("Searched the same query %s times", loop.n.cast("string"))})))
     if as_of is not None:
-        parts.append(as_of_rules(e, F.lit(as_of), r))
+        parts.append(as_of_rules(e, F.lit(as_of), r, only, said({})))
     out, *rest = [p for p in parts if p is not None]
     for p in rest:
         out = out.unionByName(p)
     first = Window.partitionBy("session_id", "scope", "type").orderBy("o1", "o2")
-    return out.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("session_id", "element_id", "type", "severity", "ts_ms")
+    return out.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("session_id", "element_id", "type", "severity", "ts_ms", *["summary"] * summaries)

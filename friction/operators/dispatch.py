@@ -44,8 +44,8 @@ def choose(detections: DataFrame, stats: DataFrame, variants: int, epsilon: floa
     )
 
 
-def dispatch(chosen: DataFrame, last_routes: DataFrame, denied: list[str] = (), roles: DataFrame | None = None, paused: DataFrame | None = None, shown: DataFrame | None = None, safe_mode: bool = False) -> DataFrame:
-    """The interventions that may be shown: none in safe mode, on a denied last route, twice, paused or already shown.
+def dispatch(chosen: DataFrame, last_routes: DataFrame, denied: list[str] = (), roles: DataFrame | None = None, paused: DataFrame | None = None, shown: DataFrame | None = None, safe_mode: bool = True) -> DataFrame:
+    """The interventions that may be shown: none in safe mode, which is on unless it is turned off, on a denied last route, twice, paused or already shown.
 
     A destructive element (roles: element_id, role) gets a confirmation (variant -1) for types that suggest haste."""
     if safe_mode:
@@ -77,3 +77,60 @@ def apply_outcomes(stats: DataFrame, outcomes: DataFrame, ledger: DataFrame) ->
     total = lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
     out = out.select("row_id", total("impressions", "i").alias("impressions"), total("successes", "s").alias("successes"))
     return out.withColumn("success_rate", F.when(F.col("impressions") > 0, F.col("successes") / F.col("impressions")).otherwise(F.lit(0.0)))
+
+
+#: What an outcome is recorded as, and which counter it adds to.
+OUTCOMES = {"intervention_shown": ("ABANDON", "impressions"), "intervention_success": ("SUCCESS", "successes"), "intervention_dismissed": ("DISMISSED", "dismissals")}
+
+
+def outcome_events(events: DataFrame) -> DataFrame:
+    """session_id, tracking_id, kind, ms of the CUSTOM events (m_kind, m_iid) that report what became of an intervention."""
+    rows = events.where((F.col("event_type") == "CUSTOM") & F.col("m_kind").isin(*OUTCOMES) & F.col("m_iid").isNotNull())
+    return rows.select("session_id", F.col("m_iid").alias("tracking_id"), F.col("m_kind").alias("kind"), "ms")
+
+
+def impressions(outcomes: DataFrame, ledger: DataFrame) -> DataFrame:
+    """row_id, session_id, outcome, ms: a row for each outcome (of outcome_events()) that the ledger (tracking_id, row_id) knows."""
+    recorded = F.create_map(*[F.lit(x) for k, (o, _) in OUTCOMES.items() for x in (k, o)])
+    return outcomes.join(ledger.select("tracking_id", "row_id"), "tracking_id").select("row_id", "session_id", recorded[F.col("kind")].alias("outcome"), "ms")
+
+
+def counters(stats: DataFrame, outcomes: DataFrame, ledger: DataFrame) -> DataFrame:
+    """stats (row_id, impressions, successes, dismissals) with what outcomes add to stored rows, and their success rate."""
+    known = outcomes.join(ledger.select("tracking_id", "row_id"), "tracking_id")
+    added = known.groupBy("row_id").agg(*[F.count_if(F.col("kind") == k).alias(f"more_{c}") for k, (_, c) in OUTCOMES.items()])
+    out = stats.join(added, "row_id", "left")
+    total = {c: (F.coalesce(c, F.lit(0)) + F.coalesce(f"more_{c}", F.lit(0))).alias(c) for _, c in OUTCOMES.values()}
+    out = out.select("row_id", *[total[c] for c in ("impressions", "successes", "dismissals")])
+    return out.withColumn("success_rate", F.when(F.col("impressions") > 0, F.col("successes") / F.col("impressions")).otherwise(F.lit(0.0)))
+
+
+def last_titles(events: DataFrame) -> DataFrame:
+    """session_id, title: the last page title (page_title) by arrival that is not empty."""
+    return events.where("page_title <> ''").groupBy("session_id").agg(F.max_by("page_title", "seq").alias("title"))
+
+
+def latest_semantics(semantics: DataFrame) -> DataFrame:
+    """element_id, intent, ...: of each element the description that was made last (enriched_at), of equals the larger."""
+    rest = [c for c in semantics.columns if c not in ("element_id", "enriched_at")]
+    return semantics.groupBy("element_id").agg(F.max(F.struct("enriched_at", *rest)).alias("s")).select("element_id", *[f"s.{c}" for c in rest])
+
+
+def with_context(chosen: DataFrame, elements: DataFrame, semantics: DataFrame, routes: DataFrame, last: DataFrame, titles: DataFrame) -> DataFrame:
+    """chosen with what its copy can speak of: label, role, validation (elements), intent (the latest of semantics), route
+    (last: of last_routes()), page_title (titles: of last_titles(), else that of the route), route_purpose (routes: route,
+    title, purpose). Each side has one row a key, so no row is doubled."""
+    out = chosen.join(elements.select("element_id", "label", "role", "validation"), "element_id", "left")
+    out = out.join(latest_semantics(semantics).select("element_id", "intent"), "element_id", "left")
+    out = out.join(last, "session_id", "left").join(titles, "session_id", "left")
+    out = out.join(routes.select("route", F.col("title").alias("route_title"), F.col("purpose").alias("route_purpose")), "route", "left")
+    return out.select(*chosen.columns, "label", "role", "validation", "intent", "route", F.coalesce("title", "route_title").alias("page_title"), "route_purpose")
+
+
+def with_options(chosen: DataFrame, templates: DataFrame) -> DataFrame:
+    """chosen with `options` (target, severity) of the template (type, variant_index, target, severity_opt, auto_dismiss_ms),
+    null if it has neither, and auto_dismiss_ms, 0 unless it says otherwise. A confirmation (variant -1) has no template."""
+    t = templates.select("type", "variant_index", "target", "severity_opt", "auto_dismiss_ms")
+    out = chosen.join(t, ["type", "variant_index"], "left")
+    options = F.when(F.col("target").isNotNull() | F.col("severity_opt").isNotNull(), F.struct("target", F.col("severity_opt").alias("severity")))
+    return out.select(*chosen.columns, options.alias("options"), F.coalesce("auto_dismiss_ms", F.lit(0)).alias("auto_dismiss_ms"))

@@ -8,7 +8,14 @@ from pyspark.sql.window import Window
 
 from friction.functions.ids import element_id
 
+#: Tags of interactive elements, attributes, mount points of shells, reactive attributes.
 TAG = r"(?i)<(button|input|textarea|select|form|a)\b([^>]*)>"
+ATTRIBUTE = r"""([:@a-zA-Z_][\w:.\-@]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
+MOUNT = r"""(?i)<div[^>]+id=["'](?:root|app|__next|svelte)["']"""
+MODULE = r"""(?i)<script[^>]+type=["']module["']"""
+REACTIVE = r"""(?i)<([a-zA-Z][\w-]*)([^>]*?\b(?:hx-[a-z]+|x-on:[a-z]+|@[a-z]+|v-on:[a-z]+|on:[a-z]+|\(click\)|\(submit\))=[^>]*)>"""
+HANDLERS = ("onclick", "onsubmit", "onchange", "oninput", "@click", "@submit", "@change", "@input", "v-on:click", "v-on:submit", "on:click", "on:submit", "x-on:click", "(click)", "(submit)")
+INTERACTIVE = ("button", "input", "textarea", "select", "form", "a")
 SPACES = r"[\s   -     　﻿]+"
 
 #: Roles by the first words of a label, in the order they are tried.
@@ -38,34 +45,132 @@ def semantic_role(tag: Column, kind: Column, href: Column, label: Column, css: C
     return role.when(css.contains("danger") | css.contains("destructive"), "DANGER").when(css.contains("primary") | css.contains("cta"), "PRIMARY")
 
 
-def attribute(name: str):
-    """Value of an attribute, by the quoting forms of HTML; null if absent."""
-    pattern = rf"""(?i)(?:^|\s){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    found = F.coalesce(*[F.nullif(F.regexp_extract("attrs", pattern, i), F.lit("")) for i in (1, 2, 3)])
-    return found
+def plain(html: Column) -> Column:
+    """Text without tags, its white space collapsed; null if nothing is left."""
+    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]+>", " "), SPACES, " ")), F.lit(""))
 
 
-def elements(pages: DataFrame, org: str = "org") -> DataFrame:
-    """page_id, tag, tag_index, href, type_attr, label, semantic_role, destructive, required, element_id of each interactive element, in order.
+def with_attributes(rows: DataFrame) -> DataFrame:
+    """rows with `names` and `values` of the attributes in `attrs`, the last first: of a repeated attribute the last counts."""
+    names = F.reverse(F.regexp_extract_all("attrs", F.lit(ATTRIBUTE), F.lit(1)))
+    values = F.reverse(F.regexp_extract_all("attrs", F.lit(ATTRIBUTE), F.lit(2)))
+    return rows.withColumn("names", names).withColumn("values", values).drop("attrs")
+
+
+def has(name: str) -> Column:
+    return F.array_contains("names", F.lit(name))
+
+
+def given(name: str) -> Column:
+    """Value of an attribute without its quotes, '' if it has none; null if the attribute is absent."""
+    at = F.array_position("names", F.lit(name)).cast("int")
+    raw = F.when(at > 0, F.get("values", at - 1))
+    return F.when(raw.rlike("^[\"']"), F.substring(raw, F.lit(2), F.greatest(F.char_length(raw) - 2, F.lit(0)))).otherwise(raw)
+
+
+def attribute(name: str) -> Column:
+    """Value of an attribute; null if it is absent or empty."""
+    return F.nullif(given(name), F.lit(""))
+
+
+def validation() -> Column:
+    """The rules of a field as JSON; null without any. min, max and step are kept as they are written."""
+    number = lambda name: F.expr(f"try_cast(`{name}` AS bigint)")
+    rules = {k.lower(): F.when(has(k), F.lit(True)) for k in ("required", "disabled", "readonly")}
+    rules |= {"minLength": number("minlength"), "maxLength": number("maxlength")}
+    rules |= {k: attribute(k) for k in ("min", "max", "pattern", "step")}
+    rules["inputType"] = F.when(F.col("tag") == "input", attribute("type"))
+    return F.nullif(F.to_json(F.struct(*[c.alias(k) for k, c in rules.items()])), F.lit("{}"))
+
+
+def handler() -> Column:
+    """The function that the first event attribute calls, else its value, `(inline)` if that is long."""
+    value = F.coalesce(*[attribute(h) for h in HANDLERS])
+    called = F.nullif(F.regexp_extract(value, r"([a-zA-Z_$][\w$]*)\s*\(", 1), F.lit(""))
+    return F.coalesce(called, F.when(F.char_length(value) > 30, "(inline)").otherwise(value))
+
 
-    pages: page_id, url, html. The label is aria-label, title, placeholder or the text up to the closing tag."""
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, pos, tag, names, values, inner (up to the tag's own end, null of an input), ahead (200 characters from
+    the tag on), closes (whether a form ends before the next element)."""
     parts = F.split("html", r"(?i)(?=<(?:button|input|textarea|select|form|a)\b[^>]*>)")
-    rows = pages.select("page_id", "url", F.posexplode(parts).alias("pos", "part")).where(F.col("part").rlike("^" + TAG))
-    rows = rows.select("page_id", "url", "pos", F.lower(F.regexp_extract("part", TAG, 1)).alias("tag"), F.regexp_extract("part", TAG, 2).alias("attrs"), F.regexp_replace("part", "^" + TAG, "").alias("rest"))
-    inner = F.trim(F.regexp_replace(F.regexp_replace(F.substring_index("rest", "</", 1), r"<[^>]*>", " "), SPACES, " "))
-    label = F.coalesce(attribute("aria-label"), attribute("title"), attribute("placeholder"), F.nullif(F.substring(inner, 1, 200), F.lit("")))
+    rows = pages.select("page_id", "url", parts.alias("parts"))
+
+    def described(part: Column, i: Column) -> Column:
+        tag, rest = F.lower(F.regexp_extract(part, TAG, 1)), F.regexp_replace(part, "^" + TAG, "")
+        end, after = F.concat(F.lit("</"), tag), lambda: F.array_join(F.slice("parts", i + 2, F.size("parts")), "")
+        all_of_it = F.concat(rest, after())
+        inner = F.when(tag == "input", None).when(F.contains(rest, end), F.split_part(rest, end, F.lit(1))).when(F.contains(all_of_it, end), F.split_part(all_of_it, end, F.lit(1)))
+        ahead = F.when(F.char_length(part) >= 200, F.substring(part, 1, 200)).otherwise(F.substring(F.concat(part, after()), 1, 200))
+        made = F.struct(i.alias("pos"), tag.alias("tag"), F.regexp_extract(part, TAG, 2).alias("attrs"), inner.alias("inner"), ahead.alias("ahead"), F.contains(rest, F.lit("</form")).alias("closes"))
+        return F.when(part.rlike("^" + TAG), made)
+
+    rows = rows.select("page_id", "url", F.explode(F.filter(F.transform("parts", described), lambda x: x.isNotNull())).alias("e"))
+    return with_attributes(rows.select("page_id", "url", "e.*"))
+
+
+def elements(pages: DataFrame, org: str = "org") -> DataFrame:
+    """Each interactive element of pages (page_id, url, html), in order: page_id, tag, tag_index, href, type_attr, label,
+    semantic_role, destructive, required, validation, form_context, handler, tags, endpoint, element_id.
+
+    The label is aria-label, title, placeholder, the value of an input or button, the text up to the tag's own end, or what
+    comes next. form_context names the innermost open form, the element itself if it is one."""
+    page, rows = Window.partitionBy("page_id").orderBy("pos"), parsed(pages)
+    text = F.coalesce(F.substring(plain(F.col("inner")), 1, 200), F.substring(plain(F.col("ahead")), 1, 80))
+    label = F.coalesce(attribute("aria-label"), attribute("title"), attribute("placeholder"), F.when(F.col("tag").isin("input", "button"), attribute("value")), text)
+    own = F.coalesce(F.substring(plain(F.col("inner")), 1, 200), attribute("aria-label"), attribute("title"), attribute("placeholder"), attribute("value"))
+    closed = F.min(F.when(F.col("closes"), F.col("pos"))).over(page.rowsBetween(0, Window.unboundedFollowing))
+    form = F.when(F.col("tag") == "form", F.struct(F.coalesce(closed, F.lit(2**31 - 1)).alias("till"), F.coalesce(given("id"), given("name"), F.lit("(unnamed-form)")).alias("name")))
+    rows = rows.withColumn("form", form).withColumn("form", F.last("form", True).over(page.rowsBetween(Window.unboundedPreceding, 0)))
     index = F.row_number().over(Window.partitionBy("page_id", "tag").orderBy("pos")) - F.lit(1)
-    rows = rows.select("page_id", "url", "pos", "tag", index.alias("tag_index"), attribute("href").alias("href"), attribute("type").alias("type_attr"), label.alias("label"), attribute("class").alias("css"), F.col("attrs").rlike(r"(?i)(^|\s)required(\s|=|/|$)").alias("required"))
-    role = semantic_role(F.col("tag"), F.col("type_attr"), F.col("href"), F.col("label"), F.col("css"))
+    rows = rows.withColumn("tag_index", index).withColumn("label", label).withColumns({k: attribute(k) for k in ("minlength", "maxlength")})
+    css = F.lower(F.coalesce(attribute("class"), attribute("className"), F.lit("")))
+    tags = F.array_compact(F.array(
+        F.when((F.col("tag") == "button") & own.isNull() & css.contains("icon"), "icon-only"), F.when(has("disabled"), "disabled"),
+        F.when(css.contains("hidden") | (F.coalesce(given("aria-hidden"), F.lit("")) == "true"), "hidden"),
+    ))
+    role = semantic_role(F.col("tag"), attribute("type"), attribute("href"), F.col("label"), attribute("class"))
     descriptor = F.concat(F.col("tag"), F.lit("["), F.col("tag_index"), F.lit("]"))
-    return rows.select("page_id", "tag", "tag_index", "href", "type_attr", "label", role.alias("semantic_role"), F.coalesce(role.isin(*DESTRUCTIVE), F.lit(False)).alias("destructive"), "required", element_id(F.lit(org), F.col("url"), descriptor).alias("element_id"))
+    return rows.select(
+        "page_id", "tag", "tag_index", attribute("href").alias("href"), attribute("type").alias("type_attr"), "label", role.alias("semantic_role"),
+        F.coalesce(role.isin(*DESTRUCTIVE), F.lit(False)).alias("destructive"), has("required").alias("required"), validation().alias("validation"),
+        F.when(F.col("form.till") >= F.col("pos"), F.col("form.name")).alias("form_context"), handler().alias("handler"), tags.alias("tags"),
+        F.when(F.col("tag") == "form", attribute("action")).alias("endpoint"), element_id(F.lit(org), F.col("url"), descriptor).alias("element_id"),
+    )
+
+
+def custom_elements(pages: DataFrame) -> DataFrame:
+    """page_id, descriptor, tag, label, handler, route_target, tags of other elements with reactive attributes, in order."""
+    at = lambda i: F.regexp_extract_all("html", F.lit(REACTIVE), F.lit(i))
+    rows = pages.select("page_id", F.posexplode(F.arrays_zip(at(1).alias("tag"), at(2).alias("attrs"))).alias("pos", "e")).select("page_id", "pos", F.lower("e.tag").alias("tag"), "e.attrs")
+    rows = with_attributes(rows.where(~F.col("tag").isin(*INTERACTIVE)))
+    number = F.row_number().over(Window.partitionBy("page_id").orderBy("pos")) - F.lit(1)
+    htmx = F.coalesce(attribute("hx-get"), attribute("hx-post"))
+    other = F.coalesce(*[attribute(k) for k in ("x-on:click", "v-on:click", "@click")])
+    tags = F.array_compact(F.array(F.when(htmx.isNotNull(), "htmx"), F.when(other.isNotNull(), "alpine-or-vue")))
+    return rows.select("page_id", F.concat("tag", F.lit("[custom-"), number, F.lit("]")).alias("descriptor"), "tag", F.coalesce(given("title"), given("aria-label")).alias("label"), handler().alias("handler"), F.coalesce(given("href"), given("hx-get"), given("hx-post")).alias("route_target"), tags.alias("tags"))
+
+
+def spa_shell(html: Column) -> Column:
+    """Whether a page is the shell of an application: a mount point or a module script and fewer than four elements."""
+    return (F.regexp_count(html, F.lit(r"(?i)<(?:button|input|textarea|select|form|a)\b")) < 4) & (html.rlike(MOUNT) | html.rlike(MODULE))
 
 
 def metadata(pages: DataFrame) -> DataFrame:
-    """page_id, title (title, else h1), description, sections (number of h2 and h3), spa_shell."""
-    text = lambda c: F.nullif(F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), SPACES, " ")), F.lit(""))
-    first = lambda tag: text(F.regexp_extract("html", rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}", 1))
-    description = F.nullif(F.regexp_extract("html", r"""(?i)<meta[^>]*name=["']description["'][^>]*content=["']([^"']*)["']""", 1), F.lit(""))
-    tags = F.regexp_count("html", F.lit(TAG))
-    mount = F.col("html").rlike(r"""(?i)<div[^>]*id=["'](root|app|__next)["']""") | F.col("html").rlike(r"""(?i)<script[^>]*type=["']module["']""")
-    return pages.select("page_id", F.coalesce(first("title"), first("h1")).alias("title"), description.alias("description"), F.regexp_count("html", F.lit(r"(?i)<h[23]\b")).alias("sections"), ((tags < 4) & mount).alias("spa_shell"))
+    """page_id, title, description, sections, spa_shell. The title is that of the page, its first h1, og:title or a name in
+    structured data; the description the page's own, og:description or one in structured data; sections are up to twelve h2
+    and h3."""
+    first = lambda tag: F.substring(plain(F.nullif(F.regexp_extract("html", rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), F.lit(""))), 1, 200)
+    meta = lambda key, name: F.nullif(F.regexp_extract("html", rf"""(?i)<meta[^>]+{key}=["']{name}["'][^>]+content=["']([^"']+)["']""", 1), F.lit(""))
+    blocks = F.regexp_extract_all("html", F.lit(r"""(?i)<script[^>]+type=["']application/ld\+json["'][^>]*>([\s\S]*?)</script>"""), F.lit(1))
+    stated = lambda key: F.get(F.filter(F.transform(blocks, lambda b: F.coalesce(F.get_json_object(b, f"$.{key}"), F.get_json_object(b, f"$[0].{key}"))), lambda x: x.isNotNull()), 0)
+    heads = F.transform(F.regexp_extract_all("html", F.lit(r"(?i)<h(?:2|3)[^>]*>([\s\S]*?)</h(?:2|3)>"), F.lit(1)), lambda h: F.substring(plain(h), 1, 120))
+    title = F.coalesce(first("title"), first("h1"), F.substring(meta("property", "og:title"), 1, 200), F.substring(stated("name"), 1, 200))
+    about = F.coalesce(meta("name", "description"), meta("property", "og:description"), stated("description"))
+    return pages.select("page_id", title.alias("title"), F.substring(about, 1, 500).alias("description"), F.slice(F.filter(heads, lambda h: h.isNotNull()), 1, 12).alias("sections"), spa_shell(F.col("html")).alias("spa_shell"))
+
+
+def crawl_mode(pages: DataFrame) -> DataFrame:
+    """page_id, elements, mode: `headless` where a page shows fewer than three elements or is a shell, else `http`."""
+    n = F.regexp_count("html", F.lit(TAG))
+    return pages.select("page_id", n.alias("elements"), F.when((n < 3) | spa_shell(F.col("html")), "headless").otherwise("http").alias("mode"))

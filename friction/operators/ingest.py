@@ -97,3 +97,79 @@ def counted(batch: DataFrame, accepted: DataFrame) -> DataFrame:
     one = lambda df, name: df.agg(F.count("*").alias(name)).withColumn("one", F.lit(1))
     rows = one(storable(batch), "storable").join(one(accepted, "accepted"), "one")
     return rows.select("accepted", (F.col("storable") - F.col("accepted")).alias("duplicates"))
+
+
+#: Fixed value: events in a request.
+MOST_EVENTS = 500
+
+
+def event_batches(spark, at: str, schema: str, stream: bool = False) -> DataFrame:
+    """Batches of a folder of JSON documents {token, org, events: [...]} as a row for each event, with batch_id (file and
+    place), token, org and the columns of `schema`. stream: as a stream of the files that arrive."""
+    reader = spark.readStream if stream else spark.read
+    raw = reader.schema(f"token string, org string, events array<struct<{schema}>>").json(at)
+    batch = F.sha2(F.concat_ws("|", "_metadata.file_path", "token", "org", F.to_json("events")), 256)
+    return raw.select(batch.alias("batch_id"), "token", "org", F.size("events").alias("batch_size"), F.posexplode("events").alias("seq", "e")).select("batch_id", "token", "org", "batch_size", "seq", "e.*")
+
+
+def whole_batches(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events of batches (batch_id) of at most MOST_EVENTS in which every event is valid, and all events of the others."""
+    good, bad = validated(events)
+    refused = bad.select("batch_id").unionByName(events.groupBy("batch_id").count().where(F.col("count") > MOST_EVENTS).select("batch_id")).distinct()
+    return good.join(refused, "batch_id", "left_anti"), events.join(refused, "batch_id", "left_semi")
+
+
+def resolved_org(batches: DataFrame, keys: DataFrame, orgs: DataFrame, required: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Batches (token, header_org) with `org`: that of their live token, else, unless a token is required, the one in their
+    header; and those refused, with the reason: no_key or unknown_org."""
+    live = keys.where("revoked_at is null").select(F.col("key_hash").alias("token_hash"), F.col("org").alias("token_org"))
+    rows = batches.withColumn("token_hash", F.sha2("token", 256)).join(live, "token_hash", "left")
+    rows = rows.withColumn("org", F.coalesce("token_org", F.lit(None) if required else F.when(F.col("token").isNull(), F.col("header_org"))))
+    rows = rows.join(orgs.select(F.col("org").alias("known")).distinct(), F.col("org") == F.col("known"), "left")
+    reason = F.when(F.col("org").isNull(), "no_key").when(F.col("known").isNull(), "unknown_org")
+    rows = rows.withColumn("reason", reason).drop("token", "token_hash", "token_org", "known")
+    return rows.where("reason is null").drop("reason"), rows.where("reason is not null")
+
+
+def without_types(events: DataFrame, disabled: list[str]) -> DataFrame:
+    """Events but those of disabled types."""
+    return events.where(~F.col("event_type").isin(*disabled)) if disabled else events
+
+
+def throttled(events: DataFrame, event_type: str = "SCROLL", gap_ms: int = 200) -> DataFrame:
+    """Events of a type of which one follows the one kept before it by gap_ms at least; others stay.
+
+    What is kept depends on what was kept, so a session's times are folded in order, once for each session."""
+    times = F.array_sort(F.collect_list(F.struct("ms", "seq")))
+    kept = F.aggregate(times, F.array().cast("array<struct<ms:bigint,seq:bigint>>"), lambda a, x: F.when((F.size(a) > 0) & (x["ms"] - F.try_element_at(a, F.lit(-1))["ms"] < gap_ms), a).otherwise(F.concat(a, F.array(x))))
+    mine = events.where(F.col("event_type") == event_type)
+    keep = mine.groupBy("session_id").agg(kept.alias("kept")).select("session_id", F.explode("kept.seq").alias("seq"))
+    return events.where(F.col("event_type") != event_type).unionByName(mine.join(keep, ["session_id", "seq"], "left_semi").select(*events.columns))
+
+
+def metered(usage: DataFrame, bumps: DataFrame) -> DataFrame:
+    """usage (org, month, events, interventions, tokens) after bumps of the same columns, rows without a month among them."""
+    sums = [F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("events", "interventions", "tokens")]
+    columns = ["org", "month", "events", "interventions", "tokens"]
+    return usage.select(*columns).unionByName(bumps.select(*columns)).groupBy("org", "month").agg(*sums)
+
+
+def remapped(table: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """A map (org, ...) after orgs were mapped anew: all old rows of the orgs in `new` go, its own come in, a key once."""
+    return table.join(new.select("org").distinct(), "org", "left_anti").select(*new.columns).unionByName(new.dropDuplicates(["org", *key]))
+
+
+def demo_events(spark, sessions: int = 8, start_ms: int = 0) -> DataFrame:
+    """A session every five minutes that visits five routes; every third has a burst of four clicks, 250 ms apart."""
+    rows = spark.range(sessions).select(F.concat(F.lit("demo"), "id").alias("session_id"), (F.lit(start_ms) + F.col("id") * 300_000).alias("at"), "id")
+    visits = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct(F.lit("NAVIGATION").alias("event_type"), F.concat(F.lit("/demo/"), i).alias("route"), (i * 10_000).cast("long").alias("after")))
+    burst = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(F.lit("CLICK").alias("event_type"), F.lit("/demo/4").alias("route"), (F.lit(45_000) + i * 250).cast("long").alias("after")))
+    rows = rows.select("session_id", "at", F.posexplode(F.when(F.col("id") % 3 == 0, F.concat(visits, burst)).otherwise(visits)).alias("seq", "e"))
+    return rows.select("session_id", "e.event_type", "e.route", (F.col("at") + F.col("e.after")).alias("ms"), "seq", F.when(F.col("e.event_type") == "CLICK", "demo-button").alias("element_id"))
+
+
+def recent_activity(events: DataFrame, as_of_ms: int, hour_ms: int) -> DataFrame:
+    """events_hour, events_day, sessions_hour, sessions_day before as_of."""
+    hour, day = F.col("ms") > as_of_ms - hour_ms, F.col("ms") > as_of_ms - 24 * hour_ms
+    s = F.col("session_id")
+    return events.agg(F.count_if(hour).alias("events_hour"), F.count_if(day).alias("events_day"), F.countDistinct(F.when(hour, s)).alias("sessions_hour"), F.countDistinct(F.when(day, s)).alias("sessions_day"))

@@ -67,3 +67,58 @@ def frameworks(evidence: DataFrame, registry: DataFrame) -> DataFrame:
     g = g.withColumn("rank", F.row_number().over(Window.partitionBy("repo").orderBy(*order)))
     first = F.row_number().over(Window.partitionBy("repo").orderBy("build_tool", "rank"))
     return g.select("repo", "framework", "confidence", "rank", (first == 1).alias("primary"))
+
+
+#: What a route is by its place, in order of precedence: folder, convention.
+CONVENTIONS = (("app", "app"), ("src/app", "app"), ("pages", "pages"), ("src/pages", "pages"), ("app/routes", "flat"))
+#: What tells that a route needs a login, folders that are no sources, endings of sources.
+AUTH = r"(?i)\bauth\s*\(\s*\)|getServerSession|currentUser|requireAuth|redirect.*sign-?in"
+SKIPPED = ("node_modules", ".next", ".nuxt", ".svelte-kit", ".git", ".cache", ".parcel-cache", ".turbo", "dist", "build", "out", "coverage", "public", "static")
+TEMPLATES = (".html", ".htm", ".vue", ".svelte", ".astro", ".marko", ".liquid", ".erb", ".njk", ".hbs", ".mustache", ".pug", ".ejs", ".twig", ".jinja", ".j2", ".md", ".mdx", ".razor", ".cshtml", ".py", ".ex", ".heex", ".leex", ".eex")
+SCRIPTS = (".tsx", ".ts", ".jsx", ".js", ".mjs")
+
+
+def conventional_routes(files: DataFrame) -> DataFrame:
+    """repo, route, path, convention, and what else files has: routes of repos (files: repo, path, ...) by the first convention of CONVENTIONS that finds any.
+
+    app: a page file names its folder, groups in parentheses left out. pages: each file but those that begin with _. flat:
+    dots part segments, $ marks a parameter, index files name nothing."""
+    listed = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(d + "/").alias("folder"), F.lit(m).alias("mode")) for i, (d, m) in enumerate(CONVENTIONS)])
+    more = [c for c in files.columns if c not in ("repo", "path")]
+    rows = files.select("repo", "path", *more, F.explode(listed).alias("c")).where(F.col("path").startswith(F.col("c.folder")))
+    inside = F.substring("path", F.char_length("c.folder") + 1, F.char_length("path"))
+    rows = rows.select("repo", "path", *more, "c.rank", F.col("c.mode").alias("convention"), inside.alias("inside")).where(~F.col("inside").rlike(r"(^|/)(\.|node_modules/)"))
+    folder, name = F.regexp_extract("inside", r"^(?:(.*)/)?[^/]*$", 1), F.regexp_extract("inside", r"([^/]*)$", 1)
+    base, script = F.regexp_replace(name, r"\.(t|j)sx?$", ""), name.rlike(r"\.(t|j)sx?$")
+    bare = F.array_join(F.filter(F.split(folder, "/"), lambda x: (x != "") & ~(x.startswith("(") & x.endswith(")"))), "/")
+    segments = F.transform(F.split(base, r"\."), lambda x: F.when(x.startswith("$"), F.concat(F.lit(":"), F.when(x == "$", "param").otherwise(F.substring(x, F.lit(2), F.char_length(x))))).otherwise(x))
+    route = (
+        F.when((F.col("convention") == "app") & name.rlike(r"^page\.(t|j)sx?$"), F.concat(F.lit("/"), bare))
+        .when((F.col("convention") == "pages") & script & ~name.startswith("_"), F.concat(F.lit("/"), folder, F.lit("/"), F.when(base == "index", "").otherwise(base)))
+        .when((F.col("convention") == "flat") & script, F.concat(F.lit("/"), F.array_join(F.filter(segments, lambda x: ~x.isin("_index", "index")), "/")))
+    )
+    rows = rows.withColumn("route", F.regexp_replace(route, "/+", "/")).where("route is not null")
+    first = rows.groupBy("repo").agg(F.min("rank").alias("best"))
+    return rows.join(first, "repo").where("rank = best").select("repo", "route", "path", "convention", *more)
+
+
+def route_metadata(routes: DataFrame) -> DataFrame:
+    """routes (repo, route, path, source) with title (of the metadata it exports, else its first h1), description, sections,
+    params and auth_required."""
+    plain = lambda c: F.nullif(F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", " "), r"\s+", " ")), F.lit(""))
+    block = F.regexp_extract("source", r"export\s+const\s+metadata\s*[:=][^\{]*\{([\s\S]*?)\}", 1)
+    stated = lambda key: F.nullif(F.regexp_extract(block, key + r"""\s*:\s*['"`]([^'"`]+)['"`]""", 1), F.lit(""))
+    heads = F.transform(F.regexp_extract_all("source", F.lit(r"(?i)<h(?:2|3)[^>]*>([\s\S]*?)</h(?:2|3)>"), F.lit(1)), lambda h: F.substring(plain(h), 1, 120))
+    h1 = F.substring(plain(F.regexp_extract("source", r"(?i)<h1[^>]*>([\s\S]*?)</h1>", 1)), 1, 200)
+    params = F.regexp_extract_all("route", F.lit(r":([a-zA-Z_]\w*)"), F.lit(1))
+    return routes.select("repo", "route", "path", F.coalesce(stated("title"), h1).alias("title"), stated("description").alias("description"), F.slice(F.filter(heads, lambda h: h.isNotNull()), 1, 12).alias("sections"), params.alias("params"), F.coalesce(F.col("source").rlike(AUTH), F.lit(False)).alias("auth_required"))
+
+
+def source_files(files: DataFrame) -> DataFrame:
+    """repo, path, kind (`template` or `script`) of the files that are read for elements: none of a skipped folder, no tests
+    and no type declarations among scripts."""
+    ending = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
+    skipped = F.array_size(F.array_intersect(F.split("path", "/"), F.array(*[F.lit(x) for x in SKIPPED]))) > 0
+    aside = F.col("path").rlike(r"\.(test|spec)\.[a-z]+$") | F.col("path").endswith(".d.ts")
+    kind = F.when(ending.isin(*TEMPLATES), "template").when(ending.isin(*SCRIPTS) & ~aside, "script")
+    return files.select("repo", "path", kind.alias("kind")).where(~skipped & F.col("kind").isNotNull())

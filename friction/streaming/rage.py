@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from friction.operators.ingest import first_by_key, new_rows, storable
@@ -17,34 +18,56 @@ def observe(clicks: list[int], ms: int, n: int = CLICKS, window: int = WINDOW_MS
     return ([], True) if len(clicks) >= n else (clicks, False)
 
 
+def timed(events: DataFrame, delay: str = "5 minutes") -> DataFrame:
+    """A stream of events with event_time and a watermark: state of what is older than `delay` may go, and later events are
+    left out. A watermark starts at 0 and drops what is not above it, so event times are one millisecond on."""
+    return events.withColumn("event_time", F.timestamp_millis(F.col("ms") + 1)).withWatermark("event_time", delay)
+
+
 def rage_clicks(events: DataFrame) -> DataFrame:
-    """session_id, element_id, ms of each firing, on a stream of events. State: the last clicks of a (session, element)."""
+    """session_id, element_id, ms of each firing, on a stream of timed() events. State: the last clicks of a (session, element),
+    until the watermark passes the window of the last."""
 
     def run(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         clicks = list(state.get[0]) if state.exists else []
         fired = []
         for ms in sorted(int(x) for pdf in frames for x in pdf["ms"]):
             clicks, fires = observe(clicks, ms)
             if fires:
                 fired.append(ms)
-        state.update((clicks,))
+        if clicks:
+            state.update((clicks,))
+            state.setTimeoutTimestamp(max(clicks[-1] + WINDOW_MS, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"session_id": [key[0]] * len(fired), "element_id": [key[1]] * len(fired), "ms": fired})
 
     clicks = events.where("event_type = 'CLICK'").groupBy("session_id", "element_id")
-    return clicks.applyInPandasWithState(run, "session_id string, element_id string, ms long", "clicks array<long>", "append", GroupStateTimeout.NoTimeout)
+    return clicks.applyInPandasWithState(run, "session_id string, element_id string, ms long", "clicks array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
 
+def store_once(events: DataFrame, table: str, checkpoint: str, key: list[str], order: list[str], look_back_ms: int | None = None):
+    """Start a query that appends to a Parquet table what it does not hold yet, by key. Each batch has a partition of its own
+    (batch_id), which a retry overwrites: it adds nothing, not even rows without a key.
 
-def store_once(events: DataFrame, table: str, checkpoint: str, key: list[str], order: list[str]):
-    """Start a query that appends to a Parquet table what it does not hold yet, by key; retried batches add nothing."""
+    look_back_ms: only stored events from that long before the batch's first are compared, so that a batch reads the row
+    groups of its own time instead of the whole table; None: all of them, whatever their time."""
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         rows = first_by_key(storable(batch), key, order)
         spark = batch.sparkSession
         try:
-            rows = new_rows(rows, spark.read.schema(batch.schema).parquet(table), key)
+            stored = spark.read.schema(batch.schema).parquet(table).where(F.col("batch_id") != number)
+            if look_back_ms is not None:
+                first = batch.agg(F.min("ms")).first()[0]
+                stored = stored if first is None else stored.where(F.col("ms") >= first - look_back_ms)
+            rows = new_rows(rows, stored, key)
         except Exception as e:  # the first batch: no table yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        rows.write.mode("append").parquet(table)
+        rows.write.mode("overwrite").parquet(f"{table}/batch_id={number}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from friction.plans import product_queries
+from friction.plans import engine_queries, product_queries, service_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 
@@ -17,15 +17,20 @@ def duck(sf):
     return con
 
 
+PAGES = ("element_map", "page_metadata")
+QUERIES = product_queries.queries() | service_queries.queries() | {k: engine_queries.queries()[k] for k in PAGES}
+SQL = product_queries.oracle_sql() | service_queries.oracle_sql() | {k: engine_queries.oracle_sql()[k] for k in PAGES}
+
+
 def plain(v):
     return round(v, 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(product_queries.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_against_sql(spark, duck, sf, name):
-    got = product_queries.queries()[name](spark, sf)
+    got = QUERIES[name](spark, sf)
     cols = sorted(got.columns)
-    want = duck.sql(product_queries.oracle_sql()[name])
+    want = duck.sql(SQL[name])
     assert cols == sorted(want.columns)
     key = lambda r: tuple((v is None, str(v)) for v in r)
     a = sorted((tuple(plain(r[c]) for c in cols) for r in got.collect()), key=key)
