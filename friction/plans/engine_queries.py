@@ -49,7 +49,7 @@ def queries() -> dict:
         "last_routes": lambda s, d: last_routes(e(s, d)),
         "usage": lambda s, d: ingest.usage(s.read.parquet(f"{d}/events.parquet"), F.date_format("ts", "yyyy-MM"), F.col("user_id")),
         "store_once": lambda s, d: ingest.new_rows(ingest.first_by_key(ingest.storable(e(s, d)), ["session_id", "route"], ["ms", "seq"]), e(s, d).where("ms < 47340000"), ["session_id", "route"]).select("session_id", "route", "event_type", "ms", "seq"),
-        "history": lambda s, d: ingest.history(e(s, d).where("seq % 97 = 0"), e(s, d), ["seq"], 47_380_000).select("session_id", "ms", "seq"),
+        "history": lambda s, d: ingest.history(e(s, d).where("ms >= 47390000"), e(s, d), ["seq"], 47_380_000).select("session_id", "ms", "seq"),
         "element_map": lambda s, d: html_map.elements(s.read.parquet(f"{d}/pages.parquet")).select("page_id", "tag", "tag_index", "href", "label", "element_id"),
         "page_metadata": lambda s, d: html_map.metadata(s.read.parquet(f"{d}/pages.parquet")).select("page_id", F.size("sections").alias("sections"), "spa_shell"),
         "scrub": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", scrub(F.col("text")).alias("scrubbed")),
@@ -119,7 +119,7 @@ def oracle_sql() -> dict[str, str]:
         "last_routes": E + routes + " SELECT * FROM lr",
         "usage": "SELECT strftime(ts, '%Y-%m') AS month, count(*) AS events, count(DISTINCT user_id) AS mau FROM events GROUP BY 1",
         "store_once": E + f" SELECT session_id, route, et AS event_type, ms, seq FROM (SELECT * FROM e WHERE et IN {stored} QUALIFY row_number() OVER (PARTITION BY session_id, route ORDER BY ms, seq) = 1) f WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.ms < 47340000 AND o.session_id = f.session_id AND o.route = f.route)",
-        "history": E + " SELECT session_id, ms, seq FROM e WHERE seq % 97 = 0 OR ms >= 47380000 AND session_id IN (SELECT session_id FROM e WHERE seq % 97 = 0)",
+        "history": E + " SELECT session_id, ms, seq FROM e WHERE ms >= 47390000 OR ms >= 47380000 AND session_id IN (SELECT session_id FROM e WHERE ms >= 47390000)",
         "element_map": anchors,
         "page_metadata": r"SELECT page_id, CAST(least(12, len(list_filter(regexp_extract_all(html, '(?is)<h[23][^>]*>(.*?)</h[23]>', 1), lambda h: trim(regexp_replace(h, '<[^>]+>|\s', ' ', 'g')) <> ''))) AS INTEGER) AS sections, len(regexp_extract_all(html, '(?i)<(button|input|textarea|select|form|a)\b([^>]*)>')) < 4 AND (regexp_matches(html, '(?i)<div[^>]*id=[""'']('||'root|app|__next|svelte)[""'']') OR regexp_matches(html, '(?i)<script[^>]*type=[""'']module[""'']')) AS spa_shell FROM pages".replace('""', '"'),
         "scrub": f"SELECT doc_id, {scrubbed} AS scrubbed FROM documents",

@@ -62,10 +62,10 @@ def registry(spark):
 
 
 def pools(spark, sf):
-    c = table(spark, sf, "customer").select(F.concat(F.lit("e"), F.col("c_custkey") % 40).alias("element_id"), F.col("c_mktsegment").alias("type"), (F.col("c_custkey") * 2).alias("variant_index"), F.col("c_name").alias("copy"), "c_custkey")
-    d = c.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("seq"), "element_id", F.when(F.col("c_custkey") % 3 == 0, "AFRICA").otherwise(F.col("type")).alias("type"))
+    c = table(spark, sf, "customer").select(F.concat(F.lit("e"), F.col("c_custkey") % 40).alias("element_id"), F.col("c_mktsegment").alias("type"), (F.col("c_custkey") * 2).alias("variant_index"), F.col("c_name").alias("copy"), "c_custkey", "c_acctbal")
+    d = c.select(F.col("c_custkey").alias("seq"), "element_id", F.when(F.col("c_custkey") % 3 == 0, "AFRICA").otherwise(F.col("type")).alias("type"))
     general = table(spark, sf, "region").select(F.col("r_name").alias("type"), F.col("r_regionkey").alias("variant_index"), F.concat(F.lit("of "), "r_name").alias("copy"))
-    out = content.variant_pools(d, c.where("c_custkey % 7 < 2").drop("c_custkey"), general)
+    out = content.variant_pools(d, c.where("c_acctbal > 5000").drop("c_custkey", "c_acctbal"), general)
     return out.select("seq", "element_id", "type", F.array_join("pool", "|").alias("pool"))
 
 
@@ -82,7 +82,7 @@ def queries() -> dict:
         "variant_pools": pools,
         "related_elements": lambda s, d: content.related_elements(table(s, d, "part").select(F.concat(F.lit("e"), "p_partkey").alias("element_id"), F.array(F.upper("p_name"), F.col("p_brand"), F.concat("p_name", F.lit(" "))).alias("actions")), labels(s, d)).select("element_id", F.array_join("related", ",").alias("related")),
         "valid_variants": lambda s, d: content.valid_variants(table(s, d, "orders").select(F.concat(F.lit("e"), F.col("o_custkey")).alias("element_id"), F.col("o_orderstatus").alias("type"), F.col("o_orderkey").alias("place"), F.when(F.col("o_orderkey") % 3 == 0, "OVERLAY").when(F.col("o_orderkey") % 3 == 1, "CONFIRM").otherwise("NONE").alias("kind"), F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit(" "), "o_orderpriority")).alias("copy"))),
-        "pairs_to_prepare": lambda s, d: enrichment.pairs_to_prepare(described(s, d), described(s, d).where("s_suppkey % 2 = 0").withColumn("type", F.lit("LOOP"))),
+        "pairs_to_prepare": lambda s, d: enrichment.pairs_to_prepare(described(s, d), described(s, d).where("route < '/n2'").withColumn("type", F.lit("LOOP"))),
         "enrichment_batches": lambda s, d: enrichment.in_batches(enrichment.undescribed(described(s, d).drop("context"), described(s, d).where("context is not null"), table(s, d, "nation").select(F.concat(F.lit("/n"), "n_nationkey").alias("route"), F.col("n_name").alias("title"))), "route", ["s_suppkey"], 8).select("element_id", "route", "route_title", "batch"),
         "upserted": lambda s, d: enrichment.upserted(labels(s, d), labels(s, d).where("length(label) % 2 = 0").withColumn("label", F.upper("label")), ["element_id"]),
         "inserted": lambda s, d: enrichment.inserted(tried(s, d).where("impressions < 20"), tried(s, d).withColumn("element_id", F.when(F.col("impressions") != 25, F.concat(F.lit("e"), F.col("impressions") * 9))), labels(s, d)).select("row_id", "element_id"),
@@ -99,7 +99,7 @@ def queries() -> dict:
         "recent_usage": lambda s, d: dashboard.recent_usage(ingest.usage(table(s, d, "orders"), F.date_format("o_orderdate", "yyyy-MM"), F.col("o_custkey"))),
         "ready_orgs": lambda s, d: dashboard.ready_orgs(table(s, d, "customer").where("c_acctbal > 9500").select(F.col("c_nationkey").alias("org")), table(s, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("org"))),
         "authorised": lambda s, d: ingest.authorised(table(s, d, "customer").select("c_custkey", F.concat(F.lit("ck_"), F.col("c_nationkey")).alias("token")), table(s, d, "nation").select(F.sha2(F.concat(F.lit("ck_"), "n_nationkey"), 256).alias("key_hash"), F.col("n_name").alias("org"), F.when(F.col("n_regionkey") == 1, "x").alias("revoked_at"))),
-        "client_buffer": lambda s, d: ingest.newest(e(s, d), 5).select("session_id", "seq"),
+        "client_buffer": lambda s, d: ingest.newest(e(s, d)).select("session_id", "seq"),
         "debounced": lambda s, d: ingest.debounced(e(s, d), 2000).select("seq"),
         "input_growth": lambda s, d: ingest.input_growth(e(s, d)).select("seq", "delta"),
         "ingest_counts": lambda s, d: ingest.counted(e(s, d), ingest.first_by_key(ingest.storable(e(s, d)), ["session_id", "route"], ["ms", "seq"])),
@@ -132,12 +132,12 @@ def oracle_sql() -> dict[str, str]:
     return {
         "validation_hint": f"SELECT p_partkey, hint FROM {hint}",
         "rendered_copy": f"SELECT p_partkey, (CASE WHEN {n} % 4 <> 0 THEN p_name ELSE 'this' END) || ' on ' || p_brand || ': ' || (CASE WHEN {n} % 3 = 0 THEN p_type WHEN {n} % 4 <> 0 THEN p_name ELSE 'continue' END) || ', ' || hint AS copy FROM {hint}",
-        "variant_pools": """WITH c AS (SELECT 'e' || (c_custkey % 40) AS element_id, c_mktsegment AS type, c_name AS copy, c_custkey FROM customer), d AS (SELECT c_custkey AS seq, element_id, CASE WHEN c_custkey % 3 = 0 THEN 'AFRICA' ELSE type END AS type FROM c WHERE c_custkey % 5 = 0),
-          own AS (SELECT element_id, type, string_agg(copy, '|' ORDER BY c_custkey) AS p FROM c WHERE c_custkey % 7 < 2 GROUP BY 1, 2) SELECT seq, d.element_id, d.type, coalesce(p, 'of ' || r_name, '') AS pool FROM d LEFT JOIN own USING (element_id, type) LEFT JOIN region ON r_name = d.type""",
+        "variant_pools": """WITH c AS (SELECT 'e' || (c_custkey % 40) AS element_id, c_mktsegment AS type, c_name AS copy, c_custkey, c_acctbal FROM customer), d AS (SELECT c_custkey AS seq, element_id, CASE WHEN c_custkey % 3 = 0 THEN 'AFRICA' ELSE type END AS type FROM c),
+          own AS (SELECT element_id, type, string_agg(copy, '|' ORDER BY c_custkey) AS p FROM c WHERE c_acctbal > 5000 GROUP BY 1, 2) SELECT seq, d.element_id, d.type, coalesce(p, 'of ' || r_name, '') AS pool FROM d LEFT JOIN own USING (element_id, type) LEFT JOIN region ON r_name = d.type""",
         "related_elements": f"WITH l AS (SELECT label, max(element_id) AS target FROM {lab} GROUP BY 1) SELECT 'e' || p_partkey AS element_id, target AS related FROM part JOIN l ON label = p_name",
         "valid_variants": """WITH o AS (SELECT 'e' || o_custkey AS element_id, o_orderstatus AS type, o_orderkey AS k, ['OVERLAY','CONFIRM','NONE'][o_orderkey % 3 + 1] AS kind, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS copy FROM orders), f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY element_id, type ORDER BY k) <= 2)
           SELECT element_id, type, CAST(row_number() OVER (PARTITION BY element_id, type ORDER BY k) - 1 AS INTEGER) AS variant_index, kind, copy FROM f WHERE kind <> 'NONE' AND copy IS NOT NULL""",
-        "pairs_to_prepare": f"SELECT element_id, type, context FROM {desc}, (VALUES {types}) t(type) WHERE context IS NOT NULL AND NOT (type = 'LOOP' AND s_suppkey % 2 = 0)",
+        "pairs_to_prepare": f"SELECT element_id, type, context FROM {desc}, (VALUES {types}) t(type) WHERE context IS NOT NULL AND NOT (type = 'LOOP' AND route < '/n2')",
         "enrichment_batches": f"SELECT element_id, route, n_name AS route_title, CAST((row_number() OVER (PARTITION BY route ORDER BY s_suppkey) - 1) // 8 AS INTEGER) AS batch FROM {desc} JOIN nation ON route = '/n' || n_nationkey WHERE context IS NULL",
         "upserted": f"SELECT element_id, CASE WHEN length(label) % 2 = 0 THEN upper(label) ELSE label END AS label, route FROM {lab}",
         "inserted": f"SELECT row_id, CASE WHEN impressions <> 25 THEN 'e' || (impressions * 9) END AS element_id FROM {tried_} WHERE impressions >= 20 AND (impressions = 25 OR 'e' || (impressions * 9) IN (SELECT element_id FROM {lab}))",
@@ -157,7 +157,7 @@ def oracle_sql() -> dict[str, str]:
         "recent_usage": "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS events, count(DISTINCT o_custkey) AS mau FROM orders GROUP BY 1 ORDER BY 1 DESC LIMIT 6",
         "ready_orgs": "SELECT DISTINCT c_nationkey AS org FROM customer WHERE c_acctbal > 9500 AND c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)",
         "authorised": "SELECT c_custkey, n_name AS org FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 1",
-        "client_buffer": E + " SELECT session_id, seq FROM e QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 5",
+        "client_buffer": E + " SELECT session_id, seq FROM e QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 200",
         "debounced": E + " SELECT seq FROM (SELECT seq, lead(ms) OVER (PARTITION BY session_id, el, et ORDER BY ms, seq) - ms AS gap FROM e) WHERE gap IS NULL OR gap >= 2000",
         "input_growth": E + " SELECT seq, CAST(len - coalesce(lag(len) OVER (PARTITION BY session_id, el ORDER BY ms, seq), 0) AS DOUBLE) AS delta FROM e WHERE et = 'INPUT_CHANGE'",
         "ingest_counts": E + f" SELECT count(DISTINCT (session_id, route)) AS accepted, count(*) - count(DISTINCT (session_id, route)) AS duplicates FROM e WHERE et IN {stored}",

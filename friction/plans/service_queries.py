@@ -14,7 +14,8 @@ from friction.plans.rule_queries import ADAPTER, oracle_sql as rule_sql
 from friction.sources.driver_events import HOUR, driver_events
 
 E = ADAPTER.format(div=HOUR)
-AS_OF = 47_450_000
+#: A time after the last event, and one near it.
+AS_OF, NOW = 47_425_000, 47_407_000
 FEW = {"RAGE_CLICK", "LONG_DWELL", "JS_ERROR"}
 #: Labels of buttons, one for each role that words give.
 BUTTONS = ("Save it", "Cancel", "Delete all", "Hide", "Retry", "Help me", "Search", "Log in", "Log out", "Pay now")
@@ -190,7 +191,7 @@ def queries() -> dict:
         "without_types": lambda s, d: ingest.without_types(e(s, d), ["HOVER", "SCROLL"]).groupBy("event_type").agg(F.count("*").alias("n")),
         "metered": meter,
         "remapped": remap,
-        "recent_activity": lambda s, d: ingest.recent_activity(e(s, d), AS_OF, 10_000),
+        "recent_activity": lambda s, d: ingest.recent_activity(e(s, d), NOW, 1_000),
         "baselines_since": lambda s, d: baselines.baselines(e(s, d), since_ms=SINCE).select("element_id", "sample_size"),
         "form_elements": form_elements,
         "custom_elements": custom,
@@ -259,7 +260,7 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'o' || n_regionkey, '1996-01', 5, 1, 2 FROM nation) GROUP BY 1, 2""",
         "remapped": """SELECT 'o' || c_nationkey AS org, 'e' || c_custkey AS id, c_name AS label FROM customer WHERE c_nationkey < 10
             UNION ALL SELECT 'o' || s_nationkey, 'e' || s_suppkey, s_name FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_nationkey < 10)""",
-        "recent_activity": E + f" SELECT count(*) FILTER (ms > {AS_OF - 10_000}) AS events_hour, count(*) FILTER (ms > {AS_OF - 240_000}) AS events_day, count(DISTINCT session_id) FILTER (ms > {AS_OF - 10_000}) AS sessions_hour, count(DISTINCT session_id) FILTER (ms > {AS_OF - 240_000}) AS sessions_day FROM e",
+        "recent_activity": E + f" SELECT count(*) FILTER (ms > {NOW - 1_000}) AS events_hour, count(*) FILTER (ms > {NOW - 24_000}) AS events_day, count(DISTINCT session_id) FILTER (ms > {NOW - 1_000}) AS sessions_hour, count(DISTINCT session_id) FILTER (ms > {NOW - 24_000}) AS sessions_day FROM e",
         "baselines_since": E + f" SELECT el AS element_id, CAST(count(DISTINCT session_id) AS INTEGER) AS sample_size FROM e WHERE el IS NOT NULL AND ms >= {SINCE} GROUP BY 1 HAVING count(*) >= 30 AND count(DISTINCT session_id) >= 3",
         "form_elements": FORM_ELEMENTS,
         "custom_elements": "SELECT p_partkey AS page_id, 'div[custom-0]' AS descriptor, 'div' AS tag, 'T' AS label, NULL AS handler, '/h' AS route_target, 'htmx' AS tags FROM part UNION ALL SELECT p_partkey, 'span[custom-1]', 'span', NULL, 'open = true', NULL, 'alpine-or-vue' FROM part",
