@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from friction.functions.ids import java_hash, row_id, tracking_id
 from friction.functions.scrub import PATTERNS, scrub
+from friction.functions.tables import written
 from friction.operators import dashboard, html_map, ingest
 from friction.operators.baselines import baselines
 from friction.operators.detect import detect
@@ -28,7 +29,7 @@ def stats_of(detections):
 
 
 def chosen(spark, sf):
-    d = found(spark, sf)
+    d = written(found(spark, sf), "detections")  # read for the choice, its pairs and their stats
     return choose(d, stats_of(d).drop("type", "element_id"), VARIANTS, epsilon=0.0)
 
 
@@ -45,7 +46,7 @@ def queries() -> dict:
         "baselines": lambda s, d: baselines(e(s, d)),
         "detect_adaptive": lambda s, d: detect(e(s, d), baselines=baselines(e(s, d)), only={"RAGE_CLICK", "LONG_DWELL"}),
         "choose_variant": chosen,
-        "dispatch": lambda s, d: dispatch(chosen(s, d), last_routes(e(s, d)), denied=["/404"]).select("tracking_id", "session_id", "type", "variant_index"),
+        "dispatch": lambda s, d: dispatch(chosen(s, d), last_routes(e(s, d)), denied=["/404"], safe_mode=False).select("tracking_id", "session_id", "type", "variant_index"),
         "last_routes": lambda s, d: last_routes(e(s, d)),
         "usage": lambda s, d: ingest.usage(s.read.parquet(f"{d}/events.parquet"), F.date_format("ts", "yyyy-MM"), F.col("user_id")),
         "store_once": lambda s, d: ingest.new_rows(ingest.first_by_key(ingest.storable(e(s, d)), ["session_id", "route"], ["ms", "seq"]), e(s, d).where("ms < 47340000"), ["session_id", "route"]).select("session_id", "route", "event_type", "ms", "seq"),

@@ -17,9 +17,9 @@ def duck(sf):
     return con
 
 
-PAGES = ("element_map", "page_metadata")
-QUERIES = product_queries.queries() | service_queries.queries() | {k: engine_queries.queries()[k] for k in PAGES}
-SQL = product_queries.oracle_sql() | service_queries.oracle_sql() | {k: engine_queries.oracle_sql()[k] for k in PAGES}
+ENGINE = ("element_map", "page_metadata", "choose_variant", "dispatch")
+QUERIES = product_queries.queries() | service_queries.queries() | {k: engine_queries.queries()[k] for k in ENGINE}
+SQL = product_queries.oracle_sql() | service_queries.oracle_sql() | {k: engine_queries.oracle_sql()[k] for k in ENGINE}
 
 
 def plain(v):
