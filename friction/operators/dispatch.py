@@ -32,7 +32,7 @@ def choose(detections: DataFrame, stats: DataFrame, variants: int, epsilon: floa
     i, s = F.coalesce("impressions", F.lit(0)), F.coalesce("successes", F.lit(0))
     best = scored.groupBy("type", "element_id").agg(F.sum(i).alias("shown"), F.max_by("v", F.struct((s + 1) / (i + 2), -F.col("v"))).alias("best"))
     d = detections.join(best.withColumnRenamed("type", "t").withColumnRenamed("element_id", "el"), (F.col("type") == F.col("t")) & F.col("element_id").eqNullSafe(F.col("el"))).drop("t", "el")
-    u = lambda salt: F.pmod(F.xxhash64("session_id", "type", F.lit(seed), F.lit(salt)), F.lit(2**31)) / F.lit(2.0**31)
+    u = lambda salt: F.conv(F.substring(F.sha2(F.concat_ws("|", "session_id", "type", F.lit(seed), F.lit(salt)), 256), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     own = pick_variant(F.col("session_id"), F.col("type"), F.lit(variants)).cast("int")
     pick = F.when(F.lit(variants) <= 1, F.lit(0)).when(F.col("shown") < warm, own).when(u("explore") < epsilon, F.floor(u("which") * variants).cast("int")).otherwise(F.col("best"))
     d = d.withColumn("variant_index", pick)

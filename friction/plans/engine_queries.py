@@ -10,8 +10,8 @@ from friction.functions.tables import written
 from friction.operators import dashboard, html_map, ingest
 from friction.operators.baselines import baselines
 from friction.operators.detect import detect
-from friction.operators.dispatch import choose, dispatch, last_routes
-from friction.plans.rule_queries import ADAPTER, oracle_sql as rule_sql
+from friction.operators.dispatch import EPSILON, choose, dispatch, last_routes
+from friction.plans.rule_queries import ADAPTER, CROWD, DENSE, DENSE_ADAPTER, all_sql, dedup, oracle_sql as rule_sql
 from friction.sources.driver_events import HOUR, driver_events
 
 VARIANTS = 3
@@ -28,9 +28,13 @@ def stats_of(detections):
     return pairs.select("type", "element_id", row_id(F.col("type"), F.col("element_id"), F.col("v").cast("string")).alias("row_id"), (n * 2 + F.col("v")).cast("long").alias("impressions"), (n * (F.col("v") % 2) + 3 * F.col("v")).cast("long").alias("successes"))
 
 
-def chosen(spark, sf):
+def chosen(spark, sf, epsilon=0.0):
     d = written(found(spark, sf), "detections")  # read for the choice, its pairs and their stats
-    return choose(d, stats_of(d).drop("type", "element_id"), VARIANTS, epsilon=0.0)
+    return choose(d, stats_of(d).drop("type", "element_id"), VARIANTS, epsilon=epsilon)
+
+
+def adaptive(events):
+    return detect(events, baselines=baselines(events))
 
 
 def queries() -> dict:
@@ -44,8 +48,10 @@ def queries() -> dict:
         "activity": lambda s, d: dashboard.activity(e(s, d), int(1.7064e15 // HOUR), int(8.64e10 // HOUR)),
         "leaderboard": lambda s, d: dashboard.leaderboard(stats_of(found(s, d)).select("row_id", F.coalesce("element_id", F.lit("none")).alias("label"), "type", "impressions", "successes")),
         "baselines": lambda s, d: baselines(e(s, d)),
-        "detect_adaptive": lambda s, d: detect(e(s, d), baselines=baselines(e(s, d)), only={"RAGE_CLICK", "LONG_DWELL"}),
+        "detect_adaptive": lambda s, d: adaptive(e(s, d)),
+        "detect_adaptive_dense": lambda s, d: adaptive(e(s, d, DENSE, CROWD)),
         "choose_variant": chosen,
+        "choose_variant_exploring": lambda s, d: chosen(s, d, EPSILON),
         "dispatch": lambda s, d: dispatch(chosen(s, d), last_routes(e(s, d)), denied=["/404"], safe_mode=False).select("tracking_id", "session_id", "type", "variant_index"),
         "last_routes": lambda s, d: last_routes(e(s, d)),
         "usage": lambda s, d: ingest.usage(s.read.parquet(f"{d}/events.parquet"), F.date_format("ts", "yyyy-MM"), F.col("user_id")),
@@ -92,11 +98,20 @@ def oracle_sql() -> dict[str, str]:
         LEFT JOIN (SELECT el, CAST({top.format(x="x")} AS DOUBLE) AS x FROM cl GROUP BY 1) c USING (el)
         LEFT JOIN (SELECT el, CAST({top.format(x="k * 1000")} AS DOUBLE) AS x FROM e WHERE et = 'DWELL' AND k > 0 GROUP BY 1) w USING (el)
         LEFT JOIN (SELECT el, CAST({top.format(x="x")} AS DOUBLE) AS x FROM ho GROUP BY 1) h USING (el))"""
-    adaptive = E + base + """, ev AS (SELECT e.*, greatest(3, coalesce(ceil(p95_clicks_per_sec * 3), 0)) AS n, greatest(30000, coalesce(ceil(p95_dwell_ms * 1.5), 0)) AS dw FROM e LEFT JOIN bl ON e.el = bl.element_id AND sample_size >= 10),
+    raised = base + """, ev AS (SELECT e.*, greatest(3, coalesce(ceil(p95_clicks_per_sec * 3), 0)) AS n, greatest(30000, coalesce(ceil(p95_dwell_ms * 1.5), 0)) AS dw,
+        greatest(6, coalesce(ceil(p95_hovers_before_click * 1.5), 0)) AS hf FROM e LEFT JOIN bl ON e.el = bl.element_id AND sample_size >= 10),
       ck AS (SELECT *, row_number() OVER (PARTITION BY session_id, el ORDER BY ms, seq) AS rn, count(*) OVER (PARTITION BY session_id, el) AS total FROM ev WHERE et = 'CLICK'),
-      rg AS (SELECT a.session_id, a.el AS element_id, 'RAGE_CLICK' AS type, least(1.0, a.total / (2.0 * a.n)) AS severity, a.ms AS ts_ms, a.seq FROM ck a JOIN ck b ON a.session_id = b.session_id AND a.el IS NOT DISTINCT FROM b.el AND b.rn = a.rn - a.n + 1 AND a.ms - b.ms <= 2000),
-      dd AS (SELECT session_id, el, 'LONG_DWELL', 0.3, ms, seq FROM ev WHERE et = 'DWELL' AND k * 1000 >= dw), al AS (SELECT * FROM rg UNION ALL SELECT * FROM dd)
-      SELECT session_id, element_id, type, CAST(severity AS DOUBLE) AS severity, ts_ms FROM al QUALIFY row_number() OVER (PARTITION BY session_id, element_id, type ORDER BY ts_ms, seq) = 1"""
+      nx AS (SELECT *, min(CASE WHEN et = 'CLICK' THEN ms END) OVER (PARTITION BY session_id ORDER BY ms RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nc FROM ev),
+      hv AS (SELECT *, row_number() OVER w AS nth, lag(ms, 5) OVER w AS ms5, lag(nc, 5) OVER w AS nc5 FROM nx WHERE et = 'HOVER' WINDOW w AS (PARTITION BY session_id ORDER BY ms, seq)) """
+    by_baseline = {
+        "RAGE_CLICK": """SELECT a.session_id, a.el AS element_id, least(1.0, a.total / (2.0 * a.n)) AS severity, a.ms AS ts_ms, coalesce(a.el, '_') AS scope, a.ms AS o1, a.seq AS o2
+          FROM ck a JOIN ck b ON a.session_id = b.session_id AND a.el IS NOT DISTINCT FROM b.el AND b.rn = a.rn - a.n + 1 AND a.ms - b.ms <= 2000""",
+        "LONG_DWELL": "SELECT session_id, el AS element_id, 0.3 AS severity, ms AS ts_ms, coalesce(el, '_') AS scope, ms AS o1, seq AS o2 FROM ev WHERE et = 'DWELL' AND k * 1000 >= dw",
+        "HOVER_HUNT": "SELECT session_id, el AS element_id, 0.4 AS severity, ms AS ts_ms, '_' AS scope, ms AS o1, seq AS o2 FROM hv WHERE nth >= hf AND ms - ms5 <= 4000 AND (nc5 IS NULL OR nc5 >= ms + 500)",
+    }
+    adapted = raised + " UNION ALL ".join([*[f"({dedup(k, x)})" for k, x in by_baseline.items()], all_sql(without=tuple(by_baseline))])
+    drawn = "CAST('0x' || substr(sha256(d.session_id || '|' || d.type || '|0|{salt}'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+    explored = choice.replace(" ELSE best END", f" WHEN {drawn.format(salt='explore')} < {EPSILON} THEN floor({drawn.format(salt='which')} * {VARIANTS}) ELSE best END")
     stored = "('CLICK','INPUT_CHANGE','SUBMIT','NAVIGATION','HOVER','DWELL','CUSTOM')"
     scrubbed = "text"
     for p in PATTERNS:
@@ -114,8 +129,10 @@ def oracle_sql() -> dict[str, str]:
         "activity": E + f" SELECT count(DISTINCT session_id) FILTER (ms > {as_of - day}) AS sessions, count(*) FILTER (ms > {as_of - day}) AS events, count(*) AS all_events, CASE WHEN {as_of} - max(ms) < {day / 720} THEN 'connected' WHEN {as_of} - max(ms) < {day} THEN 'idle' ELSE 'disconnected' END AS state FROM e",
         "leaderboard": stats + " SELECT coalesce(element_id, 'none') AS label, type, arg_max(row_id, (successes / impressions, row_id)) AS winner, arg_min(row_id, (successes / impressions, row_id)) AS loser, round(max(successes / impressions) - min(successes / impressions), 6) AS margin FROM st WHERE impressions >= 30 GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY margin DESC, label, type LIMIT 5",
         "baselines": E + base + " SELECT * FROM bl",
-        "detect_adaptive": adaptive,
+        "detect_adaptive": E + adapted,
+        "detect_adaptive_dense": DENSE_ADAPTER + adapted,
         "choose_variant": choice + " SELECT session_id, element_id, type, severity, ts_ms, variant_index, row_id, tracking_id, confidence FROM ch",
+        "choose_variant_exploring": explored + " SELECT session_id, element_id, type, severity, ts_ms, variant_index, row_id, tracking_id, confidence FROM ch",
         "dispatch": choice + routes + " SELECT tracking_id, session_id, type, variant_index FROM ch JOIN lr USING (session_id) WHERE route <> '/404' QUALIFY row_number() OVER (PARTITION BY tracking_id ORDER BY ts_ms) = 1",
         "last_routes": E + routes + " SELECT * FROM lr",
         "usage": "SELECT strftime(ts, '%Y-%m') AS month, count(*) AS events, count(DISTINCT user_id) AS mau FROM events GROUP BY 1",

@@ -10,11 +10,16 @@ from friction.schema import EVENT_COLUMNS
 HOUR = 36_000_000
 
 
-def driver_events(spark: SparkSession, sf_dir: str, time_div: int = HOUR) -> DataFrame:
-    """EVENT_COLUMNS of the driver's events. time_div: microseconds in a virtual millisecond."""
+def driver_events(spark: SparkSession, sf_dir: str, time_div: int = HOUR, crowd: int | None = None) -> DataFrame:
+    """EVENT_COLUMNS of the driver's events. time_div: microseconds in a virtual millisecond. crowd: users that share a
+    session, which makes it dense; every other crowd signs up in a session of its own."""
     k, kind = F.col("k"), F.col("event_type")
+    session = F.concat(F.lit("s"), F.col("user_id"))
+    if crowd:
+        group = F.floor(F.col("user_id") / crowd)
+        session = F.concat(F.lit("s"), group, F.when((F.col("event_type") == "signup") & (group % 2 == 1), "n").otherwise(""))
     raw = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        F.col("event_id").alias("seq"), F.concat(F.lit("s"), F.col("user_id")).alias("session_id"), F.col("event_type").alias("kind"), "value",
+        F.col("event_id").alias("seq"), session.alias("session_id"), F.col("event_type").alias("kind"), "value",
         F.floor(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") / F.lit(time_div)).alias("ms"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
