@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from friction.llm import exact_dedup, kd_shards, language_id, mixing, packing, quotes, simhash, token_counts, top_k, toxicity
+from friction.llm import exact_dedup, kd_shards, language_id, merkle, mixing, packing, quotes, simhash, token_counts, top_k, toxicity, vector_codes
 from friction.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,10 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": lambda s, d: toxicity.toxicity(read_table(s, d, "documents"), read_table(s, d, "labels")),
         "op9_top_k": lambda s, d: top_k.top_k(read_table(s, d, "embeddings")),
         "op10_exact_dedup": lambda s, d: exact_dedup.exact_dedup(read_table(s, d, "documents")),
+        "op11_merkle_manifest": lambda s, d: merkle.manifest_check(read_table(s, d, "documents")),
+        "op12_exponion_codes": lambda s, d: vector_codes.vector_codes(read_table(s, d, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_top_k": top_k.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op9_top_k": top_k.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL, "op12_exponion_codes": vector_codes.ORACLE_SQL}
