@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from friction.llm import exact_dedup, kd_shards, language_id, merkle, mixing, packing, quotes, simhash, token_counts, top_k, toxicity, vector_codes
+from friction.llm import exact_dedup, kd_shards, language_id, merkle, mixing, packing, partenum, quotes, simhash, token_counts, top_k, toxicity, vector_codes
 from friction.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op10_exact_dedup": lambda s, d: exact_dedup.exact_dedup(read_table(s, d, "documents")),
         "op11_merkle_manifest": lambda s, d: merkle.manifest_check(read_table(s, d, "documents")),
         "op12_exponion_codes": lambda s, d: vector_codes.vector_codes(read_table(s, d, "embeddings")),
+        "op13_partenum_join": lambda s, d: partenum.jaccard_components(read_table(s, d, "documents")),
     }
 
 
