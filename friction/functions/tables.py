@@ -29,3 +29,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
+
+
+def _path(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def listed(spark: SparkSession, at: str) -> list[str]:
+    """Names in a folder, none if there is no such folder."""
+    fs, path = _path(spark, at)
+    return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def removed(spark: SparkSession, at: str) -> None:
+    fs, path = _path(spark, at)
+    fs.delete(path, True)
+
+
+def touched(spark: SparkSession, at: str) -> None:
+    """Make an empty file."""
+    fs, path = _path(spark, at)
+    fs.create(path, True).close()

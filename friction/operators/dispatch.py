@@ -47,7 +47,8 @@ def choose(detections: DataFrame, stats: DataFrame, variants: int, epsilon: floa
 def dispatch(chosen: DataFrame, last_routes: DataFrame, denied: list[str] = (), roles: DataFrame | None = None, paused: DataFrame | None = None, shown: DataFrame | None = None, safe_mode: bool = True) -> DataFrame:
     """The interventions that may be shown: none in safe mode, which is on unless it is turned off, on a denied last route, twice, paused or already shown.
 
-    A destructive element (roles: element_id, role) gets a confirmation (variant -1) for types that suggest haste."""
+    A destructive element (roles: element_id, role) gets a confirmation (variant -1) for types that suggest haste, under ids of
+    its own: whatever variants were chosen before, a session sees it once, and it counts for no other variant."""
     if safe_mode:
         return chosen.limit(0).withColumn("confirm", F.lit(False))
     out = chosen.join(last_routes.where(F.col("route").isin(list(denied))), "session_id", "left_anti") if denied else chosen
@@ -56,6 +57,8 @@ def dispatch(chosen: DataFrame, last_routes: DataFrame, denied: list[str] = (),
         out = out.join(roles.select(F.col("element_id").alias("of"), "role"), F.col("element_id") == F.col("of"), "left")
         confirm = F.coalesce(F.col("role").isin(*DESTRUCTIVE) & F.col("type").isin(*CAUTIOUS), F.lit(False))
     out = out.withColumn("confirm", confirm).withColumn("variant_index", F.when(F.col("confirm"), -1).otherwise(F.col("variant_index"))).drop("of", "role")
+    own = {"row_id": row_id(F.col("type"), F.col("element_id"), F.lit("-1")), "tracking_id": tracking_id(F.col("session_id"), F.col("type"), F.col("element_id"), F.lit("-1"))}
+    out = out.withColumns({k: F.when(F.col("confirm"), v).otherwise(F.col(k)) for k, v in own.items()}) if roles is not None else out
     first = Window.partitionBy("tracking_id").orderBy("ts_ms")
     out = out.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
     for table, key in ((paused, "row_id"), (shown, "tracking_id")):
@@ -70,15 +73,6 @@ def last_routes(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id").agg(F.coalesce(F.max_by(F.when(nav, F.col("route")), F.when(nav, F.col("seq"))), F.min_by("route", "seq")).alias("route"))
 
 
-def apply_outcomes(stats: DataFrame, outcomes: DataFrame, ledger: DataFrame) -> DataFrame:
-    """stats (row_id, impressions, successes) after outcomes (tracking_id, outcome) that the ledger (tracking_id, row_id) resolves."""
-    new = outcomes.join(ledger, "tracking_id").groupBy("row_id").agg(F.count_if(F.col("outcome") == "SHOWN").alias("i"), F.count_if(F.col("outcome") == "SUCCESS").alias("s"))
-    out = stats.join(new, "row_id", "full_outer")
-    total = lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
-    out = out.select("row_id", total("impressions", "i").alias("impressions"), total("successes", "s").alias("successes"))
-    return out.withColumn("success_rate", F.when(F.col("impressions") > 0, F.col("successes") / F.col("impressions")).otherwise(F.lit(0.0)))
-
-
 #: What an outcome is recorded as, and which counter it adds to.
 OUTCOMES = {"intervention_shown": ("ABANDON", "impressions"), "intervention_success": ("SUCCESS", "successes"), "intervention_dismissed": ("DISMISSED", "dismissals")}
 

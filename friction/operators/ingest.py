@@ -43,14 +43,17 @@ def history(batch: DataFrame, stored: DataFrame, key: list[str], since_ms: int)
     return old.join(batch.select(*key), key, "left_anti").unionByName(batch)
 
 
-def sampled(events: DataFrame, default: float, by_type: dict[str, float], key: Column) -> DataFrame:
-    """A share of the events that a hash of the key chooses; errors always stay. Rates are clamped to 0..1."""
+def sampled(events: DataFrame, default: float, by_type: dict[str, float], key: Column, keep: Column | None = None) -> DataFrame:
+    """A share of the events that a hash of the key chooses. Errors and outcomes of interventions (CUSTOM, m_kind) always stay:
+    the outcome loop lives of them. Rates are clamped to 0..1. keep: a condition in place of the rates; null keeps."""
     clamp = lambda x: 1.0 if x != x or x in (float("inf"), float("-inf")) else min(1.0, max(0.0, x))
     rate = F.lit(clamp(default))
     for t, r in by_type.items():
         rate = F.when(F.col("event_type") == t, F.lit(clamp(r))).otherwise(rate)
-    u = F.pmod(F.xxhash64(key), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    return events.where(F.col("event_type").isin(*EXEMPT) | (u < rate))
+    u = F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    outcome = (F.col("event_type") == "CUSTOM") & F.coalesce(F.startswith("m_kind", F.lit("intervention_")), F.lit(False))
+    stays = u < rate if keep is None else F.coalesce(keep, F.lit(True))
+    return events.where(F.col("event_type").isin(*EXEMPT) | outcome | stays)
 
 
 def usage(events: DataFrame, month: Column, user: Column) -> DataFrame:

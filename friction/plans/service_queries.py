@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from friction.functions import text
+from friction.functions.ids import row_id, tracking_id
 from friction.operators import baselines, dashboard, detect, dispatch, html_map, ingest, source_map
 from friction.plans import engine_queries
 from friction.plans.product_queries import SINCE, labels, table
@@ -65,13 +66,28 @@ def context(s, d):
 
 
 def guarded(s, d):
-    """Dispatch with a denied route, a destructive element, paused rows and interventions that were shown before."""
-    ch = engine_queries.chosen(s, d).where(F.col("type").isin(*FEW))
+    """Dispatch with a denied route, a destructive element, paused rows and interventions that were shown before. Hasty types
+    are found once more with another variant, as after the statistics changed: a destructive element still asks once."""
+    ch = engine_queries.chosen(s, d)
+    again = ch.where(F.col("type").isin(*dispatch.CAUTIOUS)).withColumn("variant_index", (F.col("variant_index") + 1) % engine_queries.VARIANTS).withColumn("ts_ms", F.col("ts_ms") + 1)
+    v = F.col("variant_index").cast("string")
+    again = again.withColumn("row_id", row_id(F.col("type"), F.col("element_id"), v)).withColumn("tracking_id", tracking_id(F.col("session_id"), F.col("type"), F.col("element_id"), v))
     roles = s.createDataFrame([("e0", "DELETE"), ("e1", "HELP")], "element_id string, role string")
     paused = ch.where("type = 'JS_ERROR' and variant_index = 1").select("row_id").distinct()
     shown = ch.where(F.col("session_id").endswith("7")).select("tracking_id").distinct()
-    out = dispatch.dispatch(ch, dispatch.last_routes(driver_events(s, d)), ["/r1"], roles, paused, shown, safe_mode=False)
-    return out.select("session_id", "element_id", "type", "variant_index", "tracking_id", "confirm")
+    out = dispatch.dispatch(ch.unionByName(again), dispatch.last_routes(driver_events(s, d)), ["/r1"], roles, paused, shown, safe_mode=False)
+    return out.select("session_id", "element_id", "type", "variant_index", "row_id", "tracking_id", "confirm")
+
+
+def sampling(s, d):
+    """A quarter of the clicks, a tenth of the rest, by rates and by a condition; outcomes of interventions and errors stay."""
+    o = table(s, d, "orders")
+    kinds = F.array(*[F.lit(x) for x in ("intervention_shown", "intervention_success", "intervention_dismissed", "other")])
+    kind = F.when(F.col("o_orderstatus") == "P", "CLICK").when(F.col("o_orderkey") % 11 == 0, "JS_ERROR").when(F.col("o_orderkey") % 11 == 1, "HOVER").otherwise("CUSTOM")
+    events = o.select(F.col("o_orderkey").alias("key"), kind.alias("event_type"), F.when(kind == "CUSTOM", F.element_at(kinds, (F.col("o_orderkey") % 4 + 1).cast("int"))).alias("m_kind"))
+    rates = ingest.sampled(events, 0.1, {"CLICK": 0.25, "HOVER": float("nan")}, F.col("key"))
+    chosen = ingest.sampled(events, 0.0, {}, F.col("key"), keep=F.col("key") % 5 == 0)
+    return rates.withColumn("by", F.lit("rate")).unionByName(chosen.withColumn("by", F.lit("condition"))).groupBy("by", "event_type", "m_kind").agg(F.count("*").alias("n"), F.sum("key").alias("keys"))
 
 
 def batches(s, d):
@@ -182,6 +198,7 @@ def queries() -> dict:
         "counted_summaries": lambda s, d: detect.detect(e(s, d), only={"LOGIN_FAILURE", "PASSWORD_RETRY", "CIRCULAR_NAV", "LONG_DWELL", "RETRY_LOOP", "RAGE_CLICK"}, summaries=True).select("session_id", "element_id", "type", "summary"),
         "detect_as_of": lambda s, d: detect.detect(e(s, d), as_of=AS_OF, only={"DEAD_END", "IDLE_AFTER_LOAD"}),
         "dispatch_guarded": guarded,
+        "sampled_events": sampling,
         "dispatch_context": context,
         "outcome_counters": lambda s, d: dispatch.counters(interventions(s, d), *outcome_parts(s, d)),
         "impression_rows": lambda s, d: dispatch.impressions(*outcome_parts(s, d)),
@@ -236,10 +253,20 @@ def oracle_sql() -> dict[str, str]:
         "detect_as_of": E + f""", l AS (SELECT session_id, arg_max(et, (ms, seq)) AS et, arg_max(coalesce(trig, ''), (ms, seq)) AS trig, max(ms) AS ts_ms FROM e GROUP BY 1)
             SELECT session_id, CAST(NULL AS VARCHAR) AS element_id, type, CAST(0.45 AS DOUBLE) AS severity, ts_ms FROM l, (VALUES ('DEAD_END', 20000), ('IDLE_AFTER_LOAD', 15000)) v(type, idle)
             WHERE et = 'NAVIGATION' AND {AS_OF} - ts_ms >= idle AND (type = 'DEAD_END' OR trig = 'initial')""",
-        "dispatch_guarded": f"""WITH ch AS (SELECT * FROM ({ch}) WHERE type IN ({few})), ev AS ({E} SELECT * FROM e), last AS (SELECT session_id, coalesce(arg_max(route, seq) FILTER (et = 'NAVIGATION'), arg_min(route, seq)) AS route FROM ev GROUP BY 1)
-            SELECT session_id, element_id, type, CAST(CASE WHEN c THEN -1 ELSE variant_index END AS INTEGER) AS variant_index, tracking_id, c AS confirm
-            FROM (SELECT *, coalesce(element_id = 'e0', false) AND type IN ('RAGE_CLICK', 'LONG_DWELL') AS c FROM ch JOIN last USING (session_id) WHERE route <> '/r1' QUALIFY row_number() OVER (PARTITION BY tracking_id ORDER BY ts_ms) = 1)
-            WHERE row_id NOT IN (SELECT row_id FROM ch WHERE type = 'JS_ERROR' AND variant_index = 1) AND tracking_id NOT IN (SELECT tracking_id FROM ch WHERE session_id LIKE '%7')""",
+        "dispatch_guarded": f"""WITH ch0 AS (SELECT * FROM ({ch})), ev AS ({E} SELECT * FROM e), last AS (SELECT session_id, coalesce(arg_max(route, seq) FILTER (et = 'NAVIGATION'), arg_min(route, seq)) AS route FROM ev GROUP BY 1),
+            al AS (SELECT session_id, element_id, type, ts_ms, variant_index AS v FROM ch0 UNION ALL SELECT session_id, element_id, type, ts_ms + 1, (variant_index + 1) % 3 FROM ch0 WHERE type IN ('RAGE_CLICK', 'LONG_DWELL', 'HOVER_HUNT')),
+            o AS (SELECT *, coalesce(element_id = 'e0', false) AND type IN ('RAGE_CLICK', 'LONG_DWELL', 'HOVER_HUNT') AS confirm FROM al JOIN last USING (session_id) WHERE route <> '/r1'),
+            i AS (SELECT * REPLACE (CAST(CASE WHEN confirm THEN -1 ELSE v END AS INTEGER) AS v) FROM o),
+            n AS (SELECT *, {engine_queries.named("type || '|' || coalesce(element_id, '_') || '|v' || v")} AS row_id, {engine_queries.named("session_id || '|' || type || '|' || coalesce(element_id, '_') || '|v' || v")} AS tracking_id FROM i)
+            SELECT session_id, element_id, type, v AS variant_index, row_id, tracking_id, confirm FROM n
+            WHERE row_id NOT IN (SELECT row_id FROM ch0 WHERE type = 'JS_ERROR' AND variant_index = 1) AND tracking_id NOT IN (SELECT tracking_id FROM ch0 WHERE session_id LIKE '%7')
+            QUALIFY row_number() OVER (PARTITION BY tracking_id ORDER BY ts_ms) = 1""",
+        "sampled_events": """WITH k AS (SELECT o_orderkey AS key, CASE WHEN o_orderstatus = 'P' THEN 'CLICK' WHEN o_orderkey % 11 = 0 THEN 'JS_ERROR' WHEN o_orderkey % 11 = 1 THEN 'HOVER' ELSE 'CUSTOM' END AS event_type FROM orders),
+            e AS (SELECT *, CASE WHEN event_type = 'CUSTOM' THEN ['intervention_shown','intervention_success','intervention_dismissed','other'][key % 4 + 1] END AS m_kind FROM k),
+            f AS (SELECT *, event_type = 'JS_ERROR' OR coalesce(m_kind LIKE 'intervention_%', false) AS stays, CAST('0x' || substr(sha256(CAST(key AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM e)
+            SELECT "by", event_type, m_kind, count(*) AS n, CAST(sum(key) AS BIGINT) AS keys FROM (
+              SELECT 'rate' AS "by", * FROM f WHERE stays OR u < CASE event_type WHEN 'CLICK' THEN 0.25 WHEN 'HOVER' THEN 1.0 ELSE 0.1 END
+              UNION ALL SELECT 'condition', * FROM f WHERE stays OR key % 5 = 0) GROUP BY 1, 2, 3""",
         "dispatch_context": f"""WITH d AS (SELECT * FROM ({all_rules}) WHERE type IN ({few})), ev AS ({E} SELECT * FROM e), last AS (SELECT session_id, coalesce(arg_max(route, seq) FILTER (et = 'NAVIGATION'), arg_min(route, seq)) AS route FROM ev GROUP BY 1),
             t AS (SELECT session_id, 'At ' || arg_max(route, seq) AS title FROM ev WHERE et = 'CLICK' GROUP BY 1),
             sem AS (SELECT 'e' || (o_custkey % 50) AS element_id, arg_max(o_orderpriority, (o_orderdate, o_orderpriority)) AS intent FROM orders GROUP BY 1)

@@ -1,4 +1,4 @@
-"""Streaming: storing a stream of events once, and rage clicks that reset when they fire."""
+"""Streaming: rage clicks that reset when they fire."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from friction.operators.ingest import first_by_key, new_rows, storable
-
 WINDOW_MS, CLICKS = 2000, 3
 
 
@@ -47,27 +45,3 @@ def rage_clicks(events: DataFrame) -> DataFrame:
 
     clicks = events.where("event_type = 'CLICK'").groupBy("session_id", "element_id")
     return clicks.applyInPandasWithState(run, "session_id string, element_id string, ms long", "clicks array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def store_once(events: DataFrame, table: str, checkpoint: str, key: list[str], order: list[str], look_back_ms: int | None = None):
-    """Start a query that appends to a Parquet table what it does not hold yet, by key. Each batch has a partition of its own
-    (batch_id), which a retry overwrites: it adds nothing, not even rows without a key.
-
-    look_back_ms: only stored events from that long before the batch's first are compared, so that a batch reads the row
-    groups of its own time instead of the whole table; None: all of them, whatever their time."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        rows = first_by_key(storable(batch), key, order)
-        spark = batch.sparkSession
-        try:
-            stored = spark.read.schema(batch.schema).parquet(table).where(F.col("batch_id") != number)
-            if look_back_ms is not None:
-                first = batch.agg(F.min("ms")).first()[0]
-                stored = stored if first is None else stored.where(F.col("ms") >= first - look_back_ms)
-            rows = new_rows(rows, stored, key)
-        except Exception as e:  # the first batch: no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        rows.write.mode("overwrite").parquet(f"{table}/batch_id={number}")
-
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -10,7 +10,7 @@ from friction.functions.ids import java_hash, row_id
 from friction.functions.scrub import scrub
 from friction.operators.baselines import upper_percentile
 from friction.operators.detect import detect
-from friction.operators.dispatch import apply_outcomes, choose, dispatch, last_titles, with_options
+from friction.operators.dispatch import counters, choose, dispatch, last_titles, with_options
 from friction.operators.html_map import elements, metadata
 from friction.operators.ingest import demo_events, event_batches, first_by_key, sampled, throttled, unseen_struggles, validated
 from friction.schema import EVENT_COLUMNS
@@ -68,11 +68,14 @@ def test_bandit_dispatch_and_outcomes(spark):
     assert dispatch(chosen, routes, denied=["/no"], safe_mode=False).count() == 299 and dispatch(chosen, routes, safe_mode=True).count() == 0
     hunt = spark.createDataFrame([("s", "e", "LONG_DWELL", 0.3, 1)], D)
     roles = spark.createDataFrame([("e", "DELETE")], "element_id string, role string")
-    assert dispatch(choose(hunt, warm, 3), routes, roles=roles, safe_mode=False).first().variant_index == -1
+    picked = choose(hunt, warm, 3).crossJoin(spark.createDataFrame([(0,), (1,), (2,)], "v int")).withColumn("variant_index", F.col("v")).withColumn("tracking_id", F.concat("tracking_id", "v")).drop("v")
+    asked = dispatch(picked, routes, roles=roles, safe_mode=False).collect()
+    assert [(r.variant_index, r.row_id) for r in asked] == [(-1, spark.range(1).select(row_id(F.lit("LONG_DWELL"), F.lit("e"), F.lit("-1"))).first()[0])]
     ledger = chosen.select("tracking_id", "row_id")
     first = ledger.first()
-    outcomes = spark.createDataFrame([(first.tracking_id, "SHOWN"), (first.tracking_id, "SUCCESS")], "tracking_id string, outcome string")
-    after = {r.row_id: r for r in apply_outcomes(warm, outcomes, ledger).collect()}
+    stats = warm.withColumn("dismissals", F.lit(0).cast("long"))
+    outcomes = spark.createDataFrame([(first.tracking_id, "intervention_shown"), (first.tracking_id, "intervention_success")], "tracking_id string, kind string")
+    after = {r.row_id: r for r in counters(stats, outcomes, ledger).collect()}
     assert (after[ids[1]].impressions, after[ids[1]].successes) == (101, 81)
 
 
