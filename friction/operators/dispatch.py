@@ -111,14 +111,27 @@ def latest_semantics(semantics: DataFrame) -> DataFrame:
 
 
 def with_context(chosen: DataFrame, elements: DataFrame, semantics: DataFrame, routes: DataFrame, last: DataFrame, titles: DataFrame) -> DataFrame:
-    """chosen with what its copy can speak of: label, role, validation (elements), intent (the latest of semantics), route
-    (last: of last_routes()), page_title (titles: of last_titles(), else that of the route), route_purpose (routes: route,
-    title, purpose). Each side has one row a key, so no row is doubled."""
-    out = chosen.join(elements.select("element_id", "label", "role", "validation"), "element_id", "left")
-    out = out.join(latest_semantics(semantics).select("element_id", "intent"), "element_id", "left")
+    """chosen with what its copy can speak of: label (the element's latest semantic_name, else its own), role, validation
+    (elements), intent and help_copy (the latest of semantics), route (last: of last_routes()), page_title (titles: of
+    last_titles(), else that of the route), route_purpose and journey_stage (routes: route, title, purpose, stage), which are
+    known together or not at all. Each side has one row a key, so no row is doubled."""
+    out = chosen.join(elements.select("element_id", F.col("label").alias("own_label"), "role", "validation"), "element_id", "left")
+    out = out.join(latest_semantics(semantics).select("element_id", "intent", "semantic_name", "help_copy"), "element_id", "left")
     out = out.join(last, "session_id", "left").join(titles, "session_id", "left")
-    out = out.join(routes.select("route", F.col("title").alias("route_title"), F.col("purpose").alias("route_purpose")), "route", "left")
-    return out.select(*chosen.columns, "label", "role", "validation", "intent", "route", F.coalesce("title", "route_title").alias("page_title"), "route_purpose")
+    said = lambda c: F.when((F.coalesce("purpose", F.lit("")) != "") & (F.coalesce("stage", F.lit("")) != ""), F.col(c))
+    out = out.join(routes.select("route", F.col("title").alias("route_title"), said("purpose").alias("route_purpose"), said("stage").alias("journey_stage")), "route", "left")
+    label, title = F.coalesce("semantic_name", "own_label").alias("label"), F.coalesce("title", "route_title").alias("page_title")
+    return out.select(*chosen.columns, label, "role", "validation", "intent", "help_copy", "route", title, "route_purpose", "journey_stage")
+
+
+def with_cached(chosen: DataFrame, cached: DataFrame) -> DataFrame:
+    """chosen with the confidence that a cached variant (element_id, type, variant_index, confidence, help_copy) states, between
+    0 and 0.99, else its own, and `cached_help`. A confirmation (variant -1) is no cached variant."""
+    own = cached.select(F.col("element_id").alias("of"), F.col("type").alias("of_type"), F.col("variant_index").alias("of_variant"), F.col("confidence").alias("stated"), F.col("help_copy").alias("cached_help"))
+    same = (F.col("element_id") == F.col("of")) & (F.col("type") == F.col("of_type")) & (F.col("variant_index") == F.col("of_variant"))
+    out = chosen.join(own, same, "left")
+    stated = F.when(F.col("stated").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(0.99), F.col("stated"))))
+    return out.withColumn("confidence", F.coalesce(stated, "confidence")).select(*chosen.columns, "cached_help")
 
 
 def with_options(chosen: DataFrame, templates: DataFrame) -> DataFrame:

@@ -31,16 +31,48 @@ ROLE_WORDS = (
     ("LOGOUT", r"log\s?out|sign\s?out"),
     ("PAYMENT", r"pay|checkout|purchase|buy"),
 )
+#: The words at the beginning of a label in templates, in the order in which they are tried, and the roles that
+#: an element of a template can name itself.
+TEMPLATE_WORDS = (
+    ("SUBMIT", r"submit|save|create|continue|next|sign\s?up|register|apply|send|publish|post"),
+    ("CANCEL", r"cancel|close|discard|nevermind|back|skip"),
+    ("DANGER", r"delete|remove|destroy|drop|wipe|clear|deactivate"),
+    ("DISMISS", r"dismiss|close|×|✕|hide"),
+    ("RETRY", r"retry|try again|reload|refresh"),
+    ("HELP", r"help|support|contact|faq|docs|documentation"),
+    ("CONFIRM", r"confirm|yes|ok|agree|accept|approve"),
+    ("SEARCH", r"search|find|lookup"),
+    ("FILTER", r"filter|narrow|refine"),
+    ("MENU", r"menu|more|options|⋮|☰"),
+    ("EDIT", r"edit|rename|modify|change|update"),
+    ("DELETE", r"delete|remove|trash|archive"),
+    ("LOGIN", r"log\s?in|sign\s?in|authenticate"),
+    ("LOGOUT", r"log\s?out|sign\s?out"),
+    ("PAYMENT", r"pay|checkout|purchase|buy|complete\s+(order|purchase)"),
+)
+NAMED_ROLES = ("SUBMIT", "CANCEL", "DANGER", "PRIMARY", "SECONDARY", "DISMISS", "RETRY", "HELP", "CONFIRM", "SEARCH", "FILTER", "MENU", "EDIT", "DELETE", "LOGIN", "LOGOUT", "PAYMENT", "NAV", "TOGGLE", "EXPAND")
 DESTRUCTIVE = ("DANGER", "DELETE", "LOGOUT")
+SIGNS = "×✕⋮☰"
+
+
+def begins_with(label: Column, words: str) -> Column:
+    """Whether a label begins with one of the words, and the word ends there. After a sign, which is no letter, one must follow."""
+    signs = "".join(c for c in SIGNS if c in words)
+    plain_words = "|".join(w for w in words.split("|") if w not in SIGNS) if signs else words
+    either = rf"(?:{plain_words})(?![A-Za-z0-9_])" + (rf"|[{signs}](?=[A-Za-z0-9_])" if signs else "")
+    return F.trim(label).rlike(rf"(?i)^(?:{either})")
 
 
-def semantic_role(tag: Column, kind: Column, href: Column, label: Column, css: Column) -> Column:
-    """What an element is for: by its type, its target, its label, its class; null if nothing says."""
+def semantic_role(tag: Column, kind: Column, href: Column, label: Column, css: Column, named: Column | None = None) -> Column:
+    """What an element is for: by its type, its target, its label, its class; null if nothing says. named: what the element of a
+    template calls itself, which comes after its type; templates know more words."""
     link = tag == "a"
     role = F.when(tag.isin("input", "button") & (kind == "submit"), "SUBMIT")
+    if named is not None:
+        role = role.when(F.upper(named).isin(*NAMED_ROLES), F.upper(named))
     role = role.when(link & href.isin("#help", "/help"), "HELP").when(link & href.isin("#search", "/search"), "SEARCH").when(link, "NAV")
-    for name, words in ROLE_WORDS:
-        role = role.when(F.trim(label).rlike(rf"(?i)^({words})(?![A-Za-z0-9_])" if name != "DISMISS" else rf"(?i)^(?:(?:dismiss|close|hide)(?![A-Za-z0-9_])|[×✕](?=[A-Za-z0-9_]))"), name)
+    for name, words in ROLE_WORDS if named is None else TEMPLATE_WORDS:
+        role = role.when(begins_with(label, words), name)
     css = F.lower(F.coalesce(css, F.lit("")))
     return role.when(css.contains("danger") | css.contains("destructive"), "DANGER").when(css.contains("primary") | css.contains("cta"), "PRIMARY")
 
@@ -109,12 +141,13 @@ def parsed(pages: DataFrame) -> DataFrame:
     return with_attributes(rows.select("page_id", "url", "e.*"))
 
 
-def elements(pages: DataFrame, org: str = "org") -> DataFrame:
+def elements(pages: DataFrame, org: str = "org", template: bool = False) -> DataFrame:
     """Each interactive element of pages (page_id, url, html), in order: page_id, tag, tag_index, href, type_attr, label,
     semantic_role, destructive, required, validation, form_context, handler, tags, endpoint, element_id.
 
     The label is aria-label, title, placeholder, the value of an input or button, the text up to the tag's own end, or what
-    comes next. form_context names the innermost open form, the element itself if it is one."""
+    comes next. form_context names the innermost open form, the element itself if it is one. template: the pages are templates,
+    which know more words, and whose elements may name their role (data-role)."""
     page, rows = Window.partitionBy("page_id").orderBy("pos"), parsed(pages)
     text = F.coalesce(F.substring(plain(F.col("inner")), 1, 200), F.substring(plain(F.col("ahead")), 1, 80))
     label = F.coalesce(attribute("aria-label"), attribute("title"), attribute("placeholder"), F.when(F.col("tag").isin("input", "button"), attribute("value")), text)
@@ -129,7 +162,7 @@ def elements(pages: DataFrame, org: str = "org") -> DataFrame:
         F.when((F.col("tag") == "button") & own.isNull() & css.contains("icon"), "icon-only"), F.when(has("disabled"), "disabled"),
         F.when(css.contains("hidden") | (F.coalesce(given("aria-hidden"), F.lit("")) == "true"), "hidden"),
     ))
-    role = semantic_role(F.col("tag"), attribute("type"), attribute("href"), F.col("label"), attribute("class"))
+    role = semantic_role(F.col("tag"), attribute("type"), attribute("href"), F.col("label"), attribute("class"), attribute("data-role") if template else None)
     descriptor = F.concat(F.col("tag"), F.lit("["), F.col("tag_index"), F.lit("]"))
     return rows.select(
         "page_id", "tag", "tag_index", attribute("href").alias("href"), attribute("type").alias("type_attr"), "label", role.alias("semantic_role"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -102,6 +104,31 @@ def counted(batch: DataFrame, accepted: DataFrame) -> DataFrame:
     return rows.select("accepted", (F.col("storable") - F.col("accepted")).alias("duplicates"))
 
 
+def store_counted(batch: DataFrame, stored: DataFrame, key: list[str], order: list[str], at: str) -> dict[str, int]:
+    """Write what of a batch is not stored, and count while writing: accepted, duplicates. The batch is read once.
+
+    stored: the keys that are stored. A row with a null in its key never conflicts."""
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+    known = stored.select(*[F.col(k).alias(f"known_{k}") for k in key]).distinct().withColumn("known", F.lit(True))
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"known_{k}") for k in key])
+    rows = storable(batch).withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    rows = rows.join(known, same, "left").withColumn("new", ~whole | ((F.col("nth") == 1) & F.col("known").isNull()))
+    counts = Observation()
+    rows = rows.observe(counts, F.count_if("new").alias("accepted"), F.count_if(~F.col("new")).alias("duplicates"))
+    rows.where("new").select(*batch.columns).write.mode("overwrite").parquet(at)
+    return dict(counts.get)
+
+
+def user_sketches(events: DataFrame, group: list[Column], user: Column) -> DataFrame:
+    """events and a sketch of the users of each group (org and month, say): sketches of batches, kept, merge to that of all."""
+    return events.groupBy(*group).agg(F.count("*").alias("events"), F.hll_sketch_agg(user).alias("users"))
+
+
+def users_of_sketches(sketches: DataFrame, group: list[str]) -> DataFrame:
+    """events and mau of each group from the sketches of any number of batches; mau within some 1.6 % (one standard error)."""
+    return sketches.groupBy(*group).agg(F.sum("events").alias("events"), F.hll_sketch_estimate(F.hll_union_agg("users")).alias("mau"))
+
+
 #: Fixed value: events in a request.
 MOST_EVENTS = 500
 

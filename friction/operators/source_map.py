@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -122,3 +124,17 @@ def source_files(files: DataFrame) -> DataFrame:
     aside = F.col("path").rlike(r"\.(test|spec)\.[a-z]+$") | F.col("path").endswith(".d.ts")
     kind = F.when(ending.isin(*TEMPLATES), "template").when(ending.isin(*SCRIPTS) & ~aside, "script")
     return files.select("repo", "path", kind.alias("kind")).where(~skipped & F.col("kind").isNotNull())
+
+
+def source_tree(spark, root: str, glob: str | None = None, most_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """The files below a folder of repositories, root/<repo>/...: repo, path, source of those up to a size; and repo, path,
+    bytes of those beyond it, which are reported instead of read. glob: of file names, such as *.vue.
+
+    Listing and reading are Spark's; the text of a file that is left out never leaves the disk."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
+    inside = F.regexp_extract("path", r"^(?:[a-z]+:/*)?/" + re.escape(root.split(":", 1)[-1].strip("/")) + r"/(.*)$", 1)
+    files = files.withColumn("inside", inside).withColumn("repo", F.regexp_extract("inside", r"^([^/]+)/", 1))
+    files = files.withColumn("path", F.substring("inside", F.char_length("repo") + 2, F.char_length("inside")))
+    kept = files.where(F.col("length") <= most_bytes).select("repo", "path", F.decode("content", "UTF-8").alias("source"))
+    return kept, files.where(F.col("length") > most_bytes).select("repo", "path", F.col("length").alias("bytes"))

@@ -4,6 +4,8 @@ As in product_queries, the star schema stands in for what it lacks."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from friction.functions import text
@@ -59,10 +61,36 @@ def context(s, d):
     e = driver_events(s, d)
     k = F.col("p_size")
     elements = labels(s, d).join(table(s, d, "part").select(F.concat(F.lit("e"), "p_partkey").alias("element_id"), F.when(k < 25, "SUBMIT").alias("role"), F.col("p_type").alias("validation")), "element_id")
-    semantics = table(s, d, "orders").select(F.concat(F.lit("e"), F.col("o_custkey") % 50).alias("element_id"), F.col("o_orderdate").alias("enriched_at"), F.col("o_orderpriority").alias("intent"))
-    routes = table(s, d, "nation").select(F.concat(F.lit("/r"), "n_nationkey").alias("route"), F.col("n_name").alias("title"), F.concat(F.lit("p"), "n_regionkey").alias("purpose"))
+    semantics = table(s, d, "orders").select(F.concat(F.lit("e"), F.col("o_custkey") % 50).alias("element_id"), F.col("o_orderdate").alias("enriched_at"), F.col("o_orderpriority").alias("intent"), F.when(F.col("o_custkey") % 50 != 1, F.concat(F.lit("N"), F.col("o_custkey") % 7)).alias("semantic_name"), F.concat(F.lit("H"), F.col("o_custkey") % 3).alias("help_copy"))
+    routes = table(s, d, "nation").select(F.concat(F.lit("/r"), "n_nationkey").alias("route"), F.col("n_name").alias("title"), F.concat(F.lit("p"), "n_regionkey").alias("purpose"), F.when(F.col("n_nationkey") != 2, F.concat(F.lit("stage"), "n_regionkey")).alias("stage"))
     titled = e.withColumn("page_title", F.when(F.col("event_type") == "CLICK", F.concat(F.lit("At "), "route")).otherwise(""))
-    return dispatch.with_context(found(s, d, FEW), elements, semantics, routes, dispatch.last_routes(e), dispatch.last_titles(titled))
+    return dispatch.with_context(found(s, d).select("session_id", "element_id", "type", "severity", "ts_ms"), elements, semantics, routes, dispatch.last_routes(e), dispatch.last_titles(titled))
+
+
+def cached_confidence(s, d):
+    """Confidence of what was chosen where an element has cached variants, some beyond the bounds, some without their own."""
+    p = table(s, d, "part").where("p_partkey <= 2")
+    kinds = F.explode(F.array(*[F.lit(t) for t in ("RAGE_CLICK", "LOOP", "LONG_DWELL", "JS_ERROR", "SILENT_FAIL", "DEAD_CLICK")])).alias("type")
+    rows = p.select("p_partkey", F.concat(F.lit("e"), "p_partkey").alias("element_id"), kinds).withColumn("variant_index", F.explode(F.array(*[F.lit(v) for v in range(3)])))
+    stated = F.when((F.col("variant_index") + F.length("type")) % 4 != 0, (F.length("type") * 3 + F.col("variant_index") - 20 * F.col("p_partkey")) / F.lit(10.0))
+    cached = rows.select("element_id", "type", "variant_index", stated.alias("confidence"), F.concat(F.lit("help "), "variant_index").alias("help_copy"))
+    out = dispatch.with_cached(engine_queries.chosen(s, d), cached)
+    return out.select("session_id", "element_id", "type", "variant_index", "confidence", "cached_help")
+
+
+#: Labels of a template's buttons, one for each role that its words give, and one that none gives.
+TEMPLATE_BUTTONS = ("Save it", "Cancel", "Delete all", "Hide", "Try again", "Help me", "Approve it", "Find", "Refine", "Options", "Rename", "Archive", "Authenticate", "Sign out", "Complete order", "Other", "Updated")
+TEMPLATE_ROLES = ("SUBMIT", "CANCEL", "DANGER", "DISMISS", "RETRY", "HELP", "CONFIRM", "SEARCH", "FILTER", "MENU", "EDIT", "DELETE", "LOGIN", "LOGOUT", "PAYMENT", None, None)
+
+
+def template_roles(s, d):
+    """Roles of the elements of templates: by their words, or what they name themselves, if that is a role."""
+    n = F.col("p_size")
+    named = F.when(n % 4 == 1, F.lit(' data-role="toggle"')).when(n % 4 == 2, F.lit(' data-role="wonder"')).otherwise(F.lit(""))
+    label = F.element_at(F.array(*[F.lit(x) for x in TEMPLATE_BUTTONS]), (F.col("p_partkey") % len(TEMPLATE_BUTTONS) + 1).cast("int"))
+    html = F.concat(F.lit("<button"), named, F.lit(">"), label, F.lit('</button><a data-role="expand" href="/help">x</a><input type="submit" data-role="menu" value="Go">'))
+    pages = table(s, d, "part").select(F.col("p_partkey").alias("page_id"), F.lit("u").alias("url"), html.alias("html"))
+    return html_map.elements(pages, template=True).select("page_id", "tag", "label", "semantic_role", "destructive")
 
 
 def guarded(s, d):
@@ -199,6 +227,8 @@ def queries() -> dict:
         "detect_as_of": lambda s, d: detect.detect(e(s, d), as_of=AS_OF, only={"DEAD_END", "IDLE_AFTER_LOAD"}),
         "dispatch_guarded": guarded,
         "sampled_events": sampling,
+        "cached_confidence": cached_confidence,
+        "template_roles": template_roles,
         "dispatch_context": context,
         "outcome_counters": lambda s, d: dispatch.counters(interventions(s, d), *outcome_parts(s, d)),
         "impression_rows": lambda s, d: dispatch.impressions(*outcome_parts(s, d)),
@@ -209,7 +239,7 @@ def queries() -> dict:
         "metered": meter,
         "remapped": remap,
         "recent_activity": lambda s, d: ingest.recent_activity(e(s, d), NOW, 1_000),
-        "baselines_since": lambda s, d: baselines.baselines(e(s, d), since_ms=SINCE).select("element_id", "sample_size"),
+        "baselines_since": lambda s, d: baselines.baselines(e(s, d), since_ms=SINCE),
         "form_elements": form_elements,
         "custom_elements": custom,
         "crawl_modes": lambda s, d: html_map.crawl_mode(table(s, d, "pages")),
@@ -261,16 +291,25 @@ def oracle_sql() -> dict[str, str]:
             SELECT session_id, element_id, type, v AS variant_index, row_id, tracking_id, confirm FROM n
             WHERE row_id NOT IN (SELECT row_id FROM ch0 WHERE type = 'JS_ERROR' AND variant_index = 1) AND tracking_id NOT IN (SELECT tracking_id FROM ch0 WHERE session_id LIKE '%7')
             QUALIFY row_number() OVER (PARTITION BY tracking_id ORDER BY ts_ms) = 1""",
+        "cached_confidence": f"""WITH ch AS (SELECT * FROM ({ch})), c AS (SELECT 'e' || p AS element_id, type, v AS variant_index, CASE WHEN (v + length(type)) % 4 <> 0 THEN (length(type) * 3 + v - 20 * p) / 10.0::DOUBLE END AS stated, 'help ' || v AS help
+              FROM range(0, 3) a(p), range(3) b(v), (VALUES ('RAGE_CLICK'), ('LOOP'), ('LONG_DWELL'), ('JS_ERROR'), ('SILENT_FAIL'), ('DEAD_CLICK')) t(type) WHERE p IN (SELECT p_partkey FROM part))
+            SELECT session_id, ch.element_id, ch.type, ch.variant_index, CASE WHEN stated IS NULL THEN confidence ELSE greatest(0.0::DOUBLE, least(0.99::DOUBLE, stated)) END AS confidence, help AS cached_help
+            FROM ch LEFT JOIN c ON c.element_id = ch.element_id AND c.type = ch.type AND c.variant_index = ch.variant_index""",
+        "template_roles": f"""WITH p AS (SELECT p_partkey AS page_id, p_size AS n, CAST(p_partkey % {len(TEMPLATE_BUTTONS)} AS INTEGER) + 1 AS nth FROM part),
+            b AS (SELECT page_id, 'button' AS tag, {list(TEMPLATE_BUTTONS)}[nth] AS label, CASE WHEN n % 4 = 1 THEN 'TOGGLE' ELSE {str(list(TEMPLATE_ROLES)).replace("None", "NULL")}[nth] END AS semantic_role FROM p
+              UNION ALL SELECT page_id, 'a', 'x', 'EXPAND' FROM p UNION ALL SELECT page_id, 'input', 'Go', 'SUBMIT' FROM p)
+            SELECT *, coalesce(semantic_role IN ('DANGER', 'DELETE', 'LOGOUT'), false) AS destructive FROM b""",
         "sampled_events": """WITH k AS (SELECT o_orderkey AS key, CASE WHEN o_orderstatus = 'P' THEN 'CLICK' WHEN o_orderkey % 11 = 0 THEN 'JS_ERROR' WHEN o_orderkey % 11 = 1 THEN 'HOVER' ELSE 'CUSTOM' END AS event_type FROM orders),
             e AS (SELECT *, CASE WHEN event_type = 'CUSTOM' THEN ['intervention_shown','intervention_success','intervention_dismissed','other'][key % 4 + 1] END AS m_kind FROM k),
             f AS (SELECT *, event_type = 'JS_ERROR' OR coalesce(m_kind LIKE 'intervention_%', false) AS stays, CAST('0x' || substr(sha256(CAST(key AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM e)
             SELECT "by", event_type, m_kind, count(*) AS n, CAST(sum(key) AS BIGINT) AS keys FROM (
               SELECT 'rate' AS "by", * FROM f WHERE stays OR u < CASE event_type WHEN 'CLICK' THEN 0.25 WHEN 'HOVER' THEN 1.0 ELSE 0.1 END
               UNION ALL SELECT 'condition', * FROM f WHERE stays OR key % 5 = 0) GROUP BY 1, 2, 3""",
-        "dispatch_context": f"""WITH d AS (SELECT * FROM ({all_rules}) WHERE type IN ({few})), ev AS ({E} SELECT * FROM e), last AS (SELECT session_id, coalesce(arg_max(route, seq) FILTER (et = 'NAVIGATION'), arg_min(route, seq)) AS route FROM ev GROUP BY 1),
+        "dispatch_context": f"""WITH d AS (SELECT * FROM ({all_rules})), ev AS ({E} SELECT * FROM e), last AS (SELECT session_id, coalesce(arg_max(route, seq) FILTER (et = 'NAVIGATION'), arg_min(route, seq)) AS route FROM ev GROUP BY 1),
             t AS (SELECT session_id, 'At ' || arg_max(route, seq) AS title FROM ev WHERE et = 'CLICK' GROUP BY 1),
-            sem AS (SELECT 'e' || (o_custkey % 50) AS element_id, arg_max(o_orderpriority, (o_orderdate, o_orderpriority)) AS intent FROM orders GROUP BY 1)
-            SELECT d.session_id, d.element_id, type, severity, ts_ms, p_name AS label, CASE WHEN p_size < 25 THEN 'SUBMIT' END AS role, p_type AS validation, intent, route, coalesce(t.title, n_name) AS page_title, 'p' || n_regionkey AS route_purpose
+            so AS (SELECT 'e' || (o_custkey % 50) AS element_id, o_orderdate, o_orderpriority, CASE WHEN o_custkey % 50 <> 1 THEN 'N' || (o_custkey % 7) END AS name, 'H' || (o_custkey % 3) AS help FROM orders),
+            sem AS (SELECT element_id, arg_max(o_orderpriority, k) AS intent, arg_max(name, k) AS name, arg_max(help, k) AS help FROM (SELECT *, (o_orderdate, o_orderpriority, coalesce(name, ''), help) AS k FROM so) GROUP BY 1)
+            SELECT d.session_id, d.element_id, type, severity, ts_ms, coalesce(sem.name, p_name) AS label, help AS help_copy, CASE WHEN n_nationkey <> 2 THEN 'stage' || n_regionkey END AS journey_stage, CASE WHEN p_size < 25 THEN 'SUBMIT' END AS role, p_type AS validation, intent, route, coalesce(t.title, n_name) AS page_title, CASE WHEN n_nationkey <> 2 THEN 'p' || n_regionkey END AS route_purpose
             FROM d LEFT JOIN part ON d.element_id = 'e' || p_partkey LEFT JOIN sem ON sem.element_id = d.element_id LEFT JOIN last ON last.session_id = d.session_id LEFT JOIN t ON t.session_id = d.session_id LEFT JOIN nation ON route = '/r' || n_nationkey""",
         "outcome_counters": f"""WITH {INTERVENTIONS}, {OUTCOMES}, a AS (SELECT row_id, count(*) FILTER (kind = 'intervention_shown') AS i, count(*) FILTER (kind = 'intervention_success') AS su, count(*) FILTER (kind = 'intervention_dismissed') AS di FROM oc GROUP BY 1)
             SELECT row_id, impressions + coalesce(i, 0) AS impressions, successes + coalesce(su, 0) AS successes, dismissals + coalesce(di, 0) AS dismissals,
@@ -288,7 +327,7 @@ def oracle_sql() -> dict[str, str]:
         "remapped": """SELECT 'o' || c_nationkey AS org, 'e' || c_custkey AS id, c_name AS label FROM customer WHERE c_nationkey < 10
             UNION ALL SELECT 'o' || s_nationkey, 'e' || s_suppkey, s_name FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_nationkey < 10)""",
         "recent_activity": E + f" SELECT count(*) FILTER (ms > {NOW - 1_000}) AS events_hour, count(*) FILTER (ms > {NOW - 24_000}) AS events_day, count(DISTINCT session_id) FILTER (ms > {NOW - 1_000}) AS sessions_hour, count(DISTINCT session_id) FILTER (ms > {NOW - 24_000}) AS sessions_day FROM e",
-        "baselines_since": E + f" SELECT el AS element_id, CAST(count(DISTINCT session_id) AS INTEGER) AS sample_size FROM e WHERE el IS NOT NULL AND ms >= {SINCE} GROUP BY 1 HAVING count(*) >= 30 AND count(DISTINCT session_id) >= 3",
+        "baselines_since": E + f", es AS (SELECT * FROM e WHERE ms >= {SINCE})" + re.sub(r"\b(FROM|JOIN) e\b", r"\1 es", engine_queries.oracle_sql()["baselines"][len(E) :]),
         "form_elements": FORM_ELEMENTS,
         "custom_elements": "SELECT p_partkey AS page_id, 'div[custom-0]' AS descriptor, 'div' AS tag, 'T' AS label, NULL AS handler, '/h' AS route_target, 'htmx' AS tags FROM part UNION ALL SELECT p_partkey, 'span[custom-1]', 'span', NULL, 'open = true', NULL, 'alpine-or-vue' FROM part",
         "crawl_modes": r"""SELECT page_id, CAST(n AS INTEGER) AS elements, CASE WHEN n < 3 OR n < 4 AND (regexp_matches(html, '(?i)<div[^>]+id=["''](?:root|app|__next|svelte)["'']') OR regexp_matches(html, '(?i)<script[^>]+type=["'']module["'']')) THEN 'headless' ELSE 'http' END AS mode

@@ -38,7 +38,7 @@ class Recent(StatefulProcessor):
         self.handle = handle
         self.events = handle.getListState("events", self.schema)
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows), ignore_index=True)[self.columns]
         since = int(new["ms"].max()) - self.look_back_ms
         named = set(zip(new["ms"], new["seq"]))
@@ -52,14 +52,14 @@ class Recent(StatefulProcessor):
             self.events.put(stay)
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
-            self.handle.registerTimer(max(max(r[at] for r in stay) + self.look_back_ms, timers.getCurrentWatermarkInMs() + 1))
+            self.handle.registerTimer(max(max(r[at] for r in stay) + self.look_back_ms, timerValues.getCurrentWatermarkInMs() + 1))
         else:
             self.events.clear()
         yield pd.DataFrame(old + here, columns=self.columns).assign(fresh=[False] * len(old) + [True] * len(here))
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.events.clear()
-        yield pd.DataFrame({c: [] for c in [*self.columns, "fresh"]})
+        return iter([])
 
     def close(self) -> None:
         pass
@@ -83,15 +83,16 @@ def earlier(spark: SparkSession, at: str, schema: str, number: int) -> DataFrame
     return spark.read.schema(f"{schema}, hot_batch long").parquet(at).where(F.col("hot_batch") != number).drop("hot_batch")
 
 
-def hot_batch(rows: DataFrame, number: int, at: str, stats: DataFrame, baselines: DataFrame | None = None, **guards) -> None:
-    """Detect and dispatch for one batch of with_recent(). guards: denied, roles, paused, safe_mode of dispatch()."""
+def hot_batch(rows: DataFrame, number: int, at: str, stats: DataFrame, baselines: DataFrame | None = None, look_back_ms: int = LOOK_BACK_MS, **guards) -> None:
+    """Detect and dispatch for one batch of with_recent(). A struggle is new unless another batch found it within the look-back
+    before the first of these rows. guards: denied, roles, paused, safe_mode of dispatch()."""
     spark = rows.sparkSession
     seen = rows.select(*EVENT_COLUMNS)
     since = rows.agg(F.min("ms")).first()[0]
     if since is None:
         return
     found = detect(seen, baselines=baselines).select("session_id", "element_id", "type", "severity", "ts_ms")
-    new = unseen_struggles(found, earlier(spark, f"{at}/struggles", STRUGGLES, number), since)
+    new = unseen_struggles(found, earlier(spark, f"{at}/struggles", STRUGGLES, number), since - look_back_ms)
     new.write.mode("overwrite").parquet(f"{at}/struggles/hot_batch={number}")
     new = spark.read.schema(STRUGGLES).parquet(f"{at}/struggles/hot_batch={number}")
     shown = earlier(spark, f"{at}/interventions", INTERVENTIONS, number).select("tracking_id")
@@ -105,7 +106,7 @@ def hot_path(events: DataFrame, at: str, checkpoint: str, stats: DataFrame, look
 
     def act(batch: DataFrame, number: int) -> None:
         batch.persist()
-        hot_batch(batch, number, at, stats, baselines, **guards)
+        hot_batch(batch, number, at, stats, baselines, look_back_ms, **guards)
         batch.unpersist()
 
     return with_recent(events, look_back_ms, kept).writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -26,10 +26,13 @@ def digests(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def places(digest: np.ndarray, bits: int) -> np.ndarray:
-    """The bits of each digest, by double hashing."""
+    """The bits of each digest, by double hashing with both halves of its mixture: the digests of a slot have equal low bits."""
     h = digest.view(np.uint64)
-    step = (h * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    return ((h[:, None] ^ (h[:, None] >> np.uint64(32))) + np.arange(PROBES, dtype=np.uint64) * step[:, None]) % np.uint64(bits)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    h = h ^ (h >> np.uint64(31))
+    first, step = h >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+    return (first[:, None] + np.arange(PROBES, dtype=np.uint64) * step[:, None]) % np.uint64(bits)
 
 
 def filters(keys: DataFrame) -> DataFrame:

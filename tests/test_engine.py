@@ -14,7 +14,8 @@ from friction.operators.dispatch import counters, choose, dispatch, last_titles,
 from friction.operators.html_map import elements, metadata
 from friction.operators.ingest import demo_events, event_batches, first_by_key, sampled, throttled, unseen_struggles, validated
 from friction.schema import EVENT_COLUMNS
-from friction.streaming.rage import observe, rage_clicks, store_once, timed
+from friction.streaming.rage import observe, rage_clicks, timed
+from friction.streaming.store import store_once
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUICK = ["friction_table", "flow_map", "baselines", "last_routes", "usage", "store_once", "history", "element_map", "page_metadata", "scrub", "java_hash", "choose_variant", "detect_all", "rule_hover_hunt", "rule_rapid_scroll"]
@@ -192,7 +193,7 @@ def test_a_repeated_batch_adds_nothing(spark, tmp_path):
     spark.createDataFrame([row(1, 10), row(None, 20), row(1, 10)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     for run in "ab":
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        store_once(stream, str(tmp_path / "table"), str(tmp_path / run), ["seq"], ["ms"], look_back_ms=1000).awaitTermination()
+        store_once(stream, str(tmp_path / "table"), str(tmp_path / run), ["seq"], ["ms"]).awaitTermination()
         assert sorted(r.ms for r in spark.read.parquet(str(tmp_path / "table")).collect()) == [10, 20]
 
 

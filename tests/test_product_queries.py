@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from friction.plans import engine_queries, product_queries, rule_queries, service_queries, wire_queries
+from friction.plans import engine_queries, product_queries, rule_queries, service_queries, stream_queries, wire_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 
@@ -19,8 +19,8 @@ def duck(sf):
 
 ENGINE = ("element_map", "page_metadata", "choose_variant", "choose_variant_exploring", "dispatch", "detect_adaptive", "detect_adaptive_dense")
 RULES = ("detect_all", "detect_dense", "rule_thrash", "rule_backtrack", "rule_hover_hunt", "rule_rapid_scroll", "rule_scroll_overshoot")
-QUERIES = product_queries.queries() | service_queries.queries() | wire_queries.queries() | {k: engine_queries.queries()[k] for k in ENGINE} | {k: rule_queries.queries()[k] for k in RULES}
-SQL = product_queries.oracle_sql() | service_queries.oracle_sql() | wire_queries.oracle_sql() | {k: engine_queries.oracle_sql()[k] for k in ENGINE} | {k: rule_queries.oracle_sql()[k] for k in RULES}
+QUERIES = product_queries.queries() | service_queries.queries() | wire_queries.queries() | stream_queries.queries() | {k: engine_queries.queries()[k] for k in ENGINE} | {k: rule_queries.queries()[k] for k in RULES}
+SQL = product_queries.oracle_sql() | service_queries.oracle_sql() | wire_queries.oracle_sql() | stream_queries.oracle_sql() | {k: engine_queries.oracle_sql()[k] for k in ENGINE} | {k: rule_queries.oracle_sql()[k] for k in RULES}
 
 
 def plain(v):
