@@ -13,7 +13,8 @@ shingles as well, and if these too leave more than e empty, one for each that is
 Signatures travel packed, by bucket. A bucket's task finds those that several sets share; where many have the same members,
 once. Those of common shingles alone may be shared by any number of sets: they are cut into slices and pass through.
 
-Sets that share a signature are candidates. Each is first compared with the set at the centre of such a group, and linked
+Linked sets agree on all partitions but k, so a set that shares fewer signatures of a band than that has no partner in it and
+goes. The others that share one are candidates. Each is first compared with the set at the centre of such a group, and linked
 sets become components; a group within one component has nothing left to compare. In the others, members of the largest
 component meet the rest, in cells of bounded size. A link is always the similarity of the whole sets. Tasks return stars.
 """
@@ -41,14 +42,19 @@ RATIO, SPARE, LEAST = 1.4, 0.15, 4
 #: Part of the documents that share a common shingle, and how many such are left out at most.
 OFTEN, COMMON = 1 / 500, 1_000_000
 #: Shingles or signatures that a task holds before it hands them over, signatures in a bucket, sets in a slice, rows and
-#: bytes of shingles on a side of a cell, bytes of a task.
-HELD, BUCKET, SLICE, CELL, CELL_BYTES, TASK_BYTES = 2_000_000, 4_000_000, 1_000_000, 512, 16 << 20, 32 << 20
-#: Rounds of stars at most before the rest is compared in cells.
-STARS = 4
+#: bytes of shingles on a side of a cell, bytes of a task, sets that one is compared with at a time, and bytes of a
+#: text that are hashed together.
+HELD, BUCKET, SLICE, CELL, CELL_BYTES, TASK_BYTES, STEP, STEP_BYTES = 2_000_000, 1_500_000, 1_000_000, 4096, 32 << 20, 64 << 20, 512, 1 << 20
+#: Rounds in which sets with too few shared signatures go; rounds of stars at most before the rest is compared in cells, the
+#: part of what is outside of the largest components that a round may leave for another to follow, and members of all groups
+#: for which there is none; rows of the groups of a task.
+PEELS, STARS, STALLS, SMALL, GROUPED = 2, 5, 0.7, 20_000, 32_768
 
 EDGES = [LEAST]
 while EDGES[-1] < 1 << 40:
     EDGES.append(int(EDGES[-1] * RATIO) + 1)
+#: A set in a band: fp, shingles, band, signatures that it shares with each partner.
+ENTRY = np.dtype([("fp", "<i8"), ("n", "<i4"), ("tag", "<i2"), ("need", "<i4")])
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,31 +65,44 @@ def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class Words(dict):
-    """Hashes of the words that a task met; none is lost when it is cleared."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
-        return h
-
-
-WORDS = Words()
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A hash of each word: the sum of the hashes of its bytes with their places."""
+    b = np.frombuffer(data, np.uint8)
+    space = _SPACE[b]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    starts = np.flatnonzero(begins)
+    out, before = np.zeros(len(starts), np.uint64), -1
+    for a in range(0, len(b) if len(starts) else 0, STEP_BYTES):  # of a very long text, or word, one block after the other
+        here = slice(a, a + STEP_BYTES)
+        word = np.cumsum(begins[here]) + before
+        before = int(word[-1])
+        place = np.arange(a, a + len(word)) - starts[np.maximum(word, 0)]
+        h = mixed((b[here].astype(np.int64) + (place << 8)).view(np.uint64), 11)
+        h[space[here]] = 0
+        edges = np.flatnonzero(begins[here])
+        if (not len(edges) or edges[0]) and word[0] >= 0:
+            edges = np.concatenate(([0], edges))
+        if len(edges):
+            out[word[edges]] += np.add.reduceat(h, edges)
+    return out
 
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of all word shingles; a text of fewer words is one shingle, one without words has none."""
-    words = text.encode("utf-8", "replace").lower().split() if text else []  # of bytes: both know ASCII only
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(WORDS) > 1 << 20:
-        WORDS.clear()
-    h = np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
-    width = min(SHINGLE, len(words))
-    n = len(words) - width + 1
+    h = word_hashes(text.encode("utf-8", "replace").lower()) if text else np.zeros(0, np.uint64)  # bytes: lower() knows ASCII only
+    if not len(h):
+        return h
+    width = min(SHINGLE, len(h))
+    n = len(h) - width + 1
     out = np.full(n, width, np.uint64)
     for i in range(width):
         out = out * _M1 + h[i : i + n]
-    return np.unique(mixed(out))
+    out = np.sort(mixed(out))
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def partitions(tag: int) -> tuple[int, int]:
@@ -101,6 +120,8 @@ def bands_of(n: int) -> list[int]:
 
 def contents(s: np.ndarray, common: np.ndarray, tag: int, n1: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Partitions that hold something, a hash of what, and whether all of it is common."""
+    if not len(s):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     h = mixed(s, tag + 1)
     part = (h >> np.uint64(32)).astype(np.int64) % n1
     order = np.argsort(part, kind="stable")
@@ -109,27 +130,33 @@ def contents(s: np.ndarray, common: np.ndarray, tag: int, n1: int) -> tuple[np.n
     return held[starts], np.add.reduceat(mixed(h, 7)[order], starts), np.minimum.reduceat(common[order], starts)
 
 
-def signatures(s: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a sorted set, and whether each is of common shingles alone. common: sorted."""
+def signatures(s: np.ndarray, common: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Of a sorted set, for each of its bands: the band, how many signatures it shares with each set that it is linked with
+    there, the signatures, and whether each is of common shingles alone. common: sorted."""
     if len(s) < LEAST:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
+        return []
     at = np.minimum(np.searchsorted(common, s), max(0, len(common) - 1))
     often = common[at] == s if len(common) else np.zeros(len(s), bool)
-    rare, sigs, hot = s[~often], [], []
+    rare, out = s[~often], []
     for tag in bands_of(len(s)):
         n1, spare = partitions(tag)
-        for members, which in ((rare, np.zeros(len(rare), bool)), (s, often)):
-            parts, held, all_common = contents(members, which, tag, n1) if len(members) else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))
+        parts, held, _ = contents(rare, np.zeros(len(rare), bool), tag, n1)
+        sigs, hot, need = [mixed(held + parts.astype(np.uint64) * _M1, tag + 1)], [np.zeros(len(parts), bool)], 1
+        if n1 - len(parts) <= spare:
+            # linked sets differ in so many shingles at most; they agree on all other partitions, of which these are not empty
+            differ = (len(s) + min(5 * len(s) // 4, EDGES[tag + 1] - 1)) // NINTH
+            need = len(parts) - differ
+        else:
+            parts, held, all_common = contents(s, often, tag, n1)
             sigs.append(mixed(held + parts.astype(np.uint64) * _M1, tag + 1))
             hot.append(all_common)
-            if n1 - len(parts) <= spare:
-                break
-        else:
-            empty = np.setdiff1d(np.arange(n1), parts).astype(np.uint64)
-            sigs.append(mixed(empty * _M1, tag + 1))
-            hot.append(np.ones(len(empty), bool))
-    found, first = np.unique(np.concatenate(sigs), return_index=True)
-    return found, np.concatenate(hot)[first]
+            if n1 - len(parts) > spare:
+                empty = np.setdiff1d(np.arange(n1), parts).astype(np.uint64)
+                sigs.append(mixed(empty * _M1, tag + 1))
+                hot.append(np.ones(len(empty), bool))
+        found, first = np.unique(np.concatenate(sigs), return_index=True)
+        out.append((tag, need, found, np.concatenate(hot)[first]))
+    return out
 
 
 def name_of(s: np.ndarray) -> int:
@@ -182,13 +209,14 @@ def common_shingles(prints: DataFrame, sets: int) -> np.ndarray:
 
 
 def packed_signatures(docs: DataFrame, common, buckets: int, slices: int) -> DataFrame:
-    """bucket, sigs, at, fps, sizes, hot: signatures of a bucket, the set of each as a place in fps, and which are common."""
+    """bucket, sigs, at, sets, hot: signatures of a bucket, the place in `sets` (fp, size, band, need) of the set that has
+    each, and which are common."""
 
     def pack(held) -> list:
-        fps, sizes = np.array([f for f, *_ in held], np.int64), np.array([n for _, n, *_ in held], np.int64)
-        sigs, hot = np.concatenate([x for _, _, x, _ in held]), np.concatenate([x for *_, x in held])
-        at = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for _, _, x, _ in held])
-        piece = np.where(hot, fps[at].view(np.uint64) % np.uint64(slices), 0).astype(np.uint64)
+        sets = np.array([h[:4] for h in held], ENTRY)
+        sigs, hot = np.concatenate([h[4] for h in held]), np.concatenate([h[5] for h in held])
+        at = np.repeat(np.arange(len(held), dtype=np.int32), [len(h[4]) for h in held])
+        piece = np.where(hot, sets["fp"][at].astype(np.uint64) % np.uint64(slices), 0).astype(np.uint64)
         bucket = (mixed(sigs + piece * _M3, 3) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True])))
@@ -196,12 +224,13 @@ def packed_signatures(docs: DataFrame, common, buckets: int, slices: int) -> Dat
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             own = order[a:b]
             used, place = np.unique(at[own], return_inverse=True)
-            out.append((int(bucket[own[0]]), sigs[own].tobytes(), place.astype(np.int32 if len(used) > 65_536 else np.uint16).tobytes(), fps[used].tobytes(), sizes[used].tobytes(), np.packbits(hot[own]).tobytes()))
+            wide = np.int32 if len(used) > 65_536 else np.uint16
+            out.append((int(bucket[own[0]]), sigs[own].tobytes(), place.astype(wide).tobytes(), sets[used].tobytes(), np.packbits(hot[own]).tobytes()))
         return out
 
     def run(batches):
         seen, held, size, often = set(), [], 0, common.value
-        names = ["bucket", "sigs", "at", "fps", "sizes", "hot"]
+        names = ["bucket", "sigs", "at", "sets", "hot"]
         rows = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 0 else pa.binary()) for k, c in enumerate(zip(*pack(held)))], names)
         for batch in batches:
             for text in batch.column("text"):
@@ -210,43 +239,60 @@ def packed_signatures(docs: DataFrame, common, buckets: int, slices: int) -> Dat
                 if len(s) < LEAST or fp in seen:
                     continue
                 seen.add(fp)
-                sigs, hot = signatures(s, often)
-                held.append((fp, len(s), sigs, hot))
-                size += len(sigs)
+                for tag, need, sigs, hot in signatures(s, often):
+                    held.append((fp, len(s), tag, need, sigs, hot))
+                    size += len(sigs)
                 if size > HELD:
                     yield rows()
                     held, size = [], 0
         if held:
             yield rows()
 
-    return docs.select("text").mapInArrow(run, "bucket long, sigs binary, at binary, fps binary, sizes binary, hot binary")
+    return docs.select("text").mapInArrow(run, "bucket long, sigs binary, at binary, sets binary, hot binary")
 
 
 def shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """shard, fp, n: the sets that share a signature of one bucket; groups with the same members once."""
-    sigs, fps, ns, hot = [], [], [], []
+    """shard, fp, n, tag, need, times: the sets that share signatures of one bucket; those with the same members once, with how
+    many they are."""
+    sigs, tables, places, hot, held = [], [], [], [], 0
     for r in pdf.itertuples():
-        own, table = np.frombuffer(r.sigs, np.uint64), np.frombuffer(r.fps, np.int64)
-        at = np.frombuffer(r.at, np.int32 if len(table) > 65_536 else np.uint16)
+        own, table = np.frombuffer(r.sigs, np.uint64), np.frombuffer(r.sets, ENTRY)
         sigs.append(own)
-        fps.append(table[at])
-        ns.append(np.frombuffer(r.sizes, np.int64)[at])
+        tables.append(table)
+        places.append(np.frombuffer(r.at, np.int32 if len(table) > 65_536 else np.uint16).astype(np.int32) + np.int32(held))
         hot.append(np.unpackbits(np.frombuffer(r.hot, np.uint8), count=len(own)).astype(bool))
-    sig, fp, n, hot = map(np.concatenate, (sigs, fps, ns, hot))
-    order = np.lexsort((fp, sig))
-    sig, fp, n, hot = sig[order], fp[order], n[order], hot[order]
-    new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])))  # copies in other tasks
-    sig, fp, n, hot = sig[new], fp[new], n[new], hot[new]
+        held += len(table)
+    table = np.concatenate(tables)
+    _, rank = np.unique(table["fp"], return_inverse=True)  # of each set, that copies in other tasks have too
+    rank = rank.astype(np.int32)
+    sig, at, hot = np.concatenate(sigs), np.concatenate(places), np.concatenate(hot)
+    order = np.lexsort((rank[at], sig))
+    sig, at, hot = sig[order], at[order], hot[order]
+    new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (rank[at[1:]] != rank[at[:-1]])))
+    sig, at, hot = sig[new], at[new], hot[new]
     starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
     size = np.diff(np.concatenate((starts, [len(sig)])))
-    members = mixed(np.add.reduceat(mixed(fp.view(np.uint64), 5), starts), 1) ^ size.astype(np.uint64)
-    cold = np.flatnonzero((size > 1) & ~hot[starts])
-    cold = cold[np.unique(members[cold], return_index=True)[1]]
-    chosen = np.concatenate((cold, np.flatnonzero(hot[starts])))
+    named = mixed(table["fp"].astype(np.uint64), 5)
+    members = mixed(np.add.reduceat(named[at], starts) + table["tag"][at[starts]].astype(np.uint64), 1) ^ size.astype(np.uint64)
+    cold, common = np.flatnonzero((size > 1) & ~hot[starts]), np.flatnonzero(hot[starts])
+    _, first, same = np.unique(members[cold], return_index=True, return_counts=True)
+    chosen, times = np.concatenate((cold[first], common)), np.concatenate((same, np.ones(len(common), np.int64)))
     shard = np.where(hot[starts], sig[starts], members)[chosen].view(np.int64)
     begin = np.cumsum(size[chosen]) - size[chosen]
-    at = np.repeat(starts[chosen] - begin, size[chosen]) + np.arange(int(size[chosen].sum()))
-    return pd.DataFrame({"shard": np.repeat(shard, size[chosen]), "fp": fp[at], "n": n[at]})
+    rows = at[np.repeat(starts[chosen] - begin, size[chosen]) + np.arange(int(size[chosen].sum()))]
+    out = {c: table[c][rows].astype(np.int64) for c in ENTRY.names}
+    return pd.DataFrame({"shard": np.repeat(shard, size[chosen]), **out, "times": np.repeat(times, size[chosen])})
+
+
+def peeled(found: DataFrame) -> DataFrame:
+    """shard, fp, n: the groups of found without the sets that share fewer signatures of a band, with all others together, than
+    with any one that they are linked with. What goes may leave others with too few, so this is done PEELS times."""
+    for _ in range(PEELS):
+        groups = found.groupBy("shard").agg(F.count("*").alias("members")).where("members > 1")
+        mine = Window.partitionBy("fp", "tag")
+        found = lookup(found, written(groups, "groups"), "shard", "members", found.count()).where("members is not null").drop("members")
+        found = written(found.withColumn("has", F.sum("times").over(mine)).where("has >= need").drop("has"), "found")
+    return found.select("shard", "fp", "n")
 
 
 def compare(cells: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
@@ -268,13 +314,17 @@ def compare(cells: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
             i = parent[i]
         return i
 
-    for _, cell in cells.groupby("shard", sort=True):
-        here = place[cell["fp"]].to_numpy()
-        label, a, b = cell["label"].to_numpy(), cell["a"].to_numpy(), cell["b"].to_numpy()
-        left, left_label = here[a], label[a]
-        for i, own in zip(here[b].tolist(), label[b].tolist()):
-            low, high = np.minimum(size[left], size[i]), np.maximum(size[left], size[i])
-            with_whom = left[(left_label != own) & (left != i) & (100 * low >= PERCENT * high)]
+    cells = cells.assign(at=place[cells["fp"]].to_numpy())
+    label = np.zeros(len(sets), np.int64)
+    label[cells["at"]] = cells["label"]
+    groups = {g: x["at"].to_numpy() for g, x in cells[cells["a"]].groupby("shard", sort=False)}
+    for i, mine in cells[cells["b"]].groupby("at", sort=True):
+        # those of all its groups here, each once
+        left = np.unique(np.concatenate([groups[g] for g in mine["shard"] if g in groups] or [np.zeros(0, np.int64)]))
+        left = left[label[left] != label[i]]
+        for at in range(0, len(left), STEP):
+            with_whom = left[at : at + STEP]
+            with_whom = with_whom[100 * np.minimum(size[with_whom], size[i]) >= PERCENT * np.maximum(size[with_whom], size[i])]
             if not len(with_whom):
                 continue
             mine = ids[start[i] : start[i] + size[i]]
@@ -306,8 +356,9 @@ def chunks(rows: Column, size: Column) -> Column:
     return F.greatest(F.ceil(rows / CELL), F.ceil(size * 8 / CELL_BYTES), F.lit(1)).cast("long")
 
 
-def tasks_for(size: int) -> int:
-    return max(1, -(-8 * (size or 0) // TASK_BYTES))
+def tasks_for(rows: int | None, size: int | None) -> int:
+    """Tasks for so many members of groups with so many shingles; most sets are in several groups of a task."""
+    return max(1, -(-(rows or 0) // GROUPED), -(-8 * (size or 0) // TASK_BYTES))
 
 
 def star_cells(members: DataFrame) -> DataFrame:
@@ -321,7 +372,7 @@ def star_cells(members: DataFrame) -> DataFrame:
     hubs = pairs.groupBy("hub").agg(F.count("*").alias("rows"), F.sum("n").alias("size"), F.any_value("hub_n").alias("hub_n"), F.any_value("hub_label").alias("hub_label"))
     hubs = written(hubs.select("hub", "rows", "size", "hub_n", "hub_label", chunks(F.col("rows"), F.col("size")).alias("cut")), "hubs")
     total = hubs.agg(F.sum("size") + F.sum("hub_n"), F.sum("rows")).first()
-    one = F.pmod(F.xxhash64("hub"), F.lit(tasks_for(total[0])))
+    one = F.pmod(F.xxhash64("hub"), F.lit(tasks_for(total[1], total[0])))
     key = [(F.col("cut") > 1).alias("alone"), F.when(F.col("cut") > 1, F.col("hub")).otherwise(one).alias("task")]
     left = lookup(pairs.select("fp", "label", "hub"), hubs.select("hub", "rows", "cut"), "hub", "rows", total[1] or 0)
     left = left.select(*key, F.pmod(F.xxhash64("fp"), F.col("cut")).alias("part"), F.col("hub").alias("shard"), "fp", "label", F.lit(True).alias("a"), F.lit(False).alias("b"))
@@ -329,13 +380,13 @@ def star_cells(members: DataFrame) -> DataFrame:
     return left.unionByName(right)
 
 
-def rest_cells(members: DataFrame, total: int) -> DataFrame:
+def rest_cells(members: DataFrame, tasks: int) -> DataFrame:
     """All pairs of different labels in each group: its sets in `cut` chunks against those outside its largest component in
-    `cut_b` ones. members: shard, fp, n, label, main, low, cut, cut_b. total: shingles of all."""
+    `cut_b` ones. members: shard, fp, n, label, main, low, cut, cut_b. tasks: for the groups of one cell."""
     number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     other = F.col("label") != F.col("main")
     alone = (F.col("cut") > 1) | (F.col("cut_b") > 1)
-    key = [alone.alias("alone"), F.when(alone, F.col("shard")).otherwise(F.pmod(F.xxhash64("low"), F.lit(tasks_for(total)))).alias("task")]
+    key = [alone.alias("alone"), F.when(alone, F.col("shard")).otherwise(F.pmod(F.xxhash64("low"), F.lit(tasks))).alias("task")]
     a = F.pmod(F.xxhash64("fp"), F.col("cut"))
     b = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("cut_b"))
     left = members.select("*", number(F.col("cut_b")).alias("j")).select(*key, (a * F.col("cut_b") + F.col("j")).alias("part"), "shard", "fp", "label", F.lit(True).alias("a"), F.lit(False).alias("b"))
@@ -345,7 +396,7 @@ def rest_cells(members: DataFrame, total: int) -> DataFrame:
 
 def roots_of(found: DataFrame, sets: DataFrame) -> DataFrame:
     """node, root of the sets that are linked with a smaller one. found: shard, fp, n of groups that share a signature."""
-    edges, roots, turn = None, None, 0
+    edges, roots, turn, before = None, None, 0, 0
     while True:
         if roots is None:
             rows = found.withColumn("label", F.col("fp"))
@@ -362,13 +413,16 @@ def roots_of(found: DataFrame, sets: DataFrame) -> DataFrame:
             groups = groups.where("members > 2")  # both sets of a pair have met
         others, size_b = F.col("members") - F.col("main.m"), F.col("size") - F.col("main.size")
         groups = groups.select("shard", "members", "size", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.label").alias("hub_label"), F.col("main.label").alias("main"), "low", chunks(F.col("members"), F.col("size")).alias("cut"), chunks(others, size_b).alias("cut_b"), others.alias("others"))
+        per_low = groups.groupBy(F.col("low").alias("of_low")).agg(F.greatest(F.ceil(F.sum("members") / GROUPED), F.ceil(F.sum("size") * 8 / TASK_BYTES)).cast("long").alias("pieces"))
+        groups = groups.join(per_low, F.col("low") == F.col("of_low")).withColumn("low", F.struct("low", F.pmod(F.xxhash64("shard"), F.col("pieces")).alias("piece"))).drop("of_low", "pieces")
         groups = written(groups, "groups")
-        m, handed, size = groups.agg(F.sum("members"), F.sum(F.col("members") * F.col("cut_b") + F.col("others") * F.col("cut")), F.sum("size")).first()
+        m, left, size = groups.agg(F.sum("members"), F.sum("others"), F.sum("size")).first()
         if not m:
             return roots if roots is not None else found.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
         members = lookup(rows, groups, "shard", "members", m).where("hub is not null")
-        last = turn > 0 and (turn >= STARS or handed <= 2 * m)
-        more = linked(rest_cells(members, size) if last else star_cells(members), sets)
+        last = turn > 0 and (turn >= STARS or left > STALLS * before or m <= SMALL)
+        before = left
+        more = linked(rest_cells(members, tasks_for(m, size)) if last else star_cells(members), sets)
         edges = more if edges is None else edges.unionByName(more)
         roots = written(components(edges), "roots")
         if last:
@@ -393,7 +447,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     common = spark.sparkContext.broadcast(common_shingles(prints, distinct))
     buckets = max(1, -(-(size or 0) * 6 // 10 // BUCKET))
     packed = packed_signatures(docs, common, buckets, max(1, -(-distinct // SLICE)))
-    found = written(packed.groupBy("bucket").applyInPandas(lambda pdf: shared(pdf), "shard long, fp long, n long").distinct(), "found")
+    found = packed.groupBy("bucket").applyInPandas(lambda pdf: shared(pdf), "shard long, fp long, n long, tag long, need long, times long")
+    found = peeled(written(found.groupBy("shard", "fp", "n", "tag", "need").agg(F.sum("times").alias("times")), "found"))
     wanted = points.join(found.select(F.col("fp").alias("in_group")).distinct(), F.col("fp") == F.col("in_group"), "left_semi")
     wanted = wanted.select("fp", F.col("best.doc_id").alias("of"), F.col("best.text_hash").alias("of_hash"), F.col("best.text_size").alias("of_size"))
     texts = docs.select("doc_id", "text", *text_key())

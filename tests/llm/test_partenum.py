@@ -90,10 +90,11 @@ def test_similar_sets_share_a_signature():
                 b = np.concatenate((pool[:both], pool[n : n + max(0, int(both / 0.8) - n)]))
             assert 100 * both >= 80 * (len(a) + len(b) - both)
             common = np.sort(rng.choice(pool[:n], rng.integers(0, n + 1), replace=False))
-            x, y = signatures(np.sort(a), common), signatures(np.sort(b), common)
-            assert len(np.intersect1d(x[0], y[0]))
-            hot = [dict(zip(s.tolist(), h.tolist())) for s, h in (x, y)]
-            assert all(hot[0][s] == hot[1][s] for s in np.intersect1d(x[0], y[0]).tolist())
+            x, y = ({t: (need, dict(zip(g.tolist(), h.tolist()))) for t, need, g, h in signatures(np.sort(p), common)} for p in (a, b))
+            band = max(bands_of(len(a))[0], bands_of(len(b))[0])
+            both = x[band][1].keys() & y[band][1].keys()
+            assert len(both) >= max(x[band][0], y[band][0], 1)
+            assert all(x[band][1][g] == y[band][1][g] for g in both)
 
 
 def test_bands_and_partitions():
@@ -106,6 +107,17 @@ def test_bands_and_partitions():
             assert n1 - spare > (n + m) // 9 or n > 999
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 1 << 20])
+def test_words_across_blocks(monkeypatch, block):
+    text = b"  one two\tthree one\n\n a  bb ab ba " + b"long" * 20 + b" one"
+    whole = partenum.word_hashes(text).tolist()
+    monkeypatch.setattr(partenum, "STEP_BYTES", block)
+    assert partenum.word_hashes(text).tolist() == whole
+    words = text.split()
+    assert len(whole) == len(words) and len(set(whole)) == len(set(words))
+    assert all((x == y) == (u == v) for x, u in zip(whole, words) for y, v in zip(whole, words))
+
+
 def test_shingles_are_of_whole_words():
     assert len(shingles("a b c d e a b c d e a b c d e")) == 5
     assert len(shingles("a  b\tc")) == 1 and (shingles("a b c") == shingles("A B\nC")).all()
