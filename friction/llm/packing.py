@@ -4,8 +4,8 @@ its contents.
 Lengths are tokens: whole documents are encoded once, and those beyond the longest capacity are cut into pieces, none is
 dropped. A hash deals the pieces out to cells of bounded size that are packed independently; pieces of bins that stay too
 empty meet others in the cells of the next round, until one cell is left or a round closes too few: then every bin closes.
-A cell holds about CELL pieces in any round. Only numbers are packed; the tokens wait in the table of pieces and join
-their places at the end.
+A cell holds about CELL pieces in any round. Only numbers are packed; the tokens, as bytes, wait in the table of pieces and
+join their places at the end.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from friction.llm.common import written
-from friction.llm.token_counts import VOCABULARY, encoding
+from friction.llm.token_counts import VOCABULARY, encoded, vocabulary
 
 CAPACITIES = (256, 512, 1024, 2048)
 #: Cost of a bin besides its capacity; pieces in a cell; the part of a bin that must be used for it to close early; the
@@ -74,40 +74,47 @@ def packer(capacities: tuple[int, ...], overhead: int, last: bool, level: int):
     return pack
 
 
+def id_type(path: str) -> np.dtype:
+    """Little-endian integers that hold every id of the vocabulary: two bytes, or four."""
+    return np.dtype("<u2" if max(vocabulary(path).values()) < 1 << 16 else "<u4")
+
+
 def pieces(docs: DataFrame, top: int, path: str, with_tokens: bool) -> DataFrame:
     """pid, doc_id, piece, start, length: the tokens of each row of docs, cut after every `top` of them; with_tokens: and
-    token_ids. pid is unique and stays what it is in the table that is written."""
+    token_ids, as bytes of id_type(). pid is unique and stays what it is in the table that is written."""
 
-    def handed(doc_ids, took, piece, length, ids):
+    def handed(doc_ids, took, piece, length, ids, wide):
         columns = [doc_ids.take(pa.array(took, pa.int64())), pa.array(piece, pa.int64()), pa.array(np.array(piece, np.int64) * top), pa.array(length, pa.int64())]
         names = ["doc_id", "piece", "start", "length"]
         if with_tokens:
-            ends = np.concatenate(([0], np.cumsum(length, dtype=np.int64))).astype(np.int32)
-            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))))
+            ends = np.concatenate(([0], np.cumsum(length, dtype=np.int64) * wide.itemsize)).astype(np.int32)
+            data = np.concatenate(ids).astype(wide)
+            columns.append(pa.BinaryArray.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(data)]))
             names.append("token_ids")
         return pa.RecordBatch.from_arrays(columns, names)
 
     def cut(batches):
-        encoder, _ = encoding(path)
+        wide = id_type(path)
         for batch in batches:
             doc_ids, took, piece, length, ids = batch.column(0), [], [], [], []
+            held = 0
             for row, text in enumerate(batch.column(1)):
-                text = text.as_py()
-                got = encoder.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
+                got = encoded(text.as_py(), path)
                 for at in range(0, max(1, len(got)), top):
                     took.append(row)
                     piece.append(at // top)
                     length.append(min(top, len(got) - at))
                 if with_tokens:
                     ids.append(got)
-                    if sum(map(len, ids[-64:])) > HANDED // 4 or len(ids) % 4096 == 0:  # large ones leave early
-                        yield handed(doc_ids, took, piece, length, ids)
-                        took, piece, length, ids = [], [], [], []
+                    held += len(got)
+                    if held > HANDED:
+                        yield handed(doc_ids, took, piece, length, ids, wide)
+                        took, piece, length, ids, held = [], [], [], [], 0
             if took:
-                yield handed(doc_ids, took, piece, length, ids)
+                yield handed(doc_ids, took, piece, length, ids, wide)
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece long, start long, length long" + ", token_ids array<int>" * with_tokens)
+    rows = docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece long, start long, length long" + ", token_ids binary" * with_tokens)
     return written(rows.select(F.monotonically_increasing_id().alias("pid"), "*"), "pieces")
 
 
@@ -132,10 +139,10 @@ def placed(rows: DataFrame, capacities: tuple[int, ...], overhead: int) -> DataF
     return out.select("pid", "bin_id", "capacity", "bin_used", "bin_offset")
 
 
-def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, path: str = VOCABULARY, with_tokens: bool = False) -> DataFrame:
+def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, path: str = VOCABULARY, with_tokens: bool = True) -> DataFrame:
     """doc_id, piece, start, length, bin_id, capacity, bin_used, bin_offset: one row for each piece of each row of docs
     (doc_id, text; others ignored). Lengths and places are in tokens of the vocabulary at `path`. with_tokens: and token_ids,
-    the piece itself.
+    the piece itself as bytes, each id an integer of id_type().
 
     A document is one piece unless it is longer than the largest capacity, of which all its pieces but the last then are;
     the token_ids of its pieces in order decode to its text. Null and empty texts are a piece of length 0. Repeated rows and

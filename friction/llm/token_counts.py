@@ -8,6 +8,7 @@ spans of the fields. A token that crosses a boundary goes by an explicit rule.
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -20,24 +21,59 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that goes with the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SEPARATOR = "\n"
+#: Blanks in a row from which they are encoded without the pattern, whose look-ahead fails on a million; fixed value: the
+#: characters that it takes for blanks.
+MANY_BLANKS = 100_000
+BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: first: to the field of the token's first character. majority: to the field with most of its characters, of equals
 #: the first.
 RULES = ("first", "majority")
 
 
+@lru_cache(2)
+def vocabulary(path: str) -> dict[bytes, int]:
+    with open(path) as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
 @lru_cache(2)
 def encoding(path: str):
     """The encoder, and the number of bytes of each token."""
     import tiktoken
 
-    with open(path) as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    ranks = vocabulary(path)
     size = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, rank in ranks.items():
         size[rank] = len(token)
     return tiktoken.Encoding("fields", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), size
 
 
+@lru_cache(2)
+def piece_encoding(path: str):
+    """An encoder that takes any text as one piece of the pattern."""
+    import tiktoken
+
+    return tiktoken.Encoding("piece", pat_str=r"(?s:.+)", mergeable_ranks=vocabulary(path), special_tokens={})
+
+
+def encoded(text: str | None, path: str) -> np.ndarray:
+    """Ids of the tokens of a text.
+
+    In a row of blanks the pattern takes all but the last for one piece, or all of them at the end of the text. Where there
+    are very many, that piece is found here and merged as it is, so that the ids are those of the text encoded whole."""
+    encoder, _ = encoding(path)
+    if not text:
+        return np.zeros(0, np.uint32)
+    if len(text) < MANY_BLANKS:
+        return encoder.encode_to_numpy(text, disallowed_special=())
+    out, at = [], 0
+    for run in re.finditer(f"{BLANK}{{{MANY_BLANKS},}}", text):
+        end = run.end() - (run.end() < len(text))
+        out += [encoder.encode_to_numpy(text[at : run.start()], disallowed_special=()), piece_encoding(path).encode_to_numpy(text[run.start() : end], disallowed_special=())]
+        at = end
+    return np.concatenate([*out, encoder.encode_to_numpy(text[at:], disallowed_special=())])
+
+
 def spans_of(fields: list[str | None], separator: str = SEPARATOR) -> tuple[str, np.ndarray, np.ndarray]:
     """The record, and where each field begins and ends in it, in characters."""
     texts = [f or "" for f in fields]
@@ -50,8 +86,8 @@ def attribute(fields: list[str | None], path: str = VOCABULARY, rule: str = "maj
     """Start, end and tokens of each field, tokens of the separators, and tokens that cross a boundary."""
     record, start, end = spans_of(fields)
     data = record.encode("utf-8", "replace")
-    encoder, size = encoding(path)
-    ids = encoder.encode_to_numpy(data.decode("utf-8"), disallowed_special=())
+    _, size = encoding(path)
+    ids = encoded(data.decode("utf-8"), path)
     after = np.cumsum(size[ids])
     # characters before each byte offset: a character belongs to the token with its first byte
     lead = np.concatenate(([0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)))

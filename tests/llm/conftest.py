@@ -25,7 +25,7 @@ def odd_rows():
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 7)))
     long = " ".join(word() for _ in range(60_000))
     rows = [(1, None, None, None), (2, "", "en", "a"), (3, " \t\n", None, "a"), (4, long, "en", "b"), (5, long, "en", None), (None, "the null id", "en", "a")]
-    rows += [(6, "one word twice", "en", "a"), (6, "one word twice", "en", "a"), (7, "one  word\ntwice", "de", "c"), (8, "1234 !!! 5", "en", "a"), (9, "x" * 30_000, "en", "c"), (10, "Éà ñ ß", None, "é")]
+    rows += [(6, "one word twice", "en", "a"), (6, "one word twice", "en", "a"), (7, "one  word\ntwice", "de", "c"), (8, "1234 !!! 5", "en", "a"), (9, "x" * 30_000, "en", "c"), (10, "Éà ñ ß", None, "é"), (12, "a run" + " \n" * 600_000 + "of blanks\t", "en", "b")]
     rows += [(20 + i, " ".join(word() for _ in range(rnd.randint(1, 60))), rnd.choice(["en", "de"]), rnd.choice(["a", "b", "z"])) for i in range(150)]
     return rows
 

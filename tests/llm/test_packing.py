@@ -1,16 +1,16 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
-from friction.llm import packing
+from friction.llm import packing, registry, token_counts
 from friction.llm.common import read_table
-from friction.llm.packing import CAPACITIES, best_fit, pack, sequences
-from friction.llm.token_counts import VOCABULARY, encoding
+from friction.llm.packing import CAPACITIES, best_fit, id_type, pack, sequences
+from friction.llm.token_counts import MANY_BLANKS, VOCABULARY, encoded, encoding
 
 
 def check(rows, got):
-    encoder, _ = encoding(VOCABULARY)
-    size = {t: len(encoder.encode_ordinary(t)) for t in {t for _, t, *_ in rows if t}}
+    size = {t: len(encoded(t, VOCABULARY)) for t in {t for _, t, *_ in rows if t}}
     covered, bins = defaultdict(list), defaultdict(list)
     for r in got:
         covered[r.doc_id].append((r.start, r.length))
@@ -33,8 +33,9 @@ def decoded(got):
     encoder, _ = encoding(VOCABULARY)
     by = defaultdict(list)
     for r in got:
-        assert len(r.token_ids) == r.length
-        by[r.doc_id].append((r.start, r.token_ids))
+        ids = np.frombuffer(r.token_ids, id_type(VOCABULARY)).tolist()
+        assert len(ids) == r.length
+        by[r.doc_id].append((r.start, ids))
     return {i: encoder.decode([t for _, ids in sorted(p) for t in ids]) for i, p in by.items()}
 
 
@@ -53,6 +54,29 @@ def test_tokens_of_odd_rows(make_docs, odd_rows, monkeypatch):
     assert decoded(got) == {i: t or "" for i, t, *_ in rows}
 
 
+def test_the_query_returns_what_it_packs(spark, sf):
+    got = registry.queries()["op4_best_fit_packing"](spark, sf).collect()
+    assert decoded(got) == {r.doc_id: r.text or "" for r in read_table(spark, sf, "documents").collect()}
+
+
+@pytest.mark.parametrize("limit", [1, 2, 3, 1000])
+def test_rows_of_blanks_are_encoded_as_in_the_whole(monkeypatch, limit):
+    monkeypatch.setattr(token_counts, "MANY_BLANKS", limit)
+    encoder, _ = encoding(VOCABULARY)
+    for blank in (" ", "\n", "\t", " \n", "\r\n", "\u3000", "\xa0 ", "\x1c", "\u200b"):
+        for n in (1, 2, 3, 999, 1000, 1001, 20_000):
+            for text in (blank * n, "a" + blank * n, blank * n + "b's", f"x{blank * n}y\n\n  1,{blank * n}"):
+                assert encoded(text, VOCABULARY).tolist() == encoder.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", " \n\t\r"])
+def test_millions_of_blanks(make_docs, blank):
+    text = "before" + blank * (5_000_000 // len(blank)) + "after it"
+    assert MANY_BLANKS < 5_000_000
+    got = sequences(make_docs([(1, text, "en", "a"), (2, text + blank * 1_000_000, "en", "a")])).collect()
+    assert decoded(got) == {1: text, 2: text + blank * 1_000_000}
+
+
 def test_no_id_is_changed(make_docs):
     """Ids beyond 2**53 beside a null."""
     rows = [(2**53 + 1, "one", "en", "a"), (2**62 + 3, "two", "en", "a"), (None, "three", "en", "a")]

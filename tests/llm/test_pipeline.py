@@ -1,10 +1,12 @@
 from collections import Counter, defaultdict
 
+import numpy as np
+
 import corpus_pipeline
 from friction.llm.common import read_table
 from friction.llm.exact_dedup import exact_dedup
 from friction.llm.mixing import mix
-from friction.llm.packing import pack
+from friction.llm.packing import id_type, pack
 from friction.llm.token_counts import VOCABULARY, encoding
 from friction.llm.near_copies import drop_similar
 from friction.llm.toxicity import toxicity
@@ -35,8 +37,9 @@ def test_sequences_hold_the_text_of_every_document_that_the_mix_took(spark, sf):
     encoder, _ = encoding(VOCABULARY)
     pieces, whole, bins = defaultdict(list), set(), defaultdict(list)
     for r in corpus_pipeline.run(spark, sf).collect():
-        bins[r.bin_id].append((r.bin_offset, len(r.token_ids), r.capacity))
-        pieces[r.doc_id, r.start].append(r.token_ids)
+        ids = np.frombuffer(r.token_ids, id_type(VOCABULARY)).tolist()
+        bins[r.bin_id].append((r.bin_offset, len(ids), r.capacity))
+        pieces[r.doc_id, r.start].append(ids)
     for (i, _), copies in pieces.items():
         assert all(c == copies[0] for c in copies) and len(copies) <= 2
         whole.add(i)
