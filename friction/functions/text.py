@@ -17,8 +17,10 @@ def nfc(texts: pd.Series) -> pd.Series:
 
 
 def label_hash(label: Column) -> Column:
-    """SHA-256 of the composed label, '' without one."""
-    return F.when(F.coalesce(label, F.lit("")) == "", F.lit("")).otherwise(F.sha2(nfc(label), 256))
+    """SHA-256 of the composed label, '' without one. Labels of ASCII are composed as they are: only others go to Python."""
+    plain = label.rlike(r"^[\x00-\x7F]*$")
+    composed = F.when(plain, label).otherwise(nfc(F.when(~plain, label)))
+    return F.when(F.coalesce(label, F.lit("")) == "", F.lit("")).otherwise(F.sha2(composed, 256))
 
 
 def context_hash(parts: dict[str, Column]) -> Column:

@@ -132,9 +132,11 @@ def filtered_friction(detections: DataFrame, labels: DataFrame, kind: str | None
     return friction_table(d, since_ms, limit).join(labels.select("element_id", "label", "route"), "element_id", "left")
 
 
-def flow_nodes(events: DataFrame, oldest: int = 5000) -> DataFrame:
-    """route, node: routes of the oldest navigations, numbered as they first appear in a move to another route."""
-    nav = events.where("event_type = 'NAVIGATION'").orderBy("ms", "seq").limit(oldest)
+def flow_nodes(events: DataFrame, oldest: int | None = None) -> DataFrame:
+    """route, node: routes of all navigations (oldest: of so many of the first), numbered as they first appear in a move to
+    another route. The numbers are given in one task, to one row a route: routes are patterns, and stay few."""
+    nav = events.where("event_type = 'NAVIGATION'")
+    nav = nav if oldest is None else nav.orderBy("ms", "seq").limit(oldest)
     w = Window.partitionBy("session_id").orderBy("ms", "seq")
     moves = nav.select("session_id", "ms", "seq", "route", F.lead("route").over(w).alias("next")).where("route <> next")
     ends = moves.select("session_id", "ms", "seq", F.posexplode(F.array("route", "next")).alias("end", "route"))
@@ -203,3 +205,11 @@ def description_counts(elements: DataFrame, described: DataFrame) -> DataFrame:
     """described, undescribed: elements (element_id) with and without a description."""
     known = elements.select("element_id").distinct().join(described.select("element_id").distinct().withColumn("has", F.lit(True)), "element_id", "left")
     return known.agg(F.count("has").alias("described"), F.count_if(F.col("has").isNull()).alias("undescribed"))
+
+
+def described_elements(elements: DataFrame, semantics: DataFrame) -> DataFrame:
+    """elements (element_id, ...) with what their latest description says (intent, semantic_name, enriched_at), null without one;
+    described ones first, the newest description first."""
+    last = semantics.groupBy("element_id").agg(F.max(F.struct("enriched_at", "intent", "semantic_name")).alias("s"))
+    out = elements.join(last, "element_id", "left").select(*elements.columns, "s.enriched_at", "s.intent", "s.semantic_name")
+    return out.orderBy(F.desc_nulls_last("enriched_at"), "element_id")

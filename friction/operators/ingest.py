@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -169,12 +170,22 @@ def without_types(events: DataFrame, disabled: list[str]) -> DataFrame:
 def throttled(events: DataFrame, event_type: str = "SCROLL", gap_ms: int = 200) -> DataFrame:
     """Events of a type of which one follows the one kept before it by gap_ms at least; others stay.
 
-    What is kept depends on what was kept, so a session's times are folded in order, once for each session."""
-    times = F.array_sort(F.collect_list(F.struct("ms", "seq")))
-    kept = F.aggregate(times, F.array().cast("array<struct<ms:bigint,seq:bigint>>"), lambda a, x: F.when((F.size(a) > 0) & (x["ms"] - F.try_element_at(a, F.lit(-1))["ms"] < gap_ms), a).otherwise(F.concat(a, F.array(x))))
+    What is kept depends on what was kept, so a session's events pass a task in order, a batch at a time, and all that the task
+    remembers is the last one kept."""
+
+    def greedy(batches):
+        before, last = None, None
+        for batch in batches:
+            keep = []
+            for session, ms in zip(batch.column("session_id").to_pylist(), batch.column("ms").to_pylist()):
+                keep.append(last is None or session != before or ms - last >= gap_ms)
+                if keep[-1]:
+                    before, last = session, ms
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
     mine = events.where(F.col("event_type") == event_type)
-    keep = mine.groupBy("session_id").agg(kept.alias("kept")).select("session_id", F.explode("kept.seq").alias("seq"))
-    return events.where(F.col("event_type") != event_type).unionByName(mine.join(keep, ["session_id", "seq"], "left_semi").select(*events.columns))
+    kept = mine.repartition("session_id").sortWithinPartitions("session_id", "ms", "seq").mapInArrow(greedy, mine.schema)
+    return events.where(F.col("event_type") != event_type).unionByName(kept)
 
 
 def metered(usage: DataFrame, bumps: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def queries() -> dict:
         "ingest_counts": lambda s, d: ingest.counted(e(s, d), ingest.first_by_key(ingest.storable(e(s, d)), ["session_id", "route"], ["ms", "seq"])),
         "relative_time": lambda s, d: table(s, d, "customer").select("c_custkey", text.relative_time(F.col("c_custkey") * 211).alias("age")),
         "humanised": lambda s, d: found(s, d).groupBy("type").agg(F.count("*").alias("n")).select(text.humanised(F.col("type")).alias("kind"), "n"),
-        "label_hash": lambda s, d: table(s, d, "part").select("p_partkey", text.label_hash(F.col("p_name")).alias("h"), text.masked(F.col("p_brand")).alias("masked"), text.form_factor(F.col("p_size") * 40).alias("form_factor")),
+        "label_hash": lambda s, d: table(s, d, "part").select("p_partkey", text.label_hash(F.when(F.col("p_size") % 3 == 0, F.concat("p_name", F.lit(" e\u0301"), "p_size", F.lit("\u212b"))).otherwise(F.col("p_name"))).alias("h"), text.masked(F.col("p_brand")).alias("masked"), text.form_factor(F.col("p_size") * 40).alias("form_factor")),
         "element_roles": lambda s, d: html_map.elements(table(s, d, "pages")).groupBy("semantic_role", "destructive").agg(F.count("*").alias("n")),
     }
 
@@ -163,6 +163,6 @@ def oracle_sql() -> dict[str, str]:
         "ingest_counts": E + f" SELECT count(DISTINCT (session_id, route)) AS accepted, count(*) - count(DISTINCT (session_id, route)) AS duplicates FROM e WHERE et IN {stored}",
         "relative_time": "SELECT c_custkey, CASE WHEN a < 60 THEN CAST(round(a) AS BIGINT) || 's' WHEN a < 3600 THEN CAST(round(a / 60) AS BIGINT) || 'm' WHEN a < 86400 THEN CAST(round(a / 3600) AS BIGINT) || 'h' ELSE CAST(round(a / 86400) AS BIGINT) || 'd' END || ' ago' AS age FROM (SELECT c_custkey, c_custkey * 211 AS a FROM customer)",
         "humanised": d + " SELECT type[1] || replace(lower(type[2:]), '_', ' ') AS kind, count(*) AS n FROM d GROUP BY 1",
-        "label_hash": "SELECT p_partkey, sha256(p_name) AS h, repeat('•', length(p_brand) - 4) || right(p_brand, 4) AS masked, CASE WHEN p_size * 40 <= 640 THEN 'mobile' WHEN p_size * 40 <= 1024 THEN 'tablet' ELSE 'desktop' END AS form_factor FROM part",
+        "label_hash": "SELECT p_partkey, sha256(CASE WHEN p_size % 3 = 0 THEN nfc_normalize(p_name || ' e\u0301' || p_size || '\u212b') ELSE p_name END) AS h, repeat('•', length(p_brand) - 4) || right(p_brand, 4) AS masked, CASE WHEN p_size * 40 <= 640 THEN 'mobile' WHEN p_size * 40 <= 1024 THEN 'tablet' ELSE 'desktop' END AS form_factor FROM part",
         "element_roles": r"WITH a AS (SELECT unnest(regexp_extract_all(html, '(?i)<a\b[^>]*>')) AS t FROM pages), h AS (SELECT regexp_extract(t, 'href=\"([^\"]*)\"', 1) AS href FROM a) SELECT CASE WHEN href IN ('#help','/help') THEN 'HELP' WHEN href IN ('#search','/search') THEN 'SEARCH' ELSE 'NAV' END AS semantic_role, false AS destructive, count(*) AS n FROM h GROUP BY 1".replace('\\"', '"'),
     }

@@ -9,7 +9,7 @@ import re
 from pyspark.sql import functions as F
 
 from friction.functions import text
-from friction.functions.ids import row_id, tracking_id
+from friction.functions.ids import row_id, tracking_id, user_hash
 from friction.operators import baselines, dashboard, detect, dispatch, html_map, ingest, source_map
 from friction.plans import engine_queries
 from friction.plans.product_queries import SINCE, labels, table
@@ -214,11 +214,58 @@ def keys(s, d):
 
 
 def revocation(s, d):
+    """Keys after the one of an org with the largest hash was revoked."""
     k = keys(s, d)
-    gone = dashboard.revoked(k, "o3", k.where("org = 'o3'").agg(F.max("key_hash")).first()[0], F.lit(9))
+    last = k.where("org = 'o3'").agg(F.max("key_hash").alias("last"))  # one row
+    gone = dashboard.revoked(k.join(F.broadcast(last), F.col("key_hash") == F.col("last"), "left"), "o3", F.col("last"), F.lit(9))
     return gone.groupBy("org", "revoked_at").agg(F.count("*").alias("n"))
 
 
+def session_page(s, d):
+    return dashboard.session_struggles(found(s, d), "s7").select("session_id", "element_id", "type", "severity", "ts_ms")
+
+
+def element_tables(s, d):
+    """What an element's page lists besides its struggles: a row for each of its interventions, cached variants and last events."""
+    cached = table(s, d, "part").select(F.concat(F.lit("e"), F.col("p_partkey") % 5).alias("element_id"), F.col("p_type").alias("type"), F.col("p_size").alias("variant_index"), "p_partkey")
+    page = dashboard.element_page("e2", interventions(s, d), driver_events(s, d), cached)
+    row = lambda name, key, value: page[name].select(F.lit(name).alias("table"), key.cast("string").alias("key"), value.cast("double").alias("value"))
+    return row("interventions", F.col("row_id"), F.col("success_rate")).unionByName(row("cache", F.col("p_partkey"), F.col("variant_index"))).unionByName(row("events", F.col("seq"), F.col("ms")))
+
+
+def toggles(s, d):
+    return dashboard.toggled(interventions(s, d), "v5", False).select("row_id", "enabled").unionByName(dashboard.toggled(interventions(s, d), "v6", True).where("row_id = 'v6'").select(F.lit("again").alias("row_id"), "enabled"))
+
+
+def key_list(s, d):
+    c = table(s, d, "customer")
+    rows = c.select(F.concat(F.lit("o"), "c_nationkey").alias("org"), text.token_prefix(F.col("c_name")).alias("prefix"), F.col("c_custkey").alias("created_at"), F.when(F.col("c_acctbal") < 0, 1).alias("revoked_at"))
+    return dashboard.keys_of(rows, "o3")
+
+
+def last_frameworks(s, d):
+    p = table(s, d, "part").select(F.col("p_brand").alias("repo"), F.col("p_type").alias("framework"), F.col("p_partkey").alias("detected_at"))
+    return dashboard.newest_frameworks(p)
+
+
+def elements_described(s, d):
+    o = table(s, d, "orders").select(F.concat(F.lit("e"), F.col("o_custkey") % 50).alias("element_id"), F.col("o_orderkey").alias("enriched_at"), F.col("o_orderpriority").alias("intent"), F.col("o_orderstatus").alias("semantic_name"))
+    return dashboard.described_elements(labels(s, d), o)
+
+
+def helpers(s, d):
+    """Hash of a user, hash of a context, and the role that class and text give."""
+    css = F.element_at(F.array(*[F.lit(x) for x in ("btn close-x", "retry-link", "help", "menu", "plain")]), (F.col("p_size") % 5 + 1).cast("int"))
+    context = text.context_hash({"name": F.col("p_name"), "size": F.when(F.col("p_size") > 9, F.col("p_size"))})
+    return table(s, d, "part").select("p_partkey", user_hash(F.col("p_brand")).alias("user"), context.alias("context"), text.inferred_role(css, F.lit("Go"), F.col("p_size") % 10 == 9).alias("role"))
+
+
+def kept_baselines(s, d):
+    """Stored baselines after a run that found fewer elements."""
+    e = driver_events(s, d)
+    return baselines.stored_baselines(baselines.baselines(e), baselines.baselines(e.where("element_id <> 'e1'"), since_ms=SINCE))
+
+
 def queries() -> dict:
     e = driver_events
     return {
@@ -227,6 +274,14 @@ def queries() -> dict:
         "detect_as_of": lambda s, d: detect.detect(e(s, d), as_of=AS_OF, only={"DEAD_END", "IDLE_AFTER_LOAD"}),
         "dispatch_guarded": guarded,
         "sampled_events": sampling,
+        "session_struggles": session_page,
+        "element_tables": element_tables,
+        "interventions_toggled": toggles,
+        "key_list": key_list,
+        "newest_frameworks": last_frameworks,
+        "elements_described": elements_described,
+        "text_helpers": helpers,
+        "stored_baselines": kept_baselines,
         "cached_confidence": cached_confidence,
         "template_roles": template_roles,
         "dispatch_context": context,
@@ -260,12 +315,18 @@ def queries() -> dict:
     }
 
 
+def since_sql() -> str:
+    """SQL of the baselines of the events since a time."""
+    whole = engine_queries.oracle_sql()["baselines"][len(E) :]
+    return E + f", es AS (SELECT * FROM e WHERE ms >= {SINCE})" + re.sub(r"\b(FROM|JOIN) e\b", r"\1 es", whole)
+
+
 def oracle_sql() -> dict[str, str]:
     all_rules = rule_sql()["detect_all"]
     texts = ", ".join(f"('{k}', '{v}')" for k, v in detect.SAID.items() if k != "IDLE_AFTER_LOAD")
     ch = engine_queries.oracle_sql()["choose_variant"]
     few = ", ".join(f"'{k}'" for k in sorted(FEW))
-    moves = "SELECT session_id, ms, seq, route, nr FROM (SELECT *, lead(route) OVER (PARTITION BY session_id ORDER BY ms, seq) AS nr FROM (SELECT * FROM e WHERE et = 'NAVIGATION' ORDER BY ms, seq LIMIT 5000)) WHERE route <> nr"
+    moves = "SELECT session_id, ms, seq, route, nr FROM (SELECT *, lead(route) OVER (PARTITION BY session_id ORDER BY ms, seq) AS nr FROM (SELECT * FROM e WHERE et = 'NAVIGATION')) WHERE route <> nr"
     last = "last AS (SELECT session_id, coalesce(arg_max(route, seq) FILTER (et = 'NAVIGATION'), arg_min(route, seq)) AS route FROM e GROUP BY 1)"
     no_copy = "coalesce(copy, CASE kind WHEN 'DOM' THEN '(DOM mutation)' WHEN 'BEHAVIOR' THEN '(behavior override)' WHEN 'AUTO_FIX' THEN '(auto-fix)' END, '') AS copy"
     strip = lambda x: f"nullif(trim(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '')"
@@ -299,6 +360,19 @@ def oracle_sql() -> dict[str, str]:
             b AS (SELECT page_id, 'button' AS tag, {list(TEMPLATE_BUTTONS)}[nth] AS label, CASE WHEN n % 4 = 1 THEN 'TOGGLE' ELSE {str(list(TEMPLATE_ROLES)).replace("None", "NULL")}[nth] END AS semantic_role FROM p
               UNION ALL SELECT page_id, 'a', 'x', 'EXPAND' FROM p UNION ALL SELECT page_id, 'input', 'Go', 'SUBMIT' FROM p)
             SELECT *, coalesce(semantic_role IN ('DANGER', 'DELETE', 'LOGOUT'), false) AS destructive FROM b""",
+        "session_struggles": f"SELECT session_id, element_id, type, severity, ts_ms FROM ({all_rules}) WHERE session_id = 's7'",
+        "element_tables": f"""WITH {INTERVENTIONS}, ev AS ({E} SELECT * FROM e)
+            SELECT 'interventions' AS "table", row_id AS key, success_rate::DOUBLE AS value FROM iv WHERE element_id = 'e2'
+            UNION ALL SELECT 'cache', CAST(p_partkey AS VARCHAR), p_size::DOUBLE FROM part WHERE p_partkey % 5 = 2
+            UNION ALL SELECT * FROM (SELECT 'events', CAST(seq AS VARCHAR), ms::DOUBLE FROM ev WHERE el = 'e2' ORDER BY ms DESC, seq DESC LIMIT 20)""",
+        "interventions_toggled": f"WITH {INTERVENTIONS} SELECT row_id, enabled AND row_id <> 'v5' AS enabled FROM iv UNION ALL SELECT 'again', true FROM iv WHERE row_id = 'v6'",
+        "key_list": "SELECT substr(c_name, 1, 8) AS prefix, c_custkey AS created_at, CASE WHEN c_acctbal < 0 THEN 1 END AS revoked_at FROM customer WHERE c_nationkey = 3",
+        "newest_frameworks": "SELECT p_brand AS repo, p_type AS framework, p_partkey AS detected_at FROM part ORDER BY p_partkey DESC, p_brand, p_type LIMIT 20",
+        "elements_described": """SELECT element_id, p_name AS label, p_brand AS route, enriched_at, intent, semantic_name FROM (SELECT 'e' || p_partkey AS element_id, p_name, p_brand FROM part) p
+            LEFT JOIN (SELECT 'e' || (o_custkey % 50) AS element_id, max(o_orderkey) AS enriched_at, arg_max(o_orderpriority, o_orderkey) AS intent, arg_max(o_orderstatus, o_orderkey) AS semantic_name FROM orders GROUP BY 1) o USING (element_id)""",
+        "text_helpers": """SELECT p_partkey, substr(sha256(p_brand), 1, 32) AS "user", sha256('{"name":"' || p_name || '","size":' || CASE WHEN p_size > 9 THEN CAST(p_size AS VARCHAR) ELSE 'null' END || '}') AS context,
+            CASE WHEN p_size % 5 < 4 THEN ['dismiss', 'retry', 'help', 'menu'][p_size % 5 + 1] WHEN p_size % 10 = 9 THEN 'menu' END AS role FROM part""",
+        "stored_baselines": f"WITH o AS ({engine_queries.oracle_sql()['baselines']}), n AS ({since_sql()}) SELECT * FROM n WHERE element_id <> 'e1' UNION ALL SELECT * FROM o WHERE element_id NOT IN (SELECT element_id FROM n WHERE element_id <> 'e1')",
         "sampled_events": """WITH k AS (SELECT o_orderkey AS key, CASE WHEN o_orderstatus = 'P' THEN 'CLICK' WHEN o_orderkey % 11 = 0 THEN 'JS_ERROR' WHEN o_orderkey % 11 = 1 THEN 'HOVER' ELSE 'CUSTOM' END AS event_type FROM orders),
             e AS (SELECT *, CASE WHEN event_type = 'CUSTOM' THEN ['intervention_shown','intervention_success','intervention_dismissed','other'][key % 4 + 1] END AS m_kind FROM k),
             f AS (SELECT *, event_type = 'JS_ERROR' OR coalesce(m_kind LIKE 'intervention_%', false) AS stays, CAST('0x' || substr(sha256(CAST(key AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM e)
@@ -327,7 +401,7 @@ def oracle_sql() -> dict[str, str]:
         "remapped": """SELECT 'o' || c_nationkey AS org, 'e' || c_custkey AS id, c_name AS label FROM customer WHERE c_nationkey < 10
             UNION ALL SELECT 'o' || s_nationkey, 'e' || s_suppkey, s_name FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_nationkey < 10)""",
         "recent_activity": E + f" SELECT count(*) FILTER (ms > {NOW - 1_000}) AS events_hour, count(*) FILTER (ms > {NOW - 24_000}) AS events_day, count(DISTINCT session_id) FILTER (ms > {NOW - 1_000}) AS sessions_hour, count(DISTINCT session_id) FILTER (ms > {NOW - 24_000}) AS sessions_day FROM e",
-        "baselines_since": E + f", es AS (SELECT * FROM e WHERE ms >= {SINCE})" + re.sub(r"\b(FROM|JOIN) e\b", r"\1 es", engine_queries.oracle_sql()["baselines"][len(E) :]),
+        "baselines_since": since_sql(),
         "form_elements": FORM_ELEMENTS,
         "custom_elements": "SELECT p_partkey AS page_id, 'div[custom-0]' AS descriptor, 'div' AS tag, 'T' AS label, NULL AS handler, '/h' AS route_target, 'htmx' AS tags FROM part UNION ALL SELECT p_partkey, 'span[custom-1]', 'span', NULL, 'open = true', NULL, 'alpine-or-vue' FROM part",
         "crawl_modes": r"""SELECT page_id, CAST(n AS INTEGER) AS elements, CASE WHEN n < 3 OR n < 4 AND (regexp_matches(html, '(?i)<div[^>]+id=["''](?:root|app|__next|svelte)["'']') OR regexp_matches(html, '(?i)<script[^>]+type=["'']module["'']')) THEN 'headless' ELSE 'http' END AS mode
