@@ -78,6 +78,18 @@ def cached_confidence(s, d):
     return out.select("session_id", "element_id", "type", "variant_index", "confidence", "cached_help")
 
 
+def options(s, d):
+    """Options and time to dismissal of what was chosen, from the templates of some types; confirmations among them have none."""
+    kinds = F.explode(F.array(*[F.lit(t) for t in ("RAGE_CLICK", "LOOP", "LONG_DWELL", "JS_ERROR", "SILENT_FAIL", "DEAD_CLICK")])).alias("type")
+    v = F.col("variant_index")
+    rows = table(s, d, "region").where("r_regionkey < 3").select(F.col("r_regionkey").cast("int").alias("variant_index"), kinds)
+    templates = rows.select("type", "variant_index", F.when((v + F.length("type")) % 2 == 0, "body").alias("target"), F.when(v == 1, "warn").alias("severity_opt"), F.when(v == 2, 5000).alias("auto_dismiss_ms"))
+    ch = engine_queries.chosen(s, d)
+    ch = ch.withColumn("variant_index", F.when(F.col("session_id").endswith("3"), -1).otherwise(v))
+    out = dispatch.with_options(ch, templates)
+    return out.select("session_id", "element_id", "type", "variant_index", F.col("options").isNotNull().alias("has_options"), "options.target", F.col("options.severity").alias("severity_opt"), "auto_dismiss_ms")
+
+
 #: Labels of a template's buttons, one for each role that its words give, and one that none gives.
 TEMPLATE_BUTTONS = ("Save it", "Cancel", "Delete all", "Hide", "Try again", "Help me", "Approve it", "Find", "Refine", "Options", "Rename", "Archive", "Authenticate", "Sign out", "Complete order", "Other", "Updated")
 TEMPLATE_ROLES = ("SUBMIT", "CANCEL", "DANGER", "DISMISS", "RETRY", "HELP", "CONFIRM", "SEARCH", "FILTER", "MENU", "EDIT", "DELETE", "LOGIN", "LOGOUT", "PAYMENT", None, None)
@@ -284,6 +296,7 @@ def queries() -> dict:
         "stored_baselines": kept_baselines,
         "cached_confidence": cached_confidence,
         "template_roles": template_roles,
+        "dispatch_options": options,
         "dispatch_context": context,
         "outcome_counters": lambda s, d: dispatch.counters(interventions(s, d), *outcome_parts(s, d)),
         "impression_rows": lambda s, d: dispatch.impressions(*outcome_parts(s, d)),
@@ -356,6 +369,10 @@ def oracle_sql() -> dict[str, str]:
               FROM range(0, 3) a(p), range(3) b(v), (VALUES ('RAGE_CLICK'), ('LOOP'), ('LONG_DWELL'), ('JS_ERROR'), ('SILENT_FAIL'), ('DEAD_CLICK')) t(type) WHERE p IN (SELECT p_partkey FROM part))
             SELECT session_id, ch.element_id, ch.type, ch.variant_index, CASE WHEN stated IS NULL THEN confidence ELSE greatest(0.0::DOUBLE, least(0.99::DOUBLE, stated)) END AS confidence, help AS cached_help
             FROM ch LEFT JOIN c ON c.element_id = ch.element_id AND c.type = ch.type AND c.variant_index = ch.variant_index""",
+        "dispatch_options": f"""WITH ch AS (SELECT * FROM ({ch})), c AS (SELECT *, CAST(CASE WHEN session_id LIKE '%3' THEN -1 ELSE variant_index END AS INTEGER) AS v,
+              type IN ('RAGE_CLICK', 'LOOP', 'LONG_DWELL', 'JS_ERROR', 'SILENT_FAIL', 'DEAD_CLICK') AS known FROM ch),
+            o AS (SELECT *, CASE WHEN known AND v >= 0 AND (v + length(type)) % 2 = 0 THEN 'body' END AS target, CASE WHEN known AND v = 1 THEN 'warn' END AS severity_opt FROM c)
+            SELECT session_id, element_id, type, v AS variant_index, target IS NOT NULL OR severity_opt IS NOT NULL AS has_options, target, severity_opt, CASE WHEN known AND v = 2 THEN 5000 ELSE 0 END AS auto_dismiss_ms FROM o""",
         "template_roles": f"""WITH p AS (SELECT p_partkey AS page_id, p_size AS n, CAST(p_partkey % {len(TEMPLATE_BUTTONS)} AS INTEGER) + 1 AS nth FROM part),
             b AS (SELECT page_id, 'button' AS tag, {list(TEMPLATE_BUTTONS)}[nth] AS label, CASE WHEN n % 4 = 1 THEN 'TOGGLE' ELSE {str(list(TEMPLATE_ROLES)).replace("None", "NULL")}[nth] END AS semantic_role FROM p
               UNION ALL SELECT page_id, 'a', 'x', 'EXPAND' FROM p UNION ALL SELECT page_id, 'input', 'Go', 'SUBMIT' FROM p)
