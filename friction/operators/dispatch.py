@@ -59,12 +59,12 @@ def dispatch(chosen: DataFrame, last_routes: DataFrame, denied: list[str] = (),
     out = out.withColumn("confirm", confirm).withColumn("variant_index", F.when(F.col("confirm"), -1).otherwise(F.col("variant_index"))).drop("of", "role")
     own = {"row_id": row_id(F.col("type"), F.col("element_id"), F.lit("-1")), "tracking_id": tracking_id(F.col("session_id"), F.col("type"), F.col("element_id"), F.lit("-1"))}
     out = out.withColumns({k: F.when(F.col("confirm"), v).otherwise(F.col(k)) for k, v in own.items()}) if roles is not None else out
-    first = Window.partitionBy("tracking_id").orderBy("ts_ms")
-    out = out.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+    # what may not be shown goes first: ids have 32 bits, and what shares one with it may still be shown
     for table, key in ((paused, "row_id"), (shown, "tracking_id")):
         if table is not None:
             out = out.join(table.select(key), key, "left_anti")
-    return out
+    first = Window.partitionBy("tracking_id").orderBy("ts_ms")
+    return out.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
 
 
 def last_routes(events: DataFrame) -> DataFrame:

@@ -209,3 +209,11 @@ def test_state_of_quiet_elements_goes(spark, tmp_path):
     left = q.lastProgress["stateOperators"][0]["numRowsTotal"]
     q.stop()
     assert left <= 1 and [r.ms for r in spark.sql("select * from quiet").collect()] == [3_600_002]
+
+
+def test_what_is_paused_hides_nothing_that_shares_its_id(spark):
+    rows = [("s1", "e", "LOOP", 0.5, 1, 0, "paused", "iv_x", 0.5), ("s2", "f", "LOOP", 0.5, 2, 1, "open", "iv_x", 0.5), ("s3", "f", "LOOP", 0.5, 3, 1, "open", "iv_x", 0.5)]
+    chosen = spark.createDataFrame(rows, f"{D}, variant_index int, row_id string, tracking_id string, confidence double")
+    paused = spark.createDataFrame([("paused",)], "row_id string")
+    routes = spark.createDataFrame([], "session_id string, route string")
+    assert [r.session_id for r in dispatch(chosen, routes, paused=paused, safe_mode=False).collect()] == ["s2"]
