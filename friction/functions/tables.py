@@ -31,6 +31,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt out evenly, for work on each of them: a file of few row groups is read, and would be worked on, by as few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _path(spark: SparkSession, at: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from friction.functions.tables import spread
+
 #: Folders that hold routes, how a file in them becomes one, and the endings that count, in order of precedence.
 ROUTE_FOLDERS = (
     ("pages", "file", (".vue", ".js", ".ts")),
@@ -25,20 +27,26 @@ ROUTE_FOLDERS = (
 EVIDENCE = {"package-dep": 0.55, "config-file": 0.4, "file-extension": 0.25, "script": 0.1}
 
 
+def let(value: Column, made) -> Column:
+    """made(value), the value being computed once however often it is used."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def route_of(inside: Column, ending: Column, mode: Column) -> Column:
     """Route of a file by its path inside a route folder; null if it is none."""
     folder = F.regexp_replace(F.regexp_extract(inside, r"^(.*/)?[^/]*$", 1), r"(^|/)\([^/]*\)(?=/)", "$1")
-    base = F.regexp_extract(inside, r"([^/]*)$", 1)
-    base = F.substring(base, F.lit(1), F.char_length(base) - F.char_length(ending))
-    routable = F.when(mode == "content", F.lit(True)).otherwise(~F.coalesce(base.startswith("_") | (base.startswith("+") & (base != "+page")), F.lit(False)))
-    slot = F.concat(F.lit(":"), F.replace(F.regexp_extract(base, r"^\[(.*)\]$", 1), F.lit("..."), F.lit("*")))
-    base = F.when((mode == "file") & base.rlike(r"^\[.*\]$"), slot).otherwise(base)
-    leaf = F.when((base == "index") | ((mode == "file") & (base == "+page")), F.lit("")).otherwise(base)
-    path = F.regexp_replace(F.concat(F.lit("/"), folder, leaf), r"/+", "/")
-    path = F.regexp_replace(F.regexp_replace(path, r"\[\.\.\.([^\]]+)\]", r"*$1"), r"\[([^\]]+)\]", r":$1")
-    path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/$", ""))
+    name = F.regexp_extract(inside, r"([^/]*)$", 1)
+
+    def routed(base: Column) -> Column:
+        routable = F.when(mode == "content", F.lit(True)).otherwise(~F.coalesce(base.startswith("_") | (base.startswith("+") & (base != "+page")), F.lit(False)))
+        slot = F.concat(F.lit(":"), F.replace(F.regexp_extract(base, r"^\[(.*)\]$", 1), F.lit("..."), F.lit("*")))
+        leaf = let(F.when((mode == "file") & base.rlike(r"^\[.*\]$"), slot).otherwise(base), lambda b: F.when((b == "index") | ((mode == "file") & (b == "+page")), F.lit("")).otherwise(b))
+        path = F.regexp_replace(F.concat(F.lit("/"), folder, leaf), r"/+", "/")
+        path = F.regexp_replace(F.regexp_replace(path, r"\[\.\.\.([^\]]+)\]", r"*$1"), r"\[([^\]]+)\]", r":$1")
+        return F.when(routable, let(path, lambda p: F.when(p == "/", p).otherwise(F.regexp_replace(p, "/$", ""))))
+
     hidden = inside.rlike(r"(^|/)(\.|node_modules/)")
-    return F.when(routable & ~hidden, path)
+    return F.when(~hidden, let(F.substring(name, F.lit(1), F.char_length(name) - F.char_length(ending)), routed))
 
 
 def file_routes(files: DataFrame) -> DataFrame:
@@ -46,10 +54,11 @@ def file_routes(files: DataFrame) -> DataFrame:
 
     The first folder of the list wins a route, then the smaller path."""
     listed = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(d + "/").alias("folder"), F.lit(m).alias("mode"), F.array(*map(F.lit, x)).alias("endings")) for i, (d, m, x) in enumerate(ROUTE_FOLDERS)])
-    rows = files.select("repo", "path", F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).alias("ending"), F.explode(listed).alias("c"))
+    rows = spread(files.select("repo", "path")).select("repo", "path", F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).alias("ending"), F.explode(listed).alias("c"))
     rows = rows.where(F.col("path").startswith(F.col("c.folder")) & F.array_contains("c.endings", F.col("ending")))
     inside = F.substring("path", F.char_length("c.folder") + 1, F.char_length("path"))
-    rows = rows.select("repo", "path", "c.rank", route_of(inside, F.col("ending"), F.col("c.mode")).alias("route")).where("route is not null")
+    # a generator, so that no filter on the route makes it anew
+    rows = rows.select("repo", "path", "c.rank", F.explode(F.array_compact(F.array(route_of(inside, F.col("ending"), F.col("c.mode"))))).alias("route"))
     best = rows.groupBy("repo", "route").agg(F.min(F.struct("rank", "path")).alias("b"))
     up = F.regexp_replace("route", r"/[^/]*$", "")
     return best.select("repo", "route", F.when(F.col("route") != "/", F.when(up == "", "/").otherwise(up)).alias("parent"), "b.path")
