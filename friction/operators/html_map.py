@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from friction.functions.ids import element_id
+from friction.functions.tables import spread
 
 #: Tags of interactive elements, attributes, mount points of shells, reactive attributes.
 TAG = r"(?i)<(button|input|textarea|select|form|a)\b([^>]*)>"
@@ -83,10 +84,12 @@ def plain(html: Column) -> Column:
 
 
 def with_attributes(rows: DataFrame) -> DataFrame:
-    """rows with `names` and `values` of the attributes in `attrs`, the last first: of a repeated attribute the last counts."""
+    """rows with `names` and `values` (without their quotes) of the attributes in `attrs`, the last first: of a repeated
+    attribute the last counts."""
     names = F.reverse(F.regexp_extract_all("attrs", F.lit(ATTRIBUTE), F.lit(1)))
     values = F.reverse(F.regexp_extract_all("attrs", F.lit(ATTRIBUTE), F.lit(2)))
-    return rows.withColumn("names", names).withColumn("values", values).drop("attrs")
+    bare = lambda x: F.when(x.rlike("^[\"']"), F.substring(x, F.lit(2), F.greatest(F.char_length(x) - 2, F.lit(0)))).otherwise(x)
+    return rows.withColumn("names", names).withColumn("values", F.transform(values, bare)).drop("attrs")
 
 
 def has(name: str) -> Column:
@@ -95,9 +98,7 @@ def has(name: str) -> Column:
 
 def given(name: str) -> Column:
     """Value of an attribute without its quotes, '' if it has none; null if the attribute is absent."""
-    at = F.array_position("names", F.lit(name)).cast("int")
-    raw = F.when(at > 0, F.get("values", at - 1))
-    return F.when(raw.rlike("^[\"']"), F.substring(raw, F.lit(2), F.greatest(F.char_length(raw) - 2, F.lit(0)))).otherwise(raw)
+    return F.get("values", F.array_position("names", F.lit(name)).cast("int") - 1)
 
 
 def attribute(name: str) -> Column:
@@ -117,7 +118,7 @@ def validation() -> Column:
 
 def handler() -> Column:
     """The function that the first event attribute calls, else its value, `(inline)` if that is long."""
-    value = F.coalesce(*[attribute(h) for h in HANDLERS])
+    value = F.when(F.arrays_overlap("names", F.array(*map(F.lit, HANDLERS))), F.coalesce(*[attribute(h) for h in HANDLERS]))
     called = F.nullif(F.regexp_extract(value, r"([a-zA-Z_$][\w$]*)\s*\(", 1), F.lit(""))
     return F.coalesce(called, F.when(F.char_length(value) > 30, "(inline)").otherwise(value))
 
@@ -126,7 +127,7 @@ def parsed(pages: DataFrame) -> DataFrame:
     """page_id, url, pos, tag, names, values, inner (up to the tag's own end, null of an input), ahead (200 characters from
     the tag on), closes (whether a form ends before the next element)."""
     parts = F.split("html", r"(?i)(?=<(?:button|input|textarea|select|form|a)\b[^>]*>)")
-    rows = pages.select("page_id", "url", parts.alias("parts"))
+    rows = spread(pages.select("page_id", "url", "html")).select("page_id", "url", parts.alias("parts"))
 
     def described(part: Column, i: Column) -> Column:
         tag, rest = F.lower(F.regexp_extract(part, TAG, 1)), F.regexp_replace(part, "^" + TAG, "")
@@ -159,13 +160,14 @@ def elements(pages: DataFrame, org: str = "org", template: bool = False) -> Data
     rows = rows.withColumn("tag_index", index).withColumn("label", label).withColumns({k: attribute(k) for k in ("minlength", "maxlength")})
     css = F.lower(F.coalesce(attribute("class"), attribute("className"), F.lit("")))
     tags = F.array_compact(F.array(
-        F.when((F.col("tag") == "button") & own.isNull() & css.contains("icon"), "icon-only"), F.when(has("disabled"), "disabled"),
+        F.when((F.col("tag") == "button") & css.contains("icon") & own.isNull(), "icon-only"), F.when(has("disabled"), "disabled"),
         F.when(css.contains("hidden") | (F.coalesce(given("aria-hidden"), F.lit("")) == "true"), "hidden"),
     ))
     role = semantic_role(F.col("tag"), attribute("type"), attribute("href"), F.col("label"), attribute("class"), attribute("data-role") if template else None)
     descriptor = F.concat(F.col("tag"), F.lit("["), F.col("tag_index"), F.lit("]"))
+    rows, role = rows.withColumn("semantic_role", role), F.col("semantic_role")  # made once, used twice
     return rows.select(
-        "page_id", "tag", "tag_index", attribute("href").alias("href"), attribute("type").alias("type_attr"), "label", role.alias("semantic_role"),
+        "page_id", "tag", "tag_index", attribute("href").alias("href"), attribute("type").alias("type_attr"), "label", role,
         F.coalesce(role.isin(*DESTRUCTIVE), F.lit(False)).alias("destructive"), has("required").alias("required"), validation().alias("validation"),
         F.when(F.col("form.till") >= F.col("pos"), F.col("form.name")).alias("form_context"), handler().alias("handler"), tags.alias("tags"),
         F.when(F.col("tag") == "form", attribute("action")).alias("endpoint"), element_id(F.lit(org), F.col("url"), descriptor).alias("element_id"),
@@ -175,7 +177,7 @@ def elements(pages: DataFrame, org: str = "org", template: bool = False) -> Data
 def custom_elements(pages: DataFrame) -> DataFrame:
     """page_id, descriptor, tag, label, handler, route_target, tags of other elements with reactive attributes, in order."""
     at = lambda i: F.regexp_extract_all("html", F.lit(REACTIVE), F.lit(i))
-    rows = pages.select("page_id", F.posexplode(F.arrays_zip(at(1).alias("tag"), at(2).alias("attrs"))).alias("pos", "e")).select("page_id", "pos", F.lower("e.tag").alias("tag"), "e.attrs")
+    rows = spread(pages.select("page_id", "html")).select("page_id", F.posexplode(F.arrays_zip(at(1).alias("tag"), at(2).alias("attrs"))).alias("pos", "e")).select("page_id", "pos", F.lower("e.tag").alias("tag"), "e.attrs")
     rows = with_attributes(rows.where(~F.col("tag").isin(*INTERACTIVE)))
     number = F.row_number().over(Window.partitionBy("page_id").orderBy("pos")) - F.lit(1)
     htmx = F.coalesce(attribute("hx-get"), attribute("hx-post"))
