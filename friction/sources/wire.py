@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from friction.functions.tables import spread
 from friction.schema import EVENT_COLUMNS, EVENT_TYPES
 
 #: Protocol versions, and the most characters of each text.
@@ -82,7 +83,7 @@ def parsed(events: DataFrame, payload: str = "payload") -> DataFrame:
 
     # one value of a function, so that no filter on the reasons parses the text once for each of them
     whole = F.transform(F.array(F.try_parse_json(payload)), held)
-    return events.withColumn("_wire", F.explode(whole)).select(*events.columns, "_wire.event", "_wire.reasons")
+    return spread(events).withColumn("_wire", F.explode(whole)).select(*events.columns, "_wire.event", "_wire.reasons")
 
 
 def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from friction.functions.text import context_hash, inferred_role
 from friction.functions.ids import user_hash
-from friction.operators import ingest, source_map
+from friction.operators import html_map, ingest, source_map
 from friction.operators.baselines import baselines, baselines_of_days, daily_states, stored_baselines
 from friction.operators.detect import detect
 from friction.operators.dispatch import with_cached
@@ -155,3 +155,13 @@ def test_small_functions(spark):
     assert one.select(context_hash({"a": F.lit("x"), "b": F.lit(None).cast("string")})).first()[0] == hashlib.sha256(b'{"a":"x","b":null}').hexdigest()
     role = lambda css, label, popup=None: one.select(inferred_role(F.lit(css).cast("string"), F.lit(label).cast("string"), F.lit(popup).cast("boolean"))).first()[0]
     assert [role("btn-close", None), role(None, "Try again"), role(None, "Help!"), role("x", "y", True), role(None, None)] == ["dismiss", "retry", "help", "menu", None]
+
+
+def test_work_on_rows_of_one_file_is_dealt_out(spark):
+    pages = spark.range(0, 40, 1, 1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit('<div hx-get="/h">z</div><a href="/x">y</a>').alias("html"))
+    files = spark.range(0, 40, 1, 1).select(F.lit("r").alias("repo"), F.format_string("pages/(g)/[...p%s]/index.vue", "id").alias("path"), F.lit("{}").alias("payload"))
+    assert len({r.route for r in source_map.file_routes(files).collect()}) == 40
+    assert source_map.file_routes(files).where("route = '/*p7'").count() == 1
+    for rows in (html_map.parsed(pages), html_map.custom_elements(pages), source_map.file_routes(files), wire.parsed(files)):
+        assert "RoundRobinPartitioning" in rows._jdf.queryExecution().executedPlan().toString()
+    assert {r.n for r in wire.parsed(files).select(F.spark_partition_id().alias("n")).collect()} > {0}
