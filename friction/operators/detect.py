@@ -288,7 +288,7 @@ def detect(events: DataFrame, rules: dict | None = None, baselines: DataFrame |
     one row an element; they raise the thresholds of RAGE_CLICK, LONG_DWELL and HOVER_HUNT. as_of: see as_of_rules(). only: types to look for. summaries:
     with `summary`, a sentence on each detection."""
     r = RULES | (rules or {})
-    e = events.repartition("session_id")
+    e = events
     if baselines is not None:
         b = baselines.select(F.col("element_id").alias("of"), "p95_clicks_per_sec", "p95_dwell_ms", "p95_hovers_before_click", "sample_size")
         e = e.join(b, F.col("element_id") == F.col("of"), "left").drop("of")
@@ -297,6 +297,9 @@ def detect(events: DataFrame, rules: dict | None = None, baselines: DataFrame |
         e = e.withColumn("rage_from", adapted(r["rage_n"], "p95_clicks_per_sec", n, factor, r["rage_ms"] / 1000)).withColumn("dwell_from", adapted(r["dwell_ms"], "p95_dwell_ms", n, factor)).withColumn("hunt_from", adapted(r["hunt_n"], "p95_hovers_before_click", n, factor))
     else:
         e = e.withColumn("rage_from", F.lit(float(r["rage_n"]))).withColumn("dwell_from", F.lit(float(r["dwell_ms"]))).withColumn("hunt_from", F.lit(float(r["hunt_n"])))
+    # after the baselines, which would move the events once more; with a number, so that tasks aren't merged: each sorts its
+    # part for every kind of window, and the sorts of all rules add up
+    e = e.repartition(int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")), "session_id")
     e = with_lags(with_neighbours(e), r)
     e = e.withColumn("session_end", F.max("ms").over(Window.partitionBy("session_id")))
     if summaries:

@@ -2,8 +2,10 @@
 
 import pytest
 
+from friction.operators.baselines import baselines
 from friction.operators.detect import detect
 from friction.schema import EVENT_COLUMNS
+from friction.sources.driver_events import driver_events
 
 A, B = "sh_" + "a" * 32, "sh_" + "b" * 32
 SCHEMA = ", ".join(f"{k} {v}" for k, v in EVENT_COLUMNS.items())
@@ -105,3 +107,11 @@ def test_baselines_raise_thresholds(spark, run):
     got = run([clicks(*range(8)), clicks(*range(9)), clicks(0, 1, 2, element_id=B), dwell(134999.0, A), dwell(135000.0, A), dwell(30000.0, B)], baselines=b)
     assert ["RAGE_CLICK" in g for g in got[:3]] == [False, True, True]
     assert ["LONG_DWELL" in g for g in got[3:]] == [False, True, True]
+
+
+def test_sessions_are_dealt_once_and_their_tasks_stay_apart(spark, sf):
+    """Partitions by number are not merged, so a task's memory is its share of the sessions; with baselines too."""
+    e = driver_events(spark, sf)
+    for found in (detect(e), detect(e, baselines=baselines(e))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
