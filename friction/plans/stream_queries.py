@@ -52,7 +52,7 @@ def keyed_remap(s, d):
 
 def stored_batches(s, d):
     """The store after five batches of events, each with a part of the one before it; the third is tried twice."""
-    e = driver_events(s, d)
+    e = written(driver_events(s, d), "events")  # each batch reads its part of it
     first, last = e.agg(F.min("ms"), F.max("ms")).first()
     step, at = -(-(last + 1 - first) // 5), place(s, "events")
     for number in (0, 1, 2, 2, 3, 4):

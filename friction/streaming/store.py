@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from friction.functions.tables import listed
+from friction.functions.tables import listed, removed, written
 from friction.operators.ingest import first_by_key, new_rows, storable
 
 PARTITION, SLOTS, BITS, PROBES = "stored_batch", 16, 16, 8
@@ -77,12 +77,13 @@ def store_batch(batch: DataFrame, number: int, table: str, key: list[str], order
     """Store what of a batch the table does not hold yet. A retry of the batch replaces what it stored."""
     if PARTITION in batch.columns:
         raise ValueError(f"events have a column {PARTITION}, the name of the table's partitions")
-    rows = first_by_key(storable(batch), key, order)
+    rows = written(first_by_key(storable(batch), key, order), "batch")  # read for its digests and for what is new
     new = new_rows(rows, stored_of(batch.sparkSession, table, digests(rows, key), batch.schema, number), key)
     at = f"{table}/{PARTITION}={number}"
     new.write.mode("overwrite").parquet(at)
     # the filters come last: a batch without them is one that a retry writes again
     filters(digests(batch.sparkSession.read.schema(batch.schema).parquet(at), key)).write.mode("overwrite").parquet(f"{table}_filters/{PARTITION}={number}")
+    removed(batch.sparkSession, rows.written_at)
 
 
 def store_once(events: DataFrame, table: str, checkpoint: str, key: list[str], order: list[str]):

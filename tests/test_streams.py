@@ -240,3 +240,19 @@ def test_repeats_within_the_delay_never_reach_the_store(spark, tmp_path):
     q.stop()
     assert sorted(r.seq for r in spark.sql("select seq from once").collect()) == [1, 2, 3]
     assert STORED_TYPES
+
+
+def test_a_batch_is_made_once_for_its_digests_and_its_rows(spark, tmp_path):
+    table, seen = str(tmp_path / "t"), spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    for n in range(2):
+        before = seen.value
+        batch = spark.createDataFrame([event(1000 * n + i, 1000 * n + i) for i in range(100)], SCHEMA).mapInPandas(count, SCHEMA)
+        store.store_batch(batch, n, table, ["session_id", "seq"], ["ms"])
+        assert seen.value - before <= 200  # rows with a whole key, and those with a null in it
+    assert spark.read.parquet(table).count() == 200
