@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from friction.functions.tables import shared_dir, written
 
-__all__ = ["SPACE", "WORD", "deleted", "dropped", "lookup", "read_table", "row_of", "shared_dir", "without", "words_in", "written"]
+__all__ = ["SPACE", "WORD", "deleted", "dropped", "joined", "lookup", "read_table", "row_of", "shared_dir", "without", "words_in", "written"]
 
 #: The white space of the contracts, as a Java and Python character class, and a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -52,6 +52,14 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int,
     return served.unionByName(rest.join(cold, F.col(key) == F.col("cold_key"), "left").select(*out))
 
 
+def joined(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, few: bool) -> DataFrame:
+    """lookup(), or one broadcast of the table if it has few rows."""
+    if not few:
+        return lookup(rows, table, key, weight, total)
+    its = F.broadcast(table.withColumnRenamed(key, "few_key"))
+    return rows.join(its, F.col(key) == F.col("few_key"), "left").drop("few_key")
+
+
 def row_of(docs: DataFrame, key: list[Column]) -> DataFrame:
     """Each row of docs as one struct `row`, with its key in k0, k1, ...: no column of docs can clash with another's."""
     whole = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])

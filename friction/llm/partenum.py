@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from friction.llm.common import dropped, lookup, written
+from friction.llm.common import joined, lookup, written
 from friction.llm.near_copies import SEED, SHINGLE, text_key
 from friction.llm.simhash import components
 
@@ -46,9 +46,11 @@ OFTEN, COMMON = 1 / 500, 1_000_000
 #: text that are hashed together.
 HELD, BUCKET, SLICE, CELL, CELL_BYTES, TASK_BYTES, STEP, STEP_BYTES = 2_000_000, 1_500_000, 1_000_000, 4096, 32 << 20, 64 << 20, 512, 1 << 20
 #: Rounds in which sets with too few shared signatures go; rounds of stars at most before the rest is compared in cells, the
-#: part of what is outside of the largest components that a round may leave for another to follow, and members of all groups
-#: for which there is none; rows of the groups of a task.
-PEELS, STARS, STALLS, SMALL, GROUPED = 2, 5, 0.7, 20_000, 32_768
+#: part of what is outside of the largest components that a round may leave for another to follow, members of all groups and
+#: pairs left for each of them for which there is none; rows of the groups of a task.
+PEELS, STARS, STALLS, SMALL, MEET, GROUPED = 2, 5, 0.7, 20_000, 200, 32_768
+#: Groups that are broadcast instead of shuffled.
+FEW = 20_000
 
 EDGES = [LEAST]
 while EDGES[-1] < 1 << 40:
@@ -365,10 +367,9 @@ def star_cells(members: DataFrame) -> DataFrame:
     """Each set against the centre it shares most groups with, and both sets of a group of two. members: shard, fp, n, label,
     members, hub, hub_n, hub_label."""
     pairs = members.where("fp <> hub and label <> hub_label").where(100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n"))
-    pairs = pairs.groupBy("fp", "n", "label", "hub", "hub_n", "hub_label").agg(F.count("*").alias("times"), F.min("members").alias("least"))
-    pairs = written(pairs, "pairs")
-    best = pairs.groupBy("fp").agg(F.max(F.struct("times", "hub")).alias("best")).select(F.col("fp").alias("best_fp"), F.col("best.hub").alias("best_hub"))
-    pairs = written(pairs.join(best, F.col("fp") == F.col("best_fp")).where("least = 2 or hub = best_hub"), "pairs")
+    pairs = pairs.repartition("fp").groupBy("fp", "n", "label", "hub", "hub_n", "hub_label").agg(F.count("*").alias("times"), F.min("members").alias("least"))
+    best = F.max(F.struct("times", "hub")).over(Window.partitionBy("fp")).getField("hub")
+    pairs = written(pairs.withColumn("best", best).where("least = 2 or hub = best"), "pairs")
     hubs = pairs.groupBy("hub").agg(F.count("*").alias("rows"), F.sum("n").alias("size"), F.any_value("hub_n").alias("hub_n"), F.any_value("hub_label").alias("hub_label"))
     hubs = written(hubs.select("hub", "rows", "size", "hub_n", "hub_label", chunks(F.col("rows"), F.col("size")).alias("cut")), "hubs")
     total = hubs.agg(F.sum("size") + F.sum("hub_n"), F.sum("rows")).first()
@@ -394,9 +395,17 @@ def rest_cells(members: DataFrame, tasks: int) -> DataFrame:
     return left.unionByName(right)
 
 
+def apart(groups: DataFrame) -> DataFrame:
+    """groups with `low` as the key of a task: groups with the same smallest set stay together, in pieces if they are large."""
+    large = groups.groupBy(F.col("low").alias("of_low")).agg(F.greatest(F.ceil(F.sum("members") / GROUPED), F.ceil(F.sum("size") * 8 / TASK_BYTES)).cast("long").alias("pieces"))
+    groups = groups.join(F.broadcast(large.where("pieces > 1")), F.col("low") == F.col("of_low"), "left")
+    piece = F.pmod(F.xxhash64("shard"), F.coalesce("pieces", F.lit(1).cast("long"))).alias("piece")
+    return written(groups.withColumn("low", F.struct("low", piece)).drop("of_low", "pieces"), "groups")
+
+
 def roots_of(found: DataFrame, sets: DataFrame) -> DataFrame:
     """node, root of the sets that are linked with a smaller one. found: shard, fp, n of groups that share a signature."""
-    edges, roots, turn, before = None, None, 0, 0
+    roots, turn, before = None, 0, 0
     while True:
         if roots is None:
             rows = found.withColumn("label", F.col("fp"))
@@ -413,17 +422,15 @@ def roots_of(found: DataFrame, sets: DataFrame) -> DataFrame:
             groups = groups.where("members > 2")  # both sets of a pair have met
         others, size_b = F.col("members") - F.col("main.m"), F.col("size") - F.col("main.size")
         groups = groups.select("shard", "members", "size", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.label").alias("hub_label"), F.col("main.label").alias("main"), "low", chunks(F.col("members"), F.col("size")).alias("cut"), chunks(others, size_b).alias("cut_b"), others.alias("others"))
-        per_low = groups.groupBy(F.col("low").alias("of_low")).agg(F.greatest(F.ceil(F.sum("members") / GROUPED), F.ceil(F.sum("size") * 8 / TASK_BYTES)).cast("long").alias("pieces"))
-        groups = groups.join(per_low, F.col("low") == F.col("of_low")).withColumn("low", F.struct("low", F.pmod(F.xxhash64("shard"), F.col("pieces")).alias("piece"))).drop("of_low", "pieces")
         groups = written(groups, "groups")
-        m, left, size = groups.agg(F.sum("members"), F.sum("others"), F.sum("size")).first()
+        m, left, size, meet, count = groups.agg(F.sum("members"), F.sum("others"), F.sum("size"), F.sum(F.col("members").cast("double") * F.col("others")), F.count("*")).first()
         if not m:
             return roots if roots is not None else found.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
-        members = lookup(rows, groups, "shard", "members", m).where("hub is not null")
-        last = turn > 0 and (turn >= STARS or left > STALLS * before or m <= SMALL)
+        last = turn > 0 and (turn >= STARS or left > STALLS * before or m <= SMALL or meet <= MEET * m)
         before = left
+        members = joined(rows, apart(groups) if last else groups, "shard", "members", m, count <= FEW).where("hub is not null")
         more = linked(rest_cells(members, tasks_for(m, size)) if last else star_cells(members), sets)
-        edges = more if edges is None else edges.unionByName(more)
+        edges = more if roots is None else more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
         roots = written(components(edges), "roots")
         if last:
             return roots

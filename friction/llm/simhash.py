@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from friction.llm.common import dropped, lookup, without, written
+from friction.llm.common import dropped, joined, lookup, without, written
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints in a task, pairs of query and node that it looks at together, fingerprints that a shard has on average.
 TASK_ROWS, FRONTIER, SHARD = 20_000, 500_000, 4096
+#: Edges whose nodes are broadcast instead of shuffled.
+FEW = 50_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -157,27 +159,30 @@ def links(points: DataFrame, total: int, radius: int = RADIUS) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node it is linked to), for each node of the edges (u, v) but the roots themselves. A node
-    that holds many edges meets its smallest neighbour by a broadcast of such nodes alone, so no task holds its star."""
+    that holds many edges meets its smallest neighbour by a broadcast of such nodes alone, so no task holds its star. Of up
+    to FEW edges all are broadcast. It ends as soon as each node that has a smaller neighbour has no other one."""
 
-    def state(df: DataFrame):
-        return tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+    def lowest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
 
     edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
-    while (now := state(edges)) != before:
-        before = now
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("low"), F.count("*").alias("n"))
-        large = lookup(both, low, "u", "n", 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        low = written(lowest(both), "low")
+        twice, left = low.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when((F.col("low") < F.col("u")) & (F.col("high") > F.col("low")), 1))).first()
+        if not left:
+            dropped(edges)
+            return low.where("low < u").select(F.col("u").alias("node"), F.col("low").alias("root"))
+        few = twice <= 2 * FEW
+        large = joined(both, low.select("u", "low", "n"), "u", "n", twice, few).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         large = written(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n"))
-        small = lookup(large, low, "u", "n", large.count())
-        small = small.select("v", "low").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(low.select("u", F.col("low").alias("v"))).distinct()
+        lower = lowest(large)
+        small = joined(large, lower.select("u", "low", "n"), "u", "n", twice // 2, few)
+        small = small.select("v", "low").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(lower.select("u", F.col("low").alias("v"))).distinct()
         small = written(small, "small")
-        dropped(edges)
-        dropped(large)
+        for gone in (edges, low, large):
+            dropped(gone)
         edges = small
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def with_components(docs: DataFrame, radius: int) -> DataFrame:

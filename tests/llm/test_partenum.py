@@ -77,6 +77,27 @@ def test_hot_groups(make_docs, monkeypatch, often, cell):
     assert got(docs) == slow(text_rows(docs))
 
 
+def test_rounds_of_stars_end_where_few_pairs_are_left(make_docs, monkeypatch):
+    """Copies of a few bases that share most of their words: the same components after any number of rounds, broadcast or shuffled."""
+    rnd, turns = random.Random(6), []
+    monkeypatch.setattr(partenum, "SMALL", 0)
+    monkeypatch.setattr(partenum, "star_cells", lambda m, f=partenum.star_cells: turns.append(1) or f(m))
+    bases = [words(rnd, 60)]
+    for _ in range(3):
+        bases.append([*bases[0][:35], *words(rnd, 25)])
+    rows = []
+    for i in range(120):
+        w = list(bases[i % 4])
+        w[rnd.randrange(40, 60)] = words(rnd, 1)[0]
+        rows.append((i, " ".join(w), "en", "a"))
+    docs = make_docs(rows)
+    wanted = slow(text_rows(docs))
+    assert got(docs) == wanted and len(turns) == 1
+    monkeypatch.setattr(partenum, "MEET", 0)
+    monkeypatch.setattr(partenum, "FEW", 0)
+    assert got(docs) == wanted and len(turns) > 2
+
+
 def test_similar_sets_share_a_signature():
     """Pairs at exactly the bound, of all sizes, whatever is common."""
     rng = np.random.default_rng(1)

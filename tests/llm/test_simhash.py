@@ -116,3 +116,34 @@ def test_components_of_a_hub(spark):
     edges = spark.createDataFrame([(0, i) for i in range(1, 3000)] + [(i, i + 10_000) for i in range(1, 3000)], "u long, v long")
     got = components(edges.repartition(8))
     assert got.count() == 5998 and {r.root for r in got.select("root").distinct().collect()} == {0}
+
+
+def test_components_of_stars_take_one_pass(spark, monkeypatch):
+    """Of stars no round is needed, and none to see that the last one changed nothing."""
+    tables = []
+    monkeypatch.setattr(simhash, "written", lambda df, name, f=simhash.written: tables.append(name) or f(df, name))
+    edges = [(10 * i + j, 10 * i) for i in range(20) for j in range(1, 10)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == dict(edges) and "small" not in tables
+    components(spark.createDataFrame([(1, 2), (1, 3), (4, 3)], "u long, v long"))
+    assert tables.count("small") == 1
+
+
+def test_components_of_any_edges(spark, monkeypatch):
+    """Broadcast and shuffled, against a plain union."""
+    rnd = random.Random(8)
+    edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(260)] + [(7, 500 + i) for i in range(50)] + [(3, 3)]
+    label = {x: x for e in edges for x in e}
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for u, v in edges:
+        a, b = find(u), find(v)
+        label[max(a, b)] = min(a, b)
+    for few in (simhash.FEW, 0):
+        monkeypatch.setattr(simhash, "FEW", few)
+        rows = components(spark.createDataFrame(edges, "u long, v long")).collect()
+        assert sorted(map(tuple, rows)) == sorted((i, find(i)) for i in label if find(i) != i)
