@@ -29,33 +29,37 @@ INTERVENTIONS = f"{STRUGGLES}, variant_index int, row_id string, tracking_id str
 
 
 class Recent(StatefulProcessor):
-    """Of each session: the events of the batch with those of the look-back, which stay in its state."""
+    """Of each session: the events of the batch with those of the look-back, which stay in its state. An event is its time,
+    number and whether it is stored; all else is one text that passes through, for each column costs each session time."""
 
-    def __init__(self, columns: list[str], schema: T.StructType, kept: tuple[str, ...], look_back_ms: int):
-        self.columns, self.schema, self.kept, self.look_back_ms = columns, schema, kept, look_back_ms
+    def __init__(self, look_back_ms: int):
+        self.look_back_ms = look_back_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.events = handle.getListState("events", self.schema)
+        self.events = handle.getListState("events", "ms long, seq long, event string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True)[self.columns]
-        since = int(new["ms"].max()) - self.look_back_ms
-        named = set(zip(new["ms"], new["seq"]))
-        old = [tuple(r) for r in self.events.get()] if self.events.exists() else []
-        at, seq = self.columns.index("ms"), self.columns.index("seq")
-        old = [r for r in old if r[at] >= since and (r[at], r[seq]) not in named]
-        here = [tuple(None if x is not None and x != x else x for x in r) for r in new.astype(object).itertuples(index=False, name=None)]
-        kind = self.columns.index("event_type")
-        stay = old + [r for r in here if r[kind] in self.kept and r[at] >= since]
+        here, stored = [], []
+        for part in rows:
+            named = list(zip(part["ms"].tolist(), part["seq"].tolist(), part["event"].tolist()))
+            here += named
+            stored += [r for r, stays in zip(named, part["stored"].tolist()) if stays]
+        since = max(r[0] for r in here) - self.look_back_ms
+        known = self.events.exists()
+        old = []
+        if known:
+            names = {r[:2] for r in here}
+            old = [r for r in map(tuple, self.events.get()) if r[0] >= since and r[:2] not in names]
+            for t in list(self.handle.listTimers()):  # only a session with state has one
+                self.handle.deleteTimer(t)
+        stay = old + [r for r in stored if r[0] >= since]
         if stay:
             self.events.put(stay)
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(max(max(r[at] for r in stay) + self.look_back_ms, timerValues.getCurrentWatermarkInMs() + 1))
-        else:
+            self.handle.registerTimer(max(max(r[0] for r in stay) + self.look_back_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        elif known:
             self.events.clear()
-        yield pd.DataFrame(old + here, columns=self.columns).assign(fresh=[False] * len(old) + [True] * len(here))
+        yield pd.DataFrame({"event": [r[2] for r in old] + [r[2] for r in here], "fresh": [False] * len(old) + [True] * len(here)})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.events.clear()
@@ -71,9 +75,10 @@ def with_recent(events: DataFrame, look_back_ms: int = LOOK_BACK_MS, kept: tuple
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     names = list(EVENT_COLUMNS)
     schema = T.StructType([events.schema[c] for c in names])
-    out = T.StructType([*schema.fields, T.StructField("fresh", T.BooleanType())])
-    rows = events.select(*names, "event_time").groupBy("session_id")
-    return rows.transformWithStateInPandas(Recent(names, schema, kept, look_back_ms), out, "Append", "EventTime")
+    stored = F.coalesce(F.col("event_type").isin(*kept), F.lit(False)).alias("stored")
+    rows = events.select("session_id", "ms", "seq", stored, F.to_json(F.struct(*names)).alias("event"), "event_time").groupBy("session_id")
+    out = rows.transformWithStateInPandas(Recent(look_back_ms), "event string, fresh boolean", "Append", "EventTime")
+    return out.select(F.from_json("event", schema, {"mode": "FAILFAST"}).alias("event"), "fresh").select("event.*", "fresh")
 
 
 def earlier(spark: SparkSession, at: str, schema: str, number: int) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,50 @@ def test_a_struggle_over_two_batches_and_state_that_goes(spark, tmp_path):
     assert [r.tracking_id for r in spark.read.parquet(str(tmp_path / "out/interventions")).where("type = 'RAGE_CLICK'").collect()]
 
 
+def test_state_of_a_session_costs_few_calls_and_columns():
+    """A session without state asks for no timers; an event passes through as one text."""
+
+    class Held:
+        def __init__(self):
+            self.rows, self.timers, self.calls = [], [], []
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls.append(name)
+                if name == "exists":
+                    return bool(self.rows)
+                if name in ("put", "clear"):
+                    self.rows = [*args, []][0]
+                elif name == "registerTimer":
+                    self.timers.append(args[0])
+                elif name == "deleteTimer":
+                    self.timers.remove(args[0])
+                return {"getListState": self, "get": iter(self.rows), "listTimers": iter(list(self.timers)), "getCurrentWatermarkInMs": 0}.get(name)
+
+            return call
+
+    held, recent = Held(), hot.Recent(1000)
+    recent.init(held)
+    batch = lambda *rows: iter([pd.DataFrame(rows, columns=["ms", "seq", "event", "stored"])])
+    seen = lambda *rows: next(recent.handleInputRows(("s",), batch(*rows), held)).values.tolist()
+    assert seen((5, 1, "a", True), (6, 2, "b", False)) == [["a", True], ["b", True]]
+    assert "listTimers" not in held.calls and "get" not in held.calls and held.timers == [1005]
+    assert seen((900, 3, "c", True), (5, 1, "a", True)) == [["c", True], ["a", True]] and held.timers == [1900]
+    assert seen((1000, 4, "d", True)) == [["c", False], ["a", False], ["d", True]] and held.timers == [2000]
+    assert seen((9000, 5, "e", False)) == [["e", True]] and held.timers == [] and held.rows == []
+
+
+def test_odd_values_pass_the_state(spark, tmp_path):
+    rows = [event(1, 0), event(2, 5), event(2**53 + 1, 9)]
+    e = spark.createDataFrame(rows, SCHEMA).withColumn("m_query", F.lit('"\\ \n\u00e9\U0001f600')).withColumn("m_length", F.when(F.col("ms") == 0, -0.0).when(F.col("ms") == 5, float("inf")).otherwise(0.1 + 0.2)).select(*EVENT_COLUMNS)
+    put(e, tmp_path / "in")
+    out = hot.with_recent(timed(arriving(spark, e.schema, tmp_path / "in"), "10 minutes"))
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.where("fresh").count() == 3
+    assert sorted(map(str, got.select(*EVENT_COLUMNS).collect())) == sorted(map(str, e.collect()))
+
+
 def test_a_batch_tried_again_repeats_nothing(spark, tmp_path):
     rows = spark.createDataFrame([event(i, 100 * i) for i in range(5)], SCHEMA)
     stats = spark.createDataFrame([], STATS)
